@@ -121,17 +121,15 @@ def normalized_tokens(column: Column, stop_words, lemma=lemma_by_suffix) -> Colu
     return F.transform(kept, lemma) if lemma else kept
 
 
-def term_counts(tokens: Column) -> Column:
-    """``array<struct<term,tf>>`` of one token list, without a shuffle.
 
-    Sort the list, find where a new term starts, and take the distance to the
-    next start. ``tokens`` should be a plain column, since it is used twice.
-    """
-    ordered = F.sort_array(tokens)
-    flagged = F.transform(
-        ordered,
-        lambda term, i: F.struct(term.alias("term"), i.alias("at")))
-    starts = F.filter(
-        flagged,
-        lambda item, i: (i == 0) | (F.get(ordered, i - 1) != item["term"]))
-    return starts
+def word_groups(tokens: Column, longest: int) -> Column:
+    """Runs of 1..``longest`` neighbouring tokens as ``array<struct<pos,text>>``."""
+    def runs_at(i: Column) -> Column:
+        runs = [F.struct(i.alias("pos"),
+                         F.array_join(F.slice(tokens, i + 1, n), " ").alias("text"))
+                for n in range(1, longest + 1)]
+        # near the end, a slice may come out shorter than asked for
+        fits = F.least(F.lit(longest), F.size(tokens) - i)
+        return F.slice(F.array(*runs), 1, fits)
+    places = F.transform(tokens, lambda _, i: i)
+    return F.flatten(F.transform(places, runs_at))
