@@ -48,15 +48,17 @@ def match_owner_lexicons(sentences: DataFrame, lexicons: DataFrame,
 
     Owners without a list get ``default_terms``. The join key is owner *and*
     term, so an owner with a third of all articles still spreads over the
-    terms; which owners have a list is a semi join on distinct owners.
+    terms. For the default list only the hits, not the sentences, meet the
+    table of owners that have a list.
     """
     own = lexicons.select(
         "owner", F.lower("term").alias("term")).distinct()
     listed = own.select("owner").distinct()
     with_list = (token_table(sentences, "owner").join(own, ["owner", "term"])
                  .select(*SENTENCE, "owner", "term"))
-    without = match_terms(
-        sentences.join(listed, "owner", "left_anti"), default_terms)
+    without = (match_terms(sentences, default_terms)
+               .select(*SENTENCE, "owner", "detected_terms")
+               .join(listed, "owner", "left_anti"))
     return (with_list.groupBy(*SENTENCE, "owner")
             .agg(F.array_sort(F.collect_set("term")).alias("detected_terms"))
             .unionByName(without.select(*SENTENCE, "owner", "detected_terms")))

@@ -56,16 +56,3 @@ def flag_propaganda(articles: DataFrame,
         "techniques": F.col(techniques),
     })
 
-
-def detect_from_table(articles: DataFrame, techniques: DataFrame,
-                      text: str = "content") -> DataFrame:
-    """For a technique list that is itself a table (``pos, technique``).
-
-    Substring search has no equi key, so the small list is handed to every
-    task: it is read once on the driver, which a hand-kept list allows.
-    """
-    limit = 10_000
-    rows = techniques.orderBy("pos").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} technique names")
-    return detect_techniques(articles, [row.technique for row in rows], text)
