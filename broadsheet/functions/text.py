@@ -14,6 +14,7 @@ WHITESPACE = " \t\n\r\f\u000b"
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 TOKEN = r"[\p{L}\p{N}_]+"
 NON_ASCII = r"[^\x00-\x7F]"
+VISIBLE_ASCII = r"[\x00-\x7F&&[^ \t\n\r\f\x0B]]"
 
 # Plural endings and what replaces them, tried in this order.
 SUFFIX_RULES = (
@@ -71,6 +72,15 @@ def ascii_fold(column: Column) -> Column:
             .otherwise(F.regexp_replace(narrowed, NON_ASCII, "")))
 
 
+def has_folded_text(column: Column) -> Column:
+    """Whether anything but white space is left after the fold.
+
+    One visible ASCII letter settles it, so nearly no text is folded for this.
+    """
+    return F.when(column.rlike(VISIBLE_ASCII), True).otherwise(
+        strip_text(ascii_fold(column)) != "")
+
+
 def sentences_of(column: Column) -> Column:
     """Stripped, non-blank sentences in order.
 
@@ -91,19 +101,26 @@ def token_set(column: Column) -> Column:
     return F.array_distinct(tokens_of(column))
 
 
-def keep_terms(tokens: Column, terms) -> Column:
-    """The tokens that are among ``terms`` (a list known to the driver)."""
-    terms = sorted(set(terms))
-    if not terms:
-        return F.slice(tokens, 1, 0)
-    return F.filter(tokens, lambda token: token.isin(terms))
+def sql_list(terms) -> str:
+    """Terms as a SQL value list. One parse, where a column per term is slow."""
+    escaped = (t.replace("\\", "\\\\").replace("'", "\\'") for t in sorted(set(terms)))
+    return ", ".join(f"'{term}'" for term in escaped) or "NULL"
+
 
+def kept_sql(tokens: str, terms) -> str:
+    """SQL text: the tokens among ``terms``, found by hash set per token."""
+    return f"filter({tokens}, t -> t IN ({sql_list(terms)}))"
 
-def drop_terms(tokens: Column, terms) -> Column:
-    terms = sorted(set(terms))
-    if not terms:
-        return tokens
-    return F.filter(tokens, lambda token: ~token.isin(terms))
+
+def dropped_sql(tokens: str, terms) -> str:
+    """SQL text: the tokens not among ``terms``."""
+    return f"filter({tokens}, t -> coalesce(t NOT IN ({sql_list(terms)}), true))"
+
+
+def tokens_sql(text: str) -> str:
+    """SQL text of ``tokens_of``, for use inside SQL lambdas."""
+    pattern = TOKEN.replace("\\", "\\\\")
+    return f"regexp_extract_all(lower({text}), '{pattern}', 0)"
 
 
 def lemma_by_suffix(token: Column) -> Column:
@@ -115,13 +132,12 @@ def lemma_by_suffix(token: Column) -> Column:
     return rule.otherwise(token)
 
 
-def normalized_tokens(column: Column, stop_words, lemma=lemma_by_suffix) -> Column:
-    """Lower-case tokens without stop words, each as its lemma, in order."""
-    kept = drop_terms(tokens_of(column), stop_words)
+def normalized_tokens(text: str, stop_words, lemma=lemma_by_suffix) -> Column:
+    """Tokens of column ``text`` without stop words, each as its lemma, in order."""
+    kept = F.expr(dropped_sql(tokens_sql(f"coalesce({text}, '')"), stop_words))
     return F.transform(kept, lemma) if lemma else kept
 
 
-
 def word_groups(tokens: Column, longest: int) -> Column:
     """Runs of 1..``longest`` neighbouring tokens as ``array<struct<pos,text>>``."""
     def runs_at(i: Column) -> Column:

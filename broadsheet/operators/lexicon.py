@@ -18,9 +18,10 @@ def match_terms(sentences: DataFrame, terms) -> DataFrame:
     is part of the plan and is looked up by hash inside each row.
     """
     terms = [term.lower() for term in terms]
-    found = F.array_sort(F.array_distinct(
-        X.keep_terms(X.tokens_of(F.col("sentence")), terms)))
-    return (sentences.withColumn("detected_terms", found)
+    found = X.kept_sql(X.tokens_sql("sentence"), terms)
+    return (sentences
+            .withColumn("detected_terms",
+                        F.expr(f"sort_array(array_distinct({found}))"))
             .filter(F.size("detected_terms") > 0))
 
 
@@ -66,11 +67,11 @@ def match_owner_lexicons(sentences: DataFrame, lexicons: DataFrame,
 
 def bias_counts(articles: DataFrame, terms, text: str = "content") -> DataFrame:
     """Sentences with at least one term, per article, zero included."""
-    terms = [term.lower() for term in terms]
-    hit = F.filter(
-        X.sentences_of(X.text_of(F.col(text))),
-        lambda s: F.exists(X.tokens_of(s), lambda token: token.isin(terms)))
-    return articles.select("article_id", F.size(hit).cast("long").alias("bias_score"))
+    found = X.kept_sql(X.tokens_sql("s"), [term.lower() for term in terms])
+    split = articles.select(
+        "article_id", X.sentences_of(X.text_of(F.col(text))).alias("sentences"))
+    hit = F.expr(f"filter(sentences, s -> size({found}) > 0)")
+    return split.select("article_id", F.size(hit).cast("long").alias("bias_score"))
 
 
 def term_usage(articles: DataFrame, lexicon: DataFrame,

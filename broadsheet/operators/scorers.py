@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from broadsheet import constants as C
 from broadsheet import schemas
-from broadsheet.functions import scores as S
 from broadsheet.functions import text as X
 
 
-def _count(tokens: Column, terms) -> Column:
-    return F.size(X.keep_terms(tokens, terms))
+def _count(hits: str, terms) -> str:
+    return f"size({X.kept_sql(hits, terms)})"
 
 
 @dataclass(frozen=True)
@@ -37,13 +36,13 @@ class ValenceStars:
     def vocabulary(self) -> set[str]:
         return {*self.positive, *self.negative}
 
-    def score(self, hits: Column) -> Column:
-        """Label of one sentence from its distinct vocabulary terms."""
-        stars = (F.lit(C.NEUTRAL_STARS) + _count(hits, self.positive)
-                 - _count(hits, self.negative))
-        stars = F.greatest(F.lit(1), F.least(F.lit(5), stars))
-        return F.struct(S.star_label(stars).alias("label"),
-                        F.lit(None).cast("double").alias("score"))
+    def score(self, hits: str) -> str:
+        """SQL text: label of a sentence from its distinct vocabulary terms."""
+        labels = ", ".join(f"'{label}'" for label in C.STAR_LABELS)
+        stars = (f"{C.NEUTRAL_STARS} + {_count(hits, self.positive)}"
+                 f" - {_count(hits, self.negative)}")
+        return (f"named_struct('label', element_at(array({labels}), "
+                f"greatest(1, least(5, {stars}))), 'score', cast(NULL AS double))")
 
 
 @dataclass(frozen=True)
@@ -56,11 +55,10 @@ class TermPropaganda:
     def vocabulary(self) -> set[str]:
         return set(self.terms)
 
-    def score(self, hits: Column) -> Column:
+    def score(self, hits: str) -> str:
         h = _count(hits, self.terms)
-        return F.struct(
-            F.when(h > 0, "Propaganda").otherwise("Non-Propaganda").alias("label"),
-            (h / (h + 0.1)).alias("score"))
+        return (f"named_struct('label', if({h} > 0, 'Propaganda', 'Non-Propaganda'), "
+                f"'score', {h} / ({h} + 0.1D))")
 
 
 ScoreBatch = Callable[[Sequence[str]], Sequence[tuple[str, float]]]
@@ -104,10 +102,9 @@ def sentence_scores(sentences: DataFrame, scorer) -> DataFrame:
     if isinstance(scorer, ModelScorer):
         scored = F.get(scorer.score_list(F.array("sentence")), F.lit(0))
     else:
-        hits = F.array_distinct(
-            X.keep_terms(X.tokens_of(F.col("sentence")), scorer.vocabulary))
-        sentences = sentences.withColumn("hits", hits)
-        scored = scorer.score(F.col("hits"))
+        hits = X.kept_sql(X.tokens_sql("sentence"), scorer.vocabulary)
+        sentences = sentences.withColumn("hits", F.expr(f"array_distinct({hits})"))
+        scored = F.expr(scorer.score("hits"))
     return (sentences.withColumn("scored", scored)
             .withColumns({"label": F.col("scored.label"),
                           "score": F.col("scored.score")})

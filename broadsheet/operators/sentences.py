@@ -37,6 +37,6 @@ def rejected_articles(articles: DataFrame, text: str = "content") -> DataFrame:
     """
     column = X.text_of(F.col(text))
     reason = (F.when(~has_text(column), "no_text")
-              .when(~has_text(X.ascii_fold(column)), "no_sentences"))
+              .when(~X.has_folded_text(column), "no_sentences"))
     return (articles.select("article_id", reason.alias("reason"))
             .filter(F.col("reason").isNotNull()))

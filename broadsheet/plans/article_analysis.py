@@ -17,10 +17,10 @@ from broadsheet.functions.predicates import is_propaganda
 from broadsheet.operators.scorers import ModelScorer
 
 
-def _scored(scorer, sentences: Column, hits: Column) -> Column:
+def _scored(scorer) -> Column:
     if isinstance(scorer, ModelScorer):
-        return scorer.score_list(sentences)
-    return F.transform(hits, scorer.score)
+        return scorer.score_list(F.col("sentences"))
+    return F.expr(f"transform(hits, h -> {scorer.score('h')})")
 
 
 def sentence_lists(articles: DataFrame, *, bias_terms, stars, propaganda,
@@ -38,16 +38,20 @@ def sentence_lists(articles: DataFrame, *, bias_terms, stars, propaganda,
         if not isinstance(scorer, ModelScorer):
             wanted |= scorer.vocabulary
     body = X.text_of(F.col(text))
-    folded = articles.withColumn("text", X.ascii_fold(body) if fold else body)
-    split = (folded.filter(X.strip_text(F.col("text")) != "")
-             .withColumn("sentences", X.sentences_of(F.col("text"))))
-    hits = split.withColumn("hits", F.transform("sentences", lambda s: F.array_distinct(
-        X.keep_terms(X.tokens_of(s), wanted))))
+    # tested on the input column: a filter on the folded text would be pushed
+    # down with a second copy of the whole fold
+    kept = articles.filter(
+        X.has_folded_text(body) if fold else X.strip_text(body) != "")
+    folded = kept.withColumn("text", X.ascii_fold(body) if fold else body)
+    split = folded.withColumn("sentences", X.sentences_of(F.col("text")))
+    found = X.kept_sql(X.tokens_sql("s"), wanted)
+    hits = split.withColumn(
+        "hits", F.expr(f"transform(sentences, s -> array_distinct({found}))"))
     return hits.withColumns({
-        "bias_hits": F.transform(
-            "hits", lambda h: F.array_sort(X.keep_terms(h, bias_terms))),
-        "star_scores": _scored(stars, F.col("sentences"), F.col("hits")),
-        "propaganda_scores": _scored(propaganda, F.col("sentences"), F.col("hits")),
+        "bias_hits": F.expr(
+            f"transform(hits, h -> sort_array({X.kept_sql('h', bias_terms)}))"),
+        "star_scores": _scored(stars),
+        "propaganda_scores": _scored(propaganda),
     }).drop("hits")
 
 
