@@ -8,7 +8,7 @@ expressions, and any Python model run on Arrow batches.
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -63,6 +63,17 @@ class TermPropaganda:
 
 ScoreBatch = Callable[[Sequence[str]], Sequence[tuple[str, float]]]
 
+# Models of this worker process; the oldest goes when a fifth comes.
+_LOADED: dict[str, ScoreBatch] = {}
+
+
+def _loaded(key: str, load: Callable[[], ScoreBatch]) -> ScoreBatch:
+    if key not in _LOADED:
+        if len(_LOADED) >= 4:
+            del _LOADED[next(iter(_LOADED))]
+        _LOADED[key] = load()
+    return _LOADED[key]
+
 
 @dataclass(frozen=True)
 class ModelScorer:
@@ -80,11 +91,11 @@ class ModelScorer:
 
     def score_list(self, sentences: Column) -> Column:
         load, size, limit = self.load, self.batch_size, self.max_chars
-        load_once = functools.lru_cache(maxsize=1)(load)
+        key = uuid.uuid4().hex
 
         @F.pandas_udf(f"array<{schemas.SENTENCE_SCORE.simpleString()}>")
         def run(lists: pd.Series) -> pd.Series:
-            model = load_once()
+            model = _loaded(key, load)
             flat = [s[:limit] for items in lists for s in items]
             results = []
             for start in range(0, len(flat), size):

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from broadsheet.functions.predicates import has_text, is_url
 
@@ -64,7 +65,7 @@ def _main_text(html: str | None) -> str:
     return " ".join(parser.main if parser.mains_seen else parser.paragraphs)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def page_text(html: pd.Series) -> pd.Series:
     """Text of the first <main>, else of all <p>, pieces joined by a blank.
 
