@@ -24,7 +24,7 @@ from broadsheet.functions.predicates import is_propaganda
 from broadsheet.functions.scores import star_value
 from broadsheet.operators import history as H
 from broadsheet.operators import lexicon as L
-from broadsheet.operators.scorers import ModelScorer, sentence_scores
+from broadsheet.operators.scorers import ModelScorer, sentence_scores, word_model
 from broadsheet.operators.sentences import sentence_table
 from broadsheet.plans import compare
 from broadsheet.plans.article_analysis import analysis_records, score_articles
@@ -89,27 +89,9 @@ def sentence_stars(spark, sf):
                          star_value(F.col("label")).alias("stars"))
 
 
-def _load_word_model():
-    """A plain Python model with the same word lists."""
-    import re
-
-    token = re.compile(r"\w+")
-    positive, negative = set(POSITIVE), set(NEGATIVE)
-
-    def score(batch):
-        results = []
-        for sentence in batch:
-            words = set(token.findall(sentence.lower()))
-            stars = 3 + len(words & positive) - len(words & negative)
-            results.append((C.STAR_LABELS[min(5, max(1, stars)) - 1], 1.0))
-        return results
-
-    return score
-
-
 @query("sentence_stars_udf", STARS_SQL)
 def sentence_stars_udf(spark, sf):
-    model = ModelScorer(_load_word_model, batch_size=C.STAR_BATCH)
+    model = ModelScorer(word_model(POSITIVE, NEGATIVE), batch_size=C.STAR_BATCH)
     scored = sentence_scores(sentence_table(articles(spark, sf)), model)
     return scored.select("article_id", "sent_id", "label",
                          star_value(F.col("label")).alias("stars"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -16,6 +17,10 @@ from broadsheet import constants as C
 from broadsheet.operators import features as feats
 
 
+# Training rows one task can sum in well under a second.
+ROWS_PER_TASK = 20_000
+
+
 @dataclass(frozen=True)
 class TechniqueModel:
     """Features and, per class, a trained SVM or the constant it would give."""
@@ -28,13 +33,15 @@ class TechniqueModel:
 
 def train_techniques(labelled: DataFrame, *, tokens: str = "tokens",
                      labels: str = "techniques", size: int = C.MAX_FEATURES,
-                     max_iter: int = C.SVM_ITERATIONS,
-                     tolerance: float = 1e-4) -> TechniqueModel:
+                     max_iter: int = C.SVM_ITERATIONS, tolerance: float = 1e-4,
+                     parallelism: int = 4) -> TechniqueModel:
     """Fit on the rows given, which should be the training part only.
 
-    Features are fitted and cached once and shared by all labels. A label that
-    every row, or none, carries needs no machine. Without any label the model
-    is empty and predicts empty lists.
+    Features are fitted and cached once and shared by all labels, of which
+    ``parallelism`` train at a time. A label that every row, or none, carries
+    needs no machine. Without any label the model is empty and predicts empty
+    lists. A step of the solver is one short job, so a small training set is
+    drawn together into few partitions; a large one keeps its own.
     """
     classes = feats.label_names(labelled, labels)
     if not classes:
@@ -49,16 +56,22 @@ def train_techniques(labelled: DataFrame, *, tokens: str = "tokens",
         counts = rows.agg(F.count("*").alias("n"), *[
             F.sum(F.get("flags", F.lit(i))).alias(f"c{i}")
             for i in range(len(classes))]).first()
-        machines, constants = {}, {}
-        for i, name in enumerate(classes):
-            if counts[f"c{i}"] in (0, counts["n"]):
-                constants[name] = int(counts[f"c{i}"] > 0)
-                continue
-            one = rows.select("features", F.get("flags", F.lit(i))
-                              .cast("double").alias("label"))
-            machines[name] = LinearSVC(
+        constants = {name: int(counts[f"c{i}"] > 0) for i, name in enumerate(classes)
+                     if counts[f"c{i}"] in (0, counts["n"])}
+        compact = rows.coalesce(counts["n"] // ROWS_PER_TASK + 1)
+
+        def fit(name: str) -> LinearSVCModel:
+            flag = F.get("flags", F.lit(classes.index(name)))
+            return LinearSVC(
                 maxIter=max_iter, tol=tolerance, regParam=1.0 / counts["n"],
-                standardization=False).fit(one)
+                standardization=False,
+            ).fit(compact.select("features", flag.cast("double").alias("label")))
+
+        varied = [name for name in classes if name not in constants]
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            fitted = pool.map(
+                inheritable_thread_target(labelled.sparkSession)(fit), varied)
+            machines = dict(zip(varied, fitted))
         return TechniqueModel(model, classes, machines, constants)
     finally:
         rows.unpersist()
@@ -92,13 +105,16 @@ def train_propaganda(labelled: DataFrame, *, tokens: str = "tokens",
 
     Hashing needs no vocabulary pass. The class shares are one aggregate.
     """
-    share = labelled.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.5
+    seen = labelled.agg(F.avg(F.col(label).cast("double")).alias("share"),
+                        F.count("*").alias("n")).first()
+    share = 0.5 if seen["share"] is None else seen["share"]
     share = min(max(share, 1e-6), 1 - 1e-6)
     hashed = HashingTF(numFeatures=buckets, inputCol=tokens, outputCol="features")
     weight = F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share))
     rows = (hashed.transform(labelled)
             .select("features", F.col(label).cast("double").alias("label"),
                     weight.alias("weight"))
+            .coalesce(seen["n"] // ROWS_PER_TASK + 1)
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         fitted = LogisticRegression(maxIter=max_iter, regParam=reg,

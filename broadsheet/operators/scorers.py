@@ -108,6 +108,28 @@ class ModelScorer:
         return run(sentences)
 
 
+def word_model(positive: Sequence[str], negative: Sequence[str]) -> Callable[[], ScoreBatch]:
+    """Loader of a plain Python star model; stands in for a trained network."""
+    def load() -> ScoreBatch:
+        import re
+
+        token = re.compile(r"\w+")
+        good, bad = set(positive), set(negative)
+        labels = C.STAR_LABELS
+
+        def score(batch: Sequence[str]) -> list[tuple[str, float]]:
+            results = []
+            for sentence in batch:
+                words = set(token.findall(sentence.lower()))
+                stars = 3 + len(words & good) - len(words & bad)
+                results.append((labels[min(5, max(1, stars)) - 1], 1.0))
+            return results
+
+        return score
+
+    return load
+
+
 def sentence_scores(sentences: DataFrame, scorer) -> DataFrame:
     """``label`` and ``score`` for a table with one sentence per row."""
     if isinstance(scorer, ModelScorer):
