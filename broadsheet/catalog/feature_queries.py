@@ -76,8 +76,7 @@ df AS (SELECT term, CAST(sum(tf) AS BIGINT) AS term_frequency,
 
 @query("term_stats", f"WITH {FREQUENCIES_SQL} SELECT * FROM df")
 def term_stats(spark, sf):
-    return O.term_stats(O.term_frequencies(
-        plain_articles(spark, sf), O.feature_terms("content")))
+    return O.term_stats(articles(spark, sf), O.feature_terms("content"))
 
 
 @query("tfidf", f"""WITH {FREQUENCIES_SQL},

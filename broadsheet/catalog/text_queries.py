@@ -118,7 +118,7 @@ NOISE_SQL = (r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</
 
 
 @query("page_articles", rf"""
-WITH c AS (SELECT page_id, url, regexp_replace(html, '{NOISE_SQL}', '', 'g') AS h FROM pages),
+WITH c AS (SELECT page_id, url, regexp_replace(html, '{NOISE_SQL}', ' ', 'g') AS h FROM pages),
 b AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '(?is)<main(?:\s[^>]*)?>(.*?)</main\s*>')
     THEN regexp_extract(h, '(?is)<main(?:\s[^>]*)?>(.*?)</main\s*>', 1)
     ELSE array_to_string(regexp_extract_all(h,
@@ -135,7 +135,7 @@ def page_articles(spark, sf):
 
 
 @query("page_text", rf"""
-WITH c AS (SELECT page_id, regexp_replace(html, '{NOISE_SQL}', '', 'g') AS h FROM pages),
+WITH c AS (SELECT page_id, regexp_replace(html, '{NOISE_SQL}', '<>', 'g') AS h FROM pages),
 -- an unclosed paragraph reaches to the end of its article
 b AS (SELECT page_id, CASE
     WHEN len(regexp_extract_all(h, '(?i)<p[\s>]')) > len(regexp_extract_all(h, '(?i)</p>'))

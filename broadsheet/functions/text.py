@@ -17,12 +17,8 @@ NON_ASCII = r"[^\x00-\x7F]"
 VISIBLE_ASCII = r"[\x00-\x7F&&[^ \t\n\r\f\x0B]]"
 
 # Plural endings and what replaces them, tried in this order.
-SUFFIX_RULES = (
-    ("sses$", "ss"),
-    ("ies$", "y"),
-    ("(ss|us|is)$", "$1"),
-    ("s$", ""),
-)
+SUFFIX_RULES = (("sses", "ss"), ("ies", "y"), ("ss", "ss"), ("us", "us"),
+                ("is", "is"), ("s", ""))
 
 
 def text_of(column: Column) -> Column:
@@ -123,29 +119,30 @@ def tokens_sql(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '{pattern}', 0)"
 
 
-def lemma_by_suffix(token: Column) -> Column:
-    """Singular by the suffix table; tokens of up to three letters stay."""
-    rule = F.when(F.length(token) <= 3, token)
-    for pattern, replacement in SUFFIX_RULES:
-        rule = rule.when(token.rlike(pattern),
-                         F.regexp_replace(token, pattern, replacement))
-    return rule.otherwise(token)
+def lemma_by_suffix(token: str) -> str:
+    """SQL text: singular by the suffix table; up to three letters stay."""
+    cases = " ".join(
+        f"WHEN endswith({token}, '{end}') THEN "
+        f"concat(left({token}, length({token}) - {len(end)}), '{new}')"
+        for end, new in SUFFIX_RULES)
+    return f"CASE WHEN length({token}) <= 3 THEN {token} {cases} ELSE {token} END"
 
 
 def normalized_tokens(text: str, stop_words, lemma=lemma_by_suffix) -> Column:
     """Tokens of column ``text`` without stop words, each as its lemma, in order."""
-    kept = F.expr(dropped_sql(tokens_sql(f"coalesce({text}, '')"), stop_words))
-    return F.transform(kept, lemma) if lemma else kept
+    kept = dropped_sql(tokens_sql(f"coalesce({text}, '')"), stop_words)
+    return F.expr(f"transform({kept}, w -> {lemma('w')})" if lemma else kept)
 
 
 def word_groups(tokens: Column, longest: int) -> Column:
-    """Runs of 1..``longest`` neighbouring tokens as ``array<struct<pos,text>>``."""
-    def runs_at(i: Column) -> Column:
-        runs = [F.struct(i.alias("pos"),
-                         F.array_join(F.slice(tokens, i + 1, n), " ").alias("text"))
-                for n in range(1, longest + 1)]
-        # near the end, a slice may come out shorter than asked for
-        fits = F.least(F.lit(longest), F.size(tokens) - i)
-        return F.slice(F.array(*runs), 1, fits)
-    places = F.transform(tokens, lambda _, i: i)
-    return F.flatten(F.transform(places, runs_at))
+    """Runs of 1..``longest`` neighbouring tokens as ``array<struct<pos,n,text>>``.
+
+    ``tokens`` should be a plain column, as it is used more than once.
+    """
+    def runs(n: int) -> Column:
+        starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda token, i: F.struct(
+            i.alias("pos"), F.lit(n).alias("n"),
+            F.concat_ws(" ", token, *[F.get(tokens, i + k) for k in range(1, n)])
+            .alias("text")))
+    return F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)]))

@@ -70,21 +70,29 @@ def inline_entities(articles: DataFrame, gazetteer: dict[str, str],
                     text: str = "content", output: str = "entities") -> DataFrame:
     """Adds the entity list of a short gazetteer inside the row. No shuffle.
 
-    Order is by place, then shorter phrase first.
+    Only places whose word starts some name are looked at further. Order is by
+    place, then shorter phrase first.
     """
     labels = {name.lower(): label for name, label in gazetteer.items()}
     if not labels:
         return articles.withColumn(
             output, F.expr("cast(array() AS array<struct<text:string,label:string>>)"))
     longest = max(len(name.split()) for name in labels)
-    tokens = articles.withColumn("_tokens", X.tokens_of(X.text_of(F.col(text))))
-    runs = F.expr(
-        f"filter(_runs, r -> r.text IN ({X.sql_list(labels)}))")
-    table = F.expr("map(" + ", ".join(
+    starts = X.sql_list(name.split()[0] for name in labels)
+    table = "map(" + ", ".join(
         f"{X.sql_list([name])}, {X.sql_list([label])}"
-        for name, label in labels.items()) + ")")
-    return (tokens.withColumn("_runs", X.word_groups(F.col("_tokens"), longest))
-            .withColumn(output, F.transform(runs, lambda r: F.struct(
-                r["text"].alias("text"),
-                F.element_at(table, r["text"]).alias("label"))))
-            .drop("_tokens", "_runs"))
+        for name, label in labels.items()) + ")"
+    phrases = ", ".join(
+        f"concat_ws(' ', slice(_tokens, p.pos + 1, {n}))" for n in range(1, longest + 1))
+    return (articles
+            .withColumn("_tokens", X.tokens_of(X.text_of(F.col(text))))
+            .withColumn("_places", F.expr(
+                "filter(transform(_tokens, (w, i) -> named_struct('pos', i, 'word', w)), "
+                f"p -> p.word IN ({starts}))"))
+            .withColumn("_found", F.expr(
+                f"flatten(transform(_places, p -> filter(array_distinct(array({phrases})), "
+                f"t -> t IN ({X.sql_list(labels)}))))"))
+            .withColumn(output, F.expr(
+                "transform(_found, t -> named_struct('text', t, "
+                f"'label', element_at({table}, t)))"))
+            .drop("_tokens", "_places", "_found"))

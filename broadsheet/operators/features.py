@@ -61,21 +61,34 @@ def term_frequencies(articles: DataFrame, terms: Column) -> DataFrame:
     return pairs.groupBy("article_id", "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(frequencies: DataFrame) -> DataFrame:
-    """Corpus frequency and document frequency per term.
+def term_stats(articles: DataFrame, terms: Column) -> DataFrame:
+    """Corpus frequency and document frequency per term, in one pass.
 
-    Counts are summed per task first, so even the commonest word is one row
-    per task in the shuffle.
+    Every article gives each token once for the first count and each distinct
+    token once for the second. Both are summed per task, so even the commonest
+    word is one row per task in the only shuffle, and no article moves.
     """
+    lists = articles.select(terms.alias("terms"))
+    marked = F.flatten(F.array(
+        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
+        F.transform(F.array_distinct("terms"),
+                    lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))))
+    return (lists.select(F.explode(marked).alias("m"))
+            .groupBy(F.col("m.term").alias("term"))
+            .agg(F.count_if(F.col("m.first") == 0).alias("term_frequency"),
+                 F.count_if(F.col("m.first") == 1).alias("document_frequency")))
+
+
+def stats_of(frequencies: DataFrame) -> DataFrame:
+    """The same figures from counts per article that are at hand anyway."""
     return frequencies.groupBy("term").agg(
         F.sum("tf").alias("term_frequency"),
         F.count("*").alias("document_frequency"))
 
 
-def vocabulary(frequencies: DataFrame, size: int = C.MAX_FEATURES) -> DataFrame:
+def vocabulary(stats: DataFrame, size: int = C.MAX_FEATURES) -> DataFrame:
     """The ``size`` most frequent terms; equal counts in term order."""
-    return (term_stats(frequencies)
-            .orderBy(F.col("term_frequency").desc(), "term").limit(size))
+    return stats.orderBy(F.col("term_frequency").desc(), "term").limit(size)
 
 
 def smooth_idf(documents: Column, document_frequency: Column) -> Column:
@@ -92,7 +105,7 @@ def tfidf(articles: DataFrame, terms: Column,
     """
     frequencies = term_frequencies(articles, terms)
     documents = articles.agg(F.count("*").alias("n")).scalar()
-    weighted = vocabulary(frequencies, size).select(
+    weighted = vocabulary(stats_of(frequencies), size).select(
         "term", smooth_idf(documents, F.col("document_frequency")).alias("idf"))
     if size <= BROADCAST_ROWS:
         weighted = F.broadcast(weighted)
@@ -110,10 +123,10 @@ def fit_tfidf(articles: DataFrame, tokens: str = "tokens", output: str = "featur
     Only the vocabulary with its weights, at most ``size`` rows, comes to the
     driver. ``None`` when the corpus has no term.
     """
-    frequencies = term_frequencies(articles, F.filter(
+    stats = term_stats(articles, F.filter(
         F.col(tokens), lambda token: F.length(token) >= 2))
     documents = articles.agg(F.count("*").alias("n")).scalar()
-    rows = vocabulary(frequencies, size).select(
+    rows = vocabulary(stats, size).select(
         "term", smooth_idf(documents, F.col("document_frequency")).alias("idf")).collect()
     if not rows:
         return None

@@ -25,12 +25,13 @@ def class_tfidf(tokens: DataFrame) -> DataFrame:
     than its vocabulary.
     """
     counts = tokens.groupBy("topic", "term").agg(F.count("*").alias("tf"))
-    frequency = counts.groupBy("term").agg(F.sum("tf").alias("f"))
     mean_words = counts.agg(
         (F.sum("tf") / F.count_distinct("topic")).alias("a")).scalar()
-    return (counts.join(frequency, "term")
-            .select("topic", "term", "tf",
-                    (F.col("tf") * F.log(1 + mean_words / F.col("f"))).alias("score")))
+    # a term's rows are at most one per topic
+    frequency = F.sum("tf").over(Window.partitionBy("term"))
+    return counts.select(
+        "topic", "term", "tf",
+        (F.col("tf") * F.log(1 + mean_words / frequency)).alias("score"))
 
 
 def topic_words(scored: DataFrame, words: int = 4) -> DataFrame:

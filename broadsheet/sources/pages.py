@@ -83,7 +83,7 @@ def page_text_by_pattern(html: Column) -> Column:
     unclosed paragraph's end and the end of its parent is left out; only the
     common entities are decoded.
     """
-    clean = F.regexp_replace(html, NOISE, "")
+    clean = F.regexp_replace(html, NOISE, " ")
     has_main = clean.rlike(MAIN)
     body = F.when(has_main, F.regexp_extract(clean, MAIN, 1)).otherwise(
         F.array_join(F.regexp_extract_all(clean, F.lit(PARAGRAPH), F.lit(0)), " "))
