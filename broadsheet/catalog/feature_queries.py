@@ -33,6 +33,7 @@ from broadsheet.operators.techniques import (
     detect_whole_techniques,
     flag_propaganda,
 )
+from broadsheet.operators.unnest import unnest
 from broadsheet.plans.annotate import annotate_text
 
 CLASSES = sorted(n for n in TECHNIQUES if n not in ("Repetitive Phrasing", "Loaded Language"))
@@ -208,13 +209,13 @@ info AS (SELECT topic, count(*) AS count, any_value(name) AS name
 @query("ctfidf", f"""WITH {LANGUAGES}
 SELECT topic, term, tf, round(score, 6) AS score FROM scored""")
 def ctfidf(spark, sf):
-    words = by_language(spark, sf).select("topic", F.explode("tokens").alias("term"))
+    words = unnest(by_language(spark, sf), "tokens", "topic", value="term")
     return topics.class_tfidf(words).select("topic", "term", "tf", rounded("score"))
 
 
 def _info(docs):
-    return topics.topic_info(docs.select("topic"), docs.select(
-        "topic", F.explode("tokens").alias("term")))
+    return topics.topic_info(docs.select("topic"),
+                             unnest(docs, "tokens", "topic", value="term"))
 
 
 @query("topic_info", f"WITH {LANGUAGES} SELECT * FROM info")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as X
+from broadsheet.operators.unnest import unnest
 
 # Fixed patterns, written for both Java and RE2.
 RULES = {
@@ -23,8 +24,8 @@ def candidate_phrases(articles: DataFrame, longest: int = 3,
     """Every run of 1..``longest`` neighbouring words: ``article_id, pos, text``."""
     tokens = articles.select(
         "article_id", X.tokens_of(X.text_of(F.col(text))).alias("tokens"))
-    runs = F.explode(X.word_groups(F.col("tokens"), longest))
-    return (tokens.select("article_id", runs.alias("run"))
+    runs = X.word_groups(F.col("tokens"), longest)
+    return (unnest(tokens, runs, "article_id", value="run")
             .select("article_id", F.col("run.pos"), F.col("run.text")))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window
 
 from broadsheet import constants as C
 from broadsheet.functions import text as X
+from broadsheet.operators.unnest import unnest
 
 # A vocabulary up to this many rows is handed to every task.
 BROADCAST_ROWS = 100_000
@@ -57,7 +58,7 @@ def term_frequencies(articles: DataFrame, terms: Column) -> DataFrame:
     same exchange.
     """
     placed = articles.repartition("article_id")
-    pairs = placed.select("article_id", F.explode(terms).alias("term"))
+    pairs = unnest(placed, terms, "article_id", value="term")
     return pairs.groupBy("article_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -73,7 +74,7 @@ def term_stats(articles: DataFrame, terms: Column) -> DataFrame:
         F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
         F.transform(F.array_distinct("terms"),
                     lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))))
-    return (lists.select(F.explode(marked).alias("m"))
+    return (unnest(lists, marked, value="m")
             .groupBy(F.col("m.term").alias("term"))
             .agg(F.count_if(F.col("m.first") == 0).alias("term_frequency"),
                  F.count_if(F.col("m.first") == 1).alias("document_frequency")))
@@ -143,7 +144,7 @@ def fit_tfidf(articles: DataFrame, tokens: str = "tokens", output: str = "featur
 
 def label_vocabulary(labelled: DataFrame, labels: str = "techniques") -> DataFrame:
     """Distinct labels; sort them where order matters."""
-    return labelled.select(F.explode(labels).alias("label")).distinct()
+    return unnest(labelled, labels, value="label").distinct()
 
 
 def label_names(labelled: DataFrame, labels: str = "techniques") -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from broadsheet import constants as C
 from broadsheet.functions import fields as N
 from broadsheet.functions import scores as S
+from broadsheet.operators.unnest import unnest
 
 
 def parsed_date(column: Column) -> Column:
@@ -69,12 +70,11 @@ def union_histories(*histories: DataFrame) -> DataFrame:
 
 def technique_rows(history: DataFrame, *keep: str) -> DataFrame:
     """Older records: parallel technique and score lists as rows."""
-    sentences = history.select(*keep, F.posexplode("propaganda_sentences")
-                               .alias("pos", "item"))
+    sentences = unnest(history, "propaganda_sentences", *keep, pos="pos", value="item")
     pairs = F.arrays_zip(F.col("item.detected_techniques").alias("technique"),
                          F.col("item.scores").alias("score"))
-    return (sentences.select(*keep, "pos", F.col("item.sentence").alias("sentence"),
-                             F.explode(pairs).alias("pair"))
+    return (unnest(sentences, pairs, *keep, "pos",
+                   F.col("item.sentence").alias("sentence"), value="pair")
             .select(*keep, "pos", "sentence",
                     F.col("pair.technique").alias("technique"),
                     F.col("pair.score").alias("score")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import text as X
 from broadsheet.operators.sentences import token_table
+from broadsheet.operators.unnest import unnest
 
 SENTENCE = ("article_id", "sent_id")
 
@@ -81,7 +82,7 @@ def term_usage(articles: DataFrame, lexicon: DataFrame,
     Article words are counted before they meet the lexicon, so the shuffle
     carries one row per term and task.
     """
-    used = (articles.select(F.explode(X.token_set(X.text_of(F.col(text)))).alias("term"))
+    used = (unnest(articles, X.token_set(X.text_of(F.col(text))), value="term")
             .groupBy("term").agg(F.count("*").alias("articles")))
     return (lexicon.join(used, "term", "left")
             .withColumn("articles", F.coalesce("articles", F.lit(0))))

@@ -57,8 +57,10 @@ class TermPropaganda:
 
     def score(self, hits: str) -> str:
         h = _count(hits, self.terms)
-        return (f"named_struct('label', if({h} > 0, 'Propaganda', 'Non-Propaganda'), "
-                f"'score', {h} / ({h} + 0.1D))")
+        # the one-item list names the count, so that it is made once
+        return (f"transform(array({h}), n -> named_struct("
+                "'label', if(n > 0, 'Propaganda', 'Non-Propaganda'), "
+                "'score', n / (n + 0.1D)))[0]")
 
 
 ScoreBatch = Callable[[Sequence[str]], Sequence[tuple[str, float]]]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import text as X
 from broadsheet.functions.predicates import has_text
+from broadsheet.operators.unnest import unnest
 
 
 def sentence_table(articles: DataFrame, text: str = "content",
@@ -18,9 +19,8 @@ def sentence_table(articles: DataFrame, text: str = "content",
 
 def token_table(sentences: DataFrame, *keep: str) -> DataFrame:
     """One row per distinct term of a sentence. No shuffle."""
-    return sentences.select(
-        "article_id", "sent_id", *keep,
-        F.explode(X.token_set(F.col("sentence"))).alias("term"))
+    return unnest(sentences, X.token_set(F.col("sentence")),
+                  "article_id", "sent_id", *keep, value="term")
 
 
 def sentence_counts(articles: DataFrame, text: str = "content") -> DataFrame:

@@ -12,6 +12,7 @@ from broadsheet import constants as C
 from broadsheet.functions import fields as N
 from broadsheet.operators import classify, entities, features, topics
 from broadsheet.operators.techniques import detect_techniques, flag_propaganda
+from broadsheet.operators.unnest import unnest
 from broadsheet.sources.corpus import with_missing_columns
 
 
@@ -65,7 +66,7 @@ def annotate_corpus(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
     placed = topics.assign_topics(vectors, clusters, "topic_features")
     info = topics.topic_info(
         placed.select("topic"),
-        placed.select("topic", F.explode("tokens").alias("term")))
+        unnest(placed, "tokens", "topic", value="term"))
     flat = placed.withColumns({
         "entities_text": N.entities_text(F.col("entities")),
         "indicators_text": N.list_text(F.col("indicators")),

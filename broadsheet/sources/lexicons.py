@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import constants as C
 from broadsheet import schemas
+from broadsheet.operators.unnest import unnest
 
 VERSIONS = {"default": C.DEFAULT_BIAS_TERMS, "extended": C.EXTENDED_BIAS_TERMS}
 
@@ -23,8 +24,7 @@ def built_in_lexicon(spark: SparkSession, version: str = "default") -> DataFrame
 
 def explode_terms(rows: DataFrame, owner: str, terms: str) -> DataFrame:
     """``(owner, pos, term)`` from one list per owner."""
-    return rows.select(F.col(owner).alias("owner"),
-                       F.posexplode(F.col(terms)).alias("pos", "term"))
+    return unnest(rows, terms, F.col(owner).alias("owner"), pos="pos", value="term")
 
 
 def read_user_lexicons(spark: SparkSession, path) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.operators.unnest import unnest
+
 
 def parse_techniques(rows: DataFrame, json_column: str, *keys: str) -> DataFrame:
     """One row per name with its place in the list; ``keys`` are kept."""
     names = F.from_json(F.col(json_column), "array<string>")
-    return rows.select(*keys, F.posexplode(names).alias("pos", "technique"))
+    return unnest(rows, names, *keys, pos="pos", value="technique")
 
 
 def read_techniques(spark: SparkSession, path: str) -> DataFrame:
