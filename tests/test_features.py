@@ -126,7 +126,7 @@ def test_topics_by_class(spark):
     flagged = spark.createDataFrame([(True,), (False,), (None,)], "is_propaganda boolean")
     row = summary.report_summary(flagged, topics.topic_info(assigned, tokens, 2)).first()
     assert (row.propaganda_articles, row.other_articles) == (1, 2)
-    assert row.topics_html == "Topic -1: -1_z<br>Topic 0: 0_x_z<br>Topic 1: 1_y_w"
+    assert row.topics_html == "Topic -1: -1_z<br>Topic 0: 0_x_z<br>Topic 1: 1_w_y"
 
 
 def test_report_without_topics(spark):
