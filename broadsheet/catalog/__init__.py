@@ -5,13 +5,8 @@ from broadsheet.catalog import (  # noqa: F401  (registers on import)
     corpus_queries,
     feature_queries,
     history_queries,
-    model_queries,
-
-
-
-
     lexicon_queries,
-
+    model_queries,
     text_queries,
 )
 from broadsheet.catalog.base import ORACLES, QUERIES

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import cache
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import functions as F
 
+from broadsheet import constants as C
 from broadsheet.catalog.base import (
     GAZETTEER,
     TECHNIQUES,
@@ -39,19 +35,9 @@ from broadsheet.plans.annotate import annotate_text
 CLASSES = sorted(n for n in TECHNIQUES if n not in ("Repetitive Phrasing", "Loaded Language"))
 
 
-@cache
-def _stop_words_of_spark() -> tuple[str, ...]:
-    """Spark's stop word file, for the SQL text, which needs no session."""
-    jars = Path(pyspark.__file__).parent / "jars"
-    jar = next(jars.glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        text = archive.read("org/apache/spark/ml/feature/stopwords/english.txt")
-    return tuple(text.decode().split("\n"))
-
-
 def normalized_sql(column: str) -> str:
     """List of normalised tokens."""
-    stops = sql_values(sorted(set(_stop_words_of_spark())))
+    stops = sql_values(sorted(C.STOP_WORDS))
     return rf"""list_transform(list_filter({tokens_sql(column)}, lambda t: t NOT IN ({stops})),
   lambda t: CASE WHEN length(t) <= 3 THEN t
     WHEN regexp_matches(t, 'sses$') THEN regexp_replace(t, 'sses$', 'ss')

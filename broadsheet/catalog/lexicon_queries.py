@@ -11,7 +11,6 @@ from broadsheet.catalog.base import (
     query,
     sentences_sql,
     sql_array,
-
     table,
     tokens_sql,
 )

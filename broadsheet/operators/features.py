@@ -7,7 +7,6 @@ from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
-    StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -23,8 +22,8 @@ BROADCAST_ROWS = 100_000
 
 
 def stop_words() -> list[str]:
-    """Spark's own English stop words; needs a running session."""
-    return StopWordsRemover.loadDefaultStopWords("english")
+    """The fixed English stop words, the same for every Spark version."""
+    return list(C.STOP_WORDS)
 
 
 def with_normalized_tokens(articles: DataFrame, words, text: str = "content",
