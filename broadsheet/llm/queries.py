@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import decontaminate, pii
+from broadsheet.llm import decontaminate, near_dedup, pii
 from broadsheet.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op4_pii(spark, sf):
     return pii.pii_digest(documents(spark, sf))
 
 
+@query("op5_near_dedup")
+def op5_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(documents(spark, sf))
+
+
 @query("op8_decontamination")
 def op8_decontamination(spark, sf):
     return decontaminate.contamination(
