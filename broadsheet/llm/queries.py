@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import decontaminate, near_dedup, pii
+from broadsheet.llm import decontaminate, near_dedup, pii, substrings
 from broadsheet.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op5_near_dedup(spark, sf):
 def op8_decontamination(spark, sf):
     return decontaminate.contamination(
         documents(spark, sf), read_table(spark, f"{sf}/benchmark.parquet", "item_id", "text"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, sf):
+    return substrings.substring_dedup(documents(spark, sf))
