@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import decontaminate, near_dedup, pii, substrings
+from broadsheet.llm import decontaminate, near_dedup, pii, sentence_pieces, substrings
 from broadsheet.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,9 @@ def op8_decontamination(spark, sf):
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark, sf):
     return substrings.substring_dedup(documents(spark, sf))
+
+
+@query("op9_sentence_pieces")
+def op9_sentence_pieces(spark, sf):
+    return sentence_pieces.token_digest(
+        documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
