@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import decontaminate, near_dedup, pii, sentence_pieces, substrings
+from broadsheet.llm import (
+    decontaminate,
+    fingerprint,
+    near_dedup,
+    pii,
+    quality,
+    sentence_pieces,
+    substrings,
+    token_counts,
+    token_files,
+)
 from broadsheet.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +37,17 @@ def documents(spark, sf):
     return read_table(spark, f"{sf}/documents.parquet", "doc_id", "text")
 
 
+@query("op1_fingerprint")
+def op1_fingerprint(spark, sf):
+    return fingerprint.fingerprint_report(documents(spark, sf))
+
+
+@query("op3_quality")
+def op3_quality(spark, sf):
+    return quality.quality_report(
+        documents(spark, sf), read_table(spark, f"{sf}/labels.parquet", "doc_id", "quality"))
+
+
 @query("op4_pii")
 def op4_pii(spark, sf):
     return pii.pii_digest(documents(spark, sf))
@@ -37,6 +58,18 @@ def op5_near_dedup(spark, sf):
     return near_dedup.near_duplicates(documents(spark, sf))
 
 
+@query("op6_token_files")
+def op6_token_files(spark, sf):
+    return token_files.token_report(
+        documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, sf):
+    return token_counts.section_tokens(
+        documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op8_decontamination")
 def op8_decontamination(spark, sf):
     return decontaminate.contamination(

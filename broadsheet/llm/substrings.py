@@ -33,7 +33,7 @@ LENGTH = 200
 PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 STEM = LENGTH - PERIOD + 1
-FLUSH = 2_500_000       # entries a task packs at once
+FLUSH = 1_000_000       # entries a task packs at once
 BLOCK = 1_500_000       # entries of a block, about
 LEAST_BLOCKS = 64
 BROADCAST_ROWS = 1_000_000
@@ -73,6 +73,15 @@ def _pack(docs: np.ndarray, places: np.ndarray):
     return docs[heads].tobytes(), _planes(counts, 4), _planes(steps, 4)
 
 
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places as differences, in planes."""
+    return _planes(np.diff(places, prepend=np.uint32(0)).astype(np.uint32), 4)
+
+
+def _unsteps(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(blob, 4, np.uint32), dtype=np.int64)
+
+
 def _unpack(docs, counts, places):
     docs, counts = np.frombuffer(docs, np.int64), _unplanes(counts, 4, np.uint32)
     steps = _unplanes(places, 4, np.uint32)
@@ -120,7 +129,7 @@ class _Packer:
                 mine = np.sort(order[heads[edges[b]:edges[b + 1]]])
                 name = _planes(names[mine], self.width)
                 if extra is not None:
-                    name += _planes(extra[mine], 4)
+                    name += _planes(extra[mine], 2)
                 rows.append((b, *_pack(docs[mine], places[mine]), name))
         for i in range(0, len(rows), 64):
             columns = list(zip(*rows[i:i + 64]))
@@ -171,13 +180,13 @@ def _prefixes(blocks: int):
                         continue
                     reach = np.zeros(room + PERIOD + 1, np.int32)
                     for blob in ranks[row + i].as_py():
-                        at = np.frombuffer(blob, np.uint32).astype(np.int64)
+                        at = _unsteps(blob)
                         np.add.at(reach, np.clip(at - PERIOD + 1, 0, room), 1)
                         np.add.at(reach, np.clip(at + 1, 0, room), -1)
                     places = np.flatnonzero(np.cumsum(reach)[:room] > 0)
                     starts = places + offsets[i]
                     packer.add(np.full(len(places), docs[row + i]), places.astype(np.uint32),
-                               one(starts, LENGTH), two(starts, LENGTH).astype(np.uint32))
+                               one(starts, LENGTH), two(starts, LENGTH).astype(np.uint16))
                     if packer.size >= FLUSH:
                         yield from packer.flush()
         yield from packer.flush()
@@ -198,7 +207,7 @@ def _repeats(width: int, extra: bool):
             cut = len(d) * width
             names.append(_unplanes(row["names"][:cut], width, np.uint64))
             if extra:
-                more.append(_unplanes(row["names"][cut:], 4, np.uint32))
+                more.append(_unplanes(row["names"][cut:], 2, np.uint16))
         if docs:
             d, p, n = map(np.concatenate, (docs, places, names))
             order = np.argsort(n, kind="stable")
@@ -218,7 +227,7 @@ def _repeats(width: int, extra: bool):
         heads = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, int)
         ends = np.r_[heads[1:], len(d)]
         return pa.table({"doc": pa.array(d[heads], pa.int64()), "places": pa.array(
-            [p[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())})
+            [_steps(p[a:b]) for a, b in zip(heads, ends)], pa.binary())})
     return run
 
 
@@ -233,7 +242,7 @@ def _maybe_broadcast(rows: DataFrame) -> DataFrame:
 def _spans(table: pa.Table) -> pa.Table:
     """Of one document: the union of [place, place + LENGTH) as start, end pairs."""
     at = np.unique(np.concatenate(
-        [np.frombuffer(b, np.uint32) for b in table.column("places").to_pylist()])).astype(np.int64)
+        [_unsteps(b) for b in table.column("places").to_pylist()]))
     cut = np.flatnonzero(np.diff(at) > LENGTH)
     ends = at[np.r_[cut, len(at) - 1]] + LENGTH
     pairs = np.stack([at[np.r_[0, cut + 1]], ends], axis=1)

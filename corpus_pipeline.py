@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import decontaminate, pii
+from broadsheet.llm import decontaminate, near_dedup, pii, quality, sentence_pieces
 from broadsheet.llm.storage import materialize
 
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose quality score stays under the threshold."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group, that of the least id."""
+    return near_dedup.drop_near_duplicates(docs)
+
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more stands in benchmark items."""
@@ -19,11 +32,20 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redact(docs)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each text, with digests of the ids and of the decoded text."""
+    return sentence_pieces.encode_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES = [
+    ("quality classifier", quality_filter),
+    ("MinHash near-dedup", near_dedup_filter),
     ("benchmark decontamination", decontamination),
     ("PII", personal_data),
+    ("SentencePiece encoding and decoding", token_ids),
 ]
 
+# Classifier, components and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
