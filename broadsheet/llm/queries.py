@@ -11,6 +11,7 @@ from broadsheet.llm import (
     decontaminate,
     fingerprint,
     near_dedup,
+    pages,
     pii,
     quality,
     sentence_pieces,
@@ -42,6 +43,12 @@ def op1_fingerprint(spark, sf):
     return fingerprint.fingerprint_report(documents(spark, sf))
 
 
+@query("op2_main_text")
+def op2_main_text(spark, sf):
+    return pages.extract_pages(
+        read_table(spark, f"{sf}/pages.parquet", "page_id", "url", "html"))
+
+
 @query("op3_quality")
 def op3_quality(spark, sf):
     return quality.quality_report(

@@ -14,15 +14,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 CACHE_WORDS = 300_000
 LONGEST = 64
+TEXTS = 256
 
 
 class Pieces:
@@ -63,6 +66,7 @@ class Pieces:
         self.unit = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+"
                                + (f"|{stop}" if stop else ""))
         self.fits: dict[tuple[str, str], bool] = {}
+        self.packed: dict[str, bytes] = {}
         self.decimal: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
 
@@ -167,25 +171,34 @@ class Pieces:
         text = self.pieces_text(ids)
         return text[1:] if text[:1] == " " else text
 
+    def _joined(self, text: str | None, *caches: dict):
+        """What the caches hold for the words of a text; new words are encoded first."""
+        units = self.units(text)
+        new = [u for u in set(units) if u not in self.packed]
+        if new:
+            if len(self.packed) + len(new) > CACHE_WORDS:
+                for known in (self.packed, self.decimal, self.decoded):
+                    known.clear()
+                new = set(units)
+            for unit in new:
+                ids = self.encode_unit(unit)
+                self.packed[unit] = struct.pack(f"<{len(ids)}i", *ids)
+                self.decimal[unit] = "".join(f"{i} " for i in ids).encode()
+                self.decoded[unit] = self.pieces_text(ids)
+        out = [("" if c is self.decoded else b"").join(map(c.__getitem__, units)) for c in caches]
+        for unit in new:
+            if len(unit) > LONGEST:     # rare and large: not worth keeping
+                for known in (self.packed, self.decimal, self.decoded):
+                    del known[unit]
+        return out
+
+    def packed_ids(self, text: str | None) -> bytes:
+        """Ids as 32-bit integers, with the end id."""
+        return self._joined(text, self.packed)[0] + struct.pack("<i", self.end)
+
     def digest(self, text: str | None) -> tuple[bytes, str]:
         """Decimal ids joined by spaces, with the end id, and the decoded text."""
-        units = self.units(text)
-        decimal = self.decimal
-        try:
-            ids = b"".join(map(decimal.__getitem__, units))
-        except KeyError:
-            if len(decimal) > CACHE_WORDS:
-                decimal.clear()
-                self.decoded.clear()
-            for unit in [u for u in set(units) if u not in decimal]:
-                found = self.encode_unit(unit)
-                decimal[unit] = "".join(f"{i} " for i in found).encode()
-                self.decoded[unit] = self.pieces_text(found)
-            ids = b"".join(map(decimal.__getitem__, units))
-        back = "".join(map(self.decoded.__getitem__, units))
-        for unit in (u for u in units if len(u) > LONGEST):
-            decimal.pop(unit, None)
-            self.decoded.pop(unit, None)
+        ids, back = self._joined(text, self.decimal, self.decoded)
         return ids + str(self.end).encode(), back[1:] if back[:1] == " " else back
 
 
@@ -208,11 +221,40 @@ def _rows(path: str, make, columns: list[tuple[str, pa.DataType]]):
     return run
 
 
+def _encode(path: str):
+    def run(batches):
+        table = pieces(path)
+        for batch in batches:
+            for first in range(0, len(batch), TEXTS):
+                part = batch.slice(first, TEXTS)
+                raw = [table.packed_ids(t) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, raw)]) // 4
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()),
+                    pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32()))],
+                    ["doc_id", "ids"])
+    return run
+
+
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the token ids of each whole text, null as empty, one row per row."""
-    return documents.select("doc_id", "text").mapInArrow(_rows(
-        path, lambda t, text: (t.encode(text),), [("ids", pa.list_(pa.int32()))]),
-        "doc_id long, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(
+        _encode(path), "doc_id long, ids array<int>")
+
+
+def _decode(path: str):
+    def run(batches):
+        table = pieces(path)
+        for batch in batches:
+            texts = [table.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+    return run
+
+
+def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text): the text of each list of ids; null reads as an empty list."""
+    return tokens.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
 
 
 def _digest(table: Pieces, text: str | None):
