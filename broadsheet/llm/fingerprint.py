@@ -71,9 +71,14 @@ def signature(text: Column) -> Column:
 
 
 def pack(sig: Column) -> Column:
-    """One hexadecimal digit per bin; a text without words has the empty fingerprint."""
-    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.substring(
-        F.lit("0123456789abcdef"), (x.bitwiseAND(F.lit((1 << BITS) - 1)) + 1).cast("int"),
+    """One hexadecimal digit per bin; a text without words has the empty fingerprint.
+
+    The bin is hashed in with the value, so that copies of one value in many bins, as a
+    short text has, agree with another's by chance in each bin anew.
+    """
+    return F.coalesce(F.array_join(F.transform(sig, lambda x, j: F.substring(
+        F.lit("0123456789abcdef"),
+        (F.xxhash64(x, j).bitwiseAND(F.lit((1 << BITS) - 1)) + 1).cast("int"),
         F.lit(1))), ""), F.lit(""))
 
 
