@@ -4,8 +4,10 @@
    thousands of exact copies are one node from here on.
 2. A class has ``BANDS`` keys of ``ROWS`` bins each. A pair at the threshold shares no
    key with a chance of about four in a million.
-3. In each bucket all classes are paired with one centre (a star), never with each
-   other, and each pair is confirmed on the full sets.
+3. A shingle that no other candidate has can't be shared, so a class of which under
+   three quarters of the shingles occur elsewhere links with nothing. In each bucket the
+   other classes are paired with one centre (a star), the class with the most shared
+   shingles, never with each other, and each pair is confirmed on the full sets.
 4. Where a bucket still holds several components, its members outside the centre's
    component become centres of further stars over the members of other components,
    until every such member has been one. So no link that a bucket holds is lost, and
@@ -76,7 +78,38 @@ def _write_sets(batches):
             part = batch.slice(first, 512)
             sets = [s.tobytes() for s in S.shingle_sets(part.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("class"), pa.array(sets, pa.binary())], ["class", "set"])
+                [part.column("class"), *_halves(part.column("class")),
+                 pa.array(sets, pa.binary())], ["class", "low", "high", "set"])
+
+
+def _halves(classes) -> list[pa.Array]:
+    """A class as two integers, which aggregates handle without sorting."""
+    pairs = np.frombuffer(b"".join(classes.to_pylist()), "<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
+
+
+def _elements(batches):
+    for batch in batches:
+        low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+        for first in range(0, len(batch), 256):
+            sets = batch.column("set").slice(first, 256).to_pylist()
+            sizes = [len(s) // 8 for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(b"".join(sets), np.int64)),
+                 pa.array(np.repeat(low[first:first + 256], sizes)),
+                 pa.array(np.repeat(high[first:first + 256], sizes))], ["shingle", "low", "high"])
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(class, n, shared): set size, and how many elements other sets have too."""
+    alone = (sets.select("low", "high", "set").mapInArrow(
+        _elements, "shingle long, low long, high long").groupBy("shingle").agg(
+            F.count("*").alias("n"), F.min("low").alias("low"), F.min("high").alias("high"))
+        .where("n = 1").groupBy("low", "high").agg(F.count("*").alias("alone")))
+    size = (F.length("set") / 8).cast("long")
+    return sets.select("class", "low", "high", size.alias("n")).join(
+        alone, ["low", "high"], "left").select(
+            "class", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
 def _confirm(batches):
@@ -91,14 +124,15 @@ def _confirm(batches):
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the threshold."""
-    return (pairs.join(sets.withColumnsRenamed({"class": "a", "set": "set_a"}), "a")
-            .join(sets.withColumnsRenamed({"class": "b", "set": "set_b"}), "b")
+    return (pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
+            .join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a binary, b binary"))
 
 
-def _like_sizes():
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return DENOMINATOR * small >= NUMERATOR * large
+def _may_link():
+    """What two sets can share at most, against what the threshold takes."""
+    return ((NUMERATOR + DENOMINATOR) * F.least("shared_a", "shared_b")
+            >= NUMERATOR * (F.col("n_a") + F.col("n_b")))
 
 
 def _maybe_broadcast(rows: DataFrame) -> DataFrame:
@@ -137,65 +171,79 @@ def components(edges: DataFrame) -> DataFrame:
 def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
     """(class, root) of every class that has a link; ``signed`` is written already."""
     one = signed.where("n_shingles > 0").groupBy("class").agg(
-        F.min(F.struct("doc_id", "doc", "n_shingles")).alias("r"), F.first("bands").alias("bands"))
+        F.min(F.struct("doc_id", "doc")).alias("r"), F.first("bands").alias("bands"))
     classes = materialize(one.select("class", "r.*", "bands"), "classes")
-    marks = classes.select("class", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = materialize(marks.groupBy("bucket").agg(
-        F.min("class").alias("centre"), F.count("*").alias("size")).where("size > 1").select(
-            "bucket", "centre"), "buckets")
-    members = materialize(marks.join(_maybe_broadcast(shared), "bucket"), "members")
+    marks = classes.select("class", F.explode("bands").alias("bucket"))
+    common = materialize(marks.groupBy("bucket").agg(F.count("*").alias("size"))
+                         .where("size > 1").select("bucket"), "buckets")
+    drawn = materialize(marks.join(_maybe_broadcast(common), "bucket"), "drawn")
 
     # Full sets of the classes that share a bucket, made from one document of each.
-    wanted = members.select("class").distinct().join(
+    wanted = drawn.select("class").distinct().join(
         classes.select("class", F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")), "class")
     wanted = materialize(wanted, "wanted")
     texts = documents.join(_maybe_broadcast(wanted), F.col("doc").eqNullSafe(F.col("_doc"))
                            & F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
-    sets = materialize(texts.mapInArrow(_write_sets, "class binary, set binary")
-                       .dropDuplicates(["class"]), "sets", "lz4")
-    sizes = classes.select(F.col("class").alias("centre"), F.col("n_shingles").alias("n_b"))
-
-    first = (members.where("class <> centre").select("class", "n_shingles", "centre").distinct()
-             .join(sizes, "centre")
-             .select(F.col("class").alias("a"), F.col("centre").alias("b"),
-                     F.col("n_shingles").alias("n_a"), "n_b").where(_like_sizes())
-             .select("a", "b"))
+    sets = materialize(texts.mapInArrow(
+        _write_sets, "class binary, low long, high long, set binary").dropDuplicates(["class"]),
+        "sets", "lz4")
+    sizes = materialize(shared_sizes(sets).where(
+        DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("n")), "sizes")
+    members = drawn.join(_maybe_broadcast(sizes), "class")
+    top = members.groupBy("bucket").agg(
+        F.max(F.struct("shared", "class", "n")).alias("top"), F.count("*").alias("size")
+    ).where("size > 1").select("bucket", F.col("top.class").alias("centre"),
+                               F.col("top.shared").alias("shared_b"), F.col("top.n").alias("n_b"))
+    members = materialize(members.withColumnsRenamed({"n": "n_a", "shared": "shared_a"}).join(
+        _maybe_broadcast(materialize(top, "centres")), "bucket"), "members")
+
+    first = members.where("class <> centre").where(_may_link()).select(
+        F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
     tested = materialize(first, "pairs")
     edges = materialize(confirm(tested, sets), "links")
     linked = components(edges)
-    turn, waiting = 0, None
+    members = members.select("bucket", "class", "centre", "n_a", "shared_a")
+    waiting = None
+    turn = turns = 0
     while True:
         roots = linked.select("class", "root")
-        own = members.join(roots, "class", "left").withColumn(
+        own = members.join(_maybe_broadcast(roots), "class", "left").withColumn(
             "root", F.coalesce("root", "class"))
         if waiting is None:
             # Members outside their centre's component get a fixed turn as centres.
-            centre = roots.select(F.col("class").alias("centre"), F.col("root").alias("main"))
-            outside = own.join(centre, "centre", "left").withColumn(
-                "main", F.coalesce("main", "centre")).where("root <> main")
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("class")) - 1
+            main = _maybe_broadcast(
+                roots.select(F.col("class").alias("centre"), F.col("root").alias("main")))
+            outside = own.join(main, "centre", "left").where(
+                F.col("root") != F.coalesce("main", "centre"))
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy(
+                F.desc("shared_a"), "class")) - 1
             waiting = materialize(outside.select(
-                "bucket", "class", (place / CENTRES).cast("int").alias("turn")), "waiting")
-            turns = waiting.agg(F.max("turn")).first()[0]
-            turns = -1 if turns is None else turns
-        if turn > turns:
+                "bucket", F.col("class").alias("a"), "n_a", "shared_a",
+                (place / CENTRES).cast("int").alias("turn")), "waiting")
+            last = waiting.agg(F.max("turn")).first()[0]
+            turns = 0 if last is None else last + 1
+        if turn >= turns:
             return linked
-        now = waiting.where(F.col("turn") == turn).select("bucket", F.col("class").alias("a")).join(
-            own.select(F.col("class").alias("a"), "bucket", F.col("root").alias("root_a"),
-                       F.col("n_shingles").alias("n_a")), ["bucket", "a"])
-        pairs = now.join(own.select(
-            "bucket", F.col("class").alias("b"), F.col("root").alias("root_b"),
-            F.col("n_shingles").alias("n_b")), "bucket").where(
-                (F.col("root_a") != F.col("root_b")) & _like_sizes())
-        pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
-                             ).select("a", "b").distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        now = waiting.where(F.col("turn") == turn).join(
+            roots.select(F.col("class").alias("a"), F.col("root").alias("root_a")), "a", "left"
+        ).withColumn("root_a", F.coalesce("root_a", "a"))
+        pairs = own.select("bucket", F.col("class").alias("b"), F.col("root").alias("root_b"),
+                           F.col("n_a").alias("n_b"), F.col("shared_a").alias("shared_b")).join(
+            _maybe_broadcast(now), "bucket").where(
+                (F.col("root_a") != F.col("root_b")) & _may_link())
+        pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")
+                             ).distinct()
+        known = tested.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+        pairs = materialize(pairs.join(known, ["x", "y"], "left_anti").select(
+            F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
+        turn += 1
+        if pairs.isEmpty():
+            continue
         tested = tested.unionByName(pairs)
         more = materialize(confirm(pairs, sets), "links")
         if not more.isEmpty():
             edges = edges.union(more)
             linked = components(edges)
-        turn += 1
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
