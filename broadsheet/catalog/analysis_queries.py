@@ -109,7 +109,7 @@ def propaganda_sentences(spark, sf):
 TURNS = r"""SELECT conv_id AS batch_id, turn AS article_id,
   regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS content
   FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations
-    GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5)"""
+    GROUP BY 1 HAVING count(*) >= 2)"""
 
 
 @query("compare_articles", f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import constants as C
 from broadsheet.operators.scorers import TermPropaganda, ValenceStars
-from broadsheet.sources.tables import read_table, spread
+from broadsheet.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,14 +48,7 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
-    """Documents as articles, spread over the task slots."""
-    docs = table(spark, sf, "documents", "doc_id", "text", *extra)
-    return spread(docs.withColumnsRenamed({"doc_id": "article_id", "text": "content"}),
-                  "article_id")
-
-
-def plain_articles(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
-    """The same without spreading, for operators that hash by article anyway."""
+    """Documents as articles, at the width of the scan."""
     docs = table(spark, sf, "documents", "doc_id", "text", *extra)
     return docs.withColumnsRenamed({"doc_id": "article_id", "text": "content"})
 

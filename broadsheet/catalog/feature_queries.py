@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from broadsheet import constants as C
@@ -10,7 +11,6 @@ from broadsheet.catalog.base import (
     TECHNIQUES,
     articles,
     detected_sql,
-    plain_articles,
     query,
     rounded,
     sql_array,
@@ -73,7 +73,7 @@ raw AS (SELECT article_id, term, tf * idf AS raw FROM tf JOIN vocab USING (term)
 SELECT article_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY article_id)), 6)
   AS weight FROM raw""")
 def tfidf(spark, sf):
-    return O.tfidf(plain_articles(spark, sf), O.feature_terms("content")).select(
+    return O.tfidf(articles(spark, sf), O.feature_terms("content")).select(
         "article_id", "term", rounded("weight"))
 
 
@@ -109,7 +109,7 @@ def label_vocab(spark, sf):
   array_to_string(list_sort({detected_sql()}), ', ') AS labels FROM documents""")
 def label_matrix(spark, sf):
     rows = judged(spark, sf)
-    classes = O.label_names(rows, "truth")
+    classes = CLASSES
     wide = rows.select("article_id", O.binarize(F.col("truth"), classes).alias("flags"))
     return wide.select(
         "article_id", F.array_join(F.col("flags").cast("array<string>"), ",").alias("flags"),
@@ -166,11 +166,11 @@ def classification_report(spark, sf):
 def by_language(spark, sf):
     """Articles with the rank of their language, by size, as topic number."""
     docs = O.with_normalized_tokens(articles(spark, sf, "lang"), O.stop_words())
-    sizes = {row.lang: row["count"] for row in
-             table(spark, sf, "documents", "lang").groupBy("lang").count().collect()}
-    ranked = sorted(sizes, key=lambda lang: (-sizes[lang], lang))
-    place = F.array_position(F.array(*map(F.lit, ranked)), F.col("lang")) - 1
-    return docs.withColumn("topic", place.cast("int"))
+    sizes = table(spark, sf, "documents", "lang").groupBy("lang").agg(F.count("*").alias("n"))
+    # One row per language.
+    order = Window.orderBy(F.desc("n"), "lang")
+    ranks = sizes.select("lang", (F.row_number().over(order) - 1).alias("topic"))
+    return docs.join(ranks, "lang")
 
 
 LANGUAGES = f"""

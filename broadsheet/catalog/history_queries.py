@@ -63,7 +63,8 @@ def history_for_user(spark, sf):
 FROM ({SAVED})""")
 def history_sorted(spark, sf):
     rows = saved(spark, sf).select("event_id", "email", "date")
-    return H.rank_by_date(rows, "event_id")
+    return H.rank_by_date(rows, "event_id").select(
+        "event_id", "email", "date", "recorded_at", "recency")
 
 
 @query("history_newest_first", f"""SELECT event_id, email, date FROM ({SAVED})
@@ -81,7 +82,10 @@ def history_newest_first(spark, sf):
     WHEN 'Negative' THEN '#dc3545' ELSE '#6c757d' END AS sentiment_color
 FROM ({SAVED})""")
 def history_defaults(spark, sf):
-    return H.display_scores(H.with_display_defaults(saved(spark, sf)))
+    return H.display_scores(H.with_display_defaults(saved(spark, sf))).select(
+        "event_id", "title", "date", "email", "sentiment_label", "sentiment_score",
+        "bias_score", "propaganda_score", "final_score", "sentiment_text", "final_text",
+        "sentiment_color")
 
 
 @query("history_union", f"""SELECT event_id, email, date, sentiment_score, bias_score
@@ -120,7 +124,8 @@ def history_technique_unnest(spark, sf):
 
 @query("feedback_valid", """
 SELECT conv_id, turn, coalesce(CASE WHEN role <> 'system' THEN role || '@example.com' END,
-  'guest') AS email, text AS feedback FROM conversations
+  'guest') AS email, TIMESTAMP '2024-10-17 00:00:00' + to_minutes(conv_id) AS timestamp,
+  text AS feedback FROM conversations
 WHERE CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END <> '  '""")
 def feedback_valid(spark, sf):
     """Turns as feedback; every third one was sent blank."""
@@ -129,5 +134,7 @@ def feedback_valid(spark, sf):
         "conv_id", "turn",
         F.when(F.col("role") != "system",
                F.concat("role", F.lit("@example.com"))).alias("email"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-10-17 00:00:00").cast("timestamp"))
+                            + 60 * F.col("conv_id")).alias("timestamp"),
         F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.col("text")).alias("feedback"))
     return H.valid_feedback(entries)

@@ -77,45 +77,50 @@ OWNED = "SELECT doc_id AS article_id, text AS content, source AS owner FROM docu
 
 @query("biased_sentences_by_owner", f"""
 WITH sents AS ({sentences_sql(OWNED, 'owner')}),
-own AS (SELECT DISTINCT 'src' || item_id AS owner, unnest({tokens_sql('text')}) AS term
-        FROM benchmark),
-lists AS (SELECT owner, list(term) AS terms FROM own GROUP BY 1),
+lists AS (SELECT 'src' || item_id AS owner, CASE WHEN item_id % 5 = 3 THEN []
+          ELSE list_distinct({tokens_sql('text')}) END AS terms FROM benchmark),
 m AS (SELECT article_id, sent_id, s.owner, list_sort(list_intersect({tokens_sql('sentence')},
   coalesce(l.terms, {sql_array(C.DEFAULT_BIAS_TERMS)}))) AS terms
   FROM sents s LEFT JOIN lists l ON s.owner = l.owner)
 SELECT article_id, sent_id, owner, array_to_string(terms, ', ') AS terms
 FROM m WHERE len(terms) > 0""")
 def biased_sentences_by_owner(spark, sf):
-    """Sources own articles; some have a list, made of a benchmark passage."""
+    """Sources own articles; some have a list, of a benchmark passage or empty."""
     owned = sentence_table(articles(spark, sf, "source"), "content", "source")
     passages = table(spark, sf, "benchmark").select(
         F.concat(F.lit("src"), F.col("item_id")).alias("username"),
-        X.tokens_of(F.col("text")).alias("terms"))
+        F.when(F.col("item_id") % 5 == 3, F.array().cast("array<string>"))
+        .otherwise(X.tokens_of(F.col("text"))).alias("terms"))
     found = L.match_owner_lexicons(
         owned.withColumnRenamed("source", "owner"),
-        lexicons.explode_terms(passages, "username", "terms"), C.DEFAULT_BIAS_TERMS)
+        lexicons.explode_terms(passages, "username", "terms"), C.DEFAULT_BIAS_TERMS,
+        passages.select(F.col("username").alias("owner")))
     return found.select("article_id", "sent_id", "owner",
                         N.terms_text(F.col("detected_terms")).alias("terms"))
 
 @query("lexicon_add", rf"""
 WITH have AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS owner, unnest({tokens_sql('text')}) AS k
-              FROM conversations WHERE role = 'assistant'),
-asked AS (SELECT owner, lower(term) AS k, min(term) AS term FROM (
-    SELECT CAST(conv_id AS VARCHAR) AS owner,
-      unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]')) AS term
-    FROM conversations WHERE role = 'user') GROUP BY 1, 2)
+              FROM conversations WHERE turn % 2 = 1),
+parts AS (SELECT CAST(conv_id AS VARCHAR) AS owner, turn,
+    regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]') AS parts
+    FROM conversations WHERE turn % 2 = 0),
+words AS (SELECT owner, turn * 1000000 + unnest(range(len(parts))) AS pos,
+    unnest(parts) AS term FROM parts),
+asked AS (SELECT owner, lower(term) AS k, arg_min(term, pos) AS term FROM words GROUP BY 1, 2)
 SELECT a.owner, a.term, CASE WHEN a.term = '' THEN 'blank'
   WHEN h.k IS NOT NULL THEN 'exists' ELSE 'added' END AS status
 FROM asked a LEFT JOIN have h ON a.owner = h.owner AND a.k = h.k""")
 def lexicon_add(spark, sf):
-    """Users ask for the words of their turns; the replies are the list so far."""
-    turns = table(spark, sf, "conversations", "conv_id", "role", "text")
+    """The words of every other turn are asked for; the turns between are the list so far."""
+    turns = table(spark, sf, "conversations", "conv_id", "turn", "text")
     owner = F.col("conv_id").cast("string").alias("owner")
-    have = turns.filter(F.col("role") == "assistant").select(
+    have = turns.filter(F.col("turn") % 2 == 1).select(
         owner, F.explode(X.tokens_of(F.col("text"))).alias("term"))
-    asked = turns.filter(F.col("role") == "user").select(
-        owner, F.explode(F.split("text", r"[^\p{L}\p{N}_]")).alias("term"))
-    return L.add_terms(have, asked)
+    asked = turns.filter(F.col("turn") % 2 == 0).select(
+        owner, "turn", F.posexplode(F.split("text", r"[^\p{L}\p{N}_]")).alias("nth", "term"))
+    return L.add_terms(have, asked.select(
+        "owner", (F.col("turn") * 1_000_000 + F.col("nth")).alias("pos"), "term"))
+
 
 @query("lexicon_edit", f"""
 WITH e AS (SELECT conv_id || '-' || turn AS owner,

@@ -12,11 +12,6 @@ from broadsheet.operators import classify, features, topics
 from broadsheet.operators.sentences import sentence_table
 from broadsheet.operators.techniques import detect_techniques, flag_propaganda
 from broadsheet.plans.annotate import annotate_corpus, topic_vectors
-from broadsheet.sources.tables import spread
-
-# Enough for these vocabularies; the default cap is far higher.
-ITERATIONS = 30
-
 
 def labelled(spark, sf):
     rows = features.with_normalized_tokens(articles(spark, sf), features.stop_words())
@@ -25,7 +20,7 @@ def labelled(spark, sf):
 
 
 def _train(rows):
-    return classify.train_techniques(rows.filter("is_train"), max_iter=ITERATIONS)
+    return classify.train_techniques(rows.filter("is_train"))
 
 
 @query("train_techniques")
@@ -66,7 +61,7 @@ def propaganda_lr(spark, sf):
 @query("topic_kmeans")
 def topic_kmeans(spark, sf):
     """Given vectors, clustered."""
-    vectors = spread(table(spark, sf, "embeddings"), "vec_id").select(
+    vectors = table(spark, sf, "embeddings").select(
         "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = topics.fit_topics(vectors, topics=10)
     return topics.assign_topics(vectors, model).select(
@@ -87,8 +82,7 @@ def doc_topics(spark, sf):
 def annotate(spark, sf):
     """The whole corpus annotation."""
     done = annotate_corpus(articles(spark, sf, "source"), techniques=TECHNIQUES,
-                           gazetteer=GAZETTEER, stop_words=features.stop_words(),
-                           svm_iterations=ITERATIONS)
+                           gazetteer=GAZETTEER, stop_words=features.stop_words())
     return done.articles.select(
         "article_id", "source", "processed_content", "is_propaganda", "is_train", "topic",
         N.list_text(F.col("techniques")).alias("techniques"),

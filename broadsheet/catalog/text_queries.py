@@ -18,7 +18,6 @@ from broadsheet.functions import scores as S
 from broadsheet.functions import text as X
 from broadsheet.operators import sentences as O
 from broadsheet.sources import corpus, pages
-from broadsheet.sources.tables import spread
 
 
 @query("sentences", f"WITH sents AS ({sentences_sql()}) SELECT * FROM sents")
@@ -130,7 +129,7 @@ SELECT page_id, url, content, CASE
   WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'invalid_url'
   WHEN content = '' THEN 'no_content' END AS reason FROM t""")
 def page_articles(spark, sf):
-    rows = spread(table(spark, sf, "pages", "page_id", "url", "html"), "page_id")
+    rows = table(spark, sf, "pages", "page_id", "url", "html")
     return pages.page_articles(rows, extract=pages.page_text_by_pattern)
 
 
@@ -148,7 +147,7 @@ p AS (SELECT page_id, list_filter(list_transform(string_split(
 SELECT page_id, replace(replace(replace(replace(array_to_string(pieces, ' '),
   '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS content FROM p""")
 def page_text(spark, sf):
-    rows = spread(table(spark, sf, "pages", "page_id", "html"), "page_id")
+    rows = table(spark, sf, "pages", "page_id", "html")
     return rows.select("page_id", pages.page_text("html").alias("content"))
 
 
@@ -159,7 +158,7 @@ SELECT doc_id, text AS content, source, lang AS meta_lang, n_chars AS meta_size_
 FROM documents""")
 def src_corpus_flatten(spark, sf):
     """Records as JSON text, parsed, flattened, and the title taken as content."""
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = table(spark, sf, "documents")
     record = F.struct("doc_id", F.col("text").alias("Title"), "source", F.struct(
         "lang", F.struct(F.col("n_chars").alias("chars")).alias("size")).alias("meta"))
     schema = ("doc_id bigint, Title string, source string, "

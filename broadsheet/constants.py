@@ -106,6 +106,9 @@ STOP_WORDS = (
     "who's", "why's", "would",
 )
 
+# Folders of the history table; fixed once a table exists.
+OWNER_BUCKETS = 64
+
 # --- Report wording ----------------------------------------------------------
-REPORT_TITLE = "Propaganda Detection Report"
-NO_TOPICS_TEXT = "No topics were identified due to an error in topic modeling."
+REPORT_TITLE = "Corpus annotation at a glance"
+NO_TOPICS_TEXT = "The corpus has no topics."

@@ -17,10 +17,6 @@ from broadsheet import constants as C
 from broadsheet.operators import features as feats
 
 
-# Training rows one task can sum in well under a second.
-ROWS_PER_TASK = 20_000
-
-
 @dataclass(frozen=True)
 class TechniqueModel:
     """Features and, per class, a trained SVM or the constant it would give."""
@@ -34,16 +30,17 @@ class TechniqueModel:
 def train_techniques(labelled: DataFrame, *, tokens: str = "tokens",
                      labels: str = "techniques", size: int = C.MAX_FEATURES,
                      max_iter: int = C.SVM_ITERATIONS, tolerance: float = 1e-4,
-                     parallelism: int = 4) -> TechniqueModel:
+                     parallelism: int = 4, classes=None) -> TechniqueModel:
     """Fit on the rows given, which should be the training part only.
 
     Features are fitted and cached once and shared by all labels, of which
     ``parallelism`` train at a time. A label that every row, or none, carries
     needs no machine. Without any label the model is empty and predicts empty
-    lists. A step of the solver is one short job, so a small training set is
-    drawn together into few partitions; a large one keeps its own.
+    lists. Pass ``classes`` where they are known, which saves a pass. The scan
+    keeps its partitions; the features are cached at that width.
     """
-    classes = feats.label_names(labelled, labels)
+    if classes is None:
+        classes = feats.label_names(labelled, labels)
     if not classes:
         return TechniqueModel(None, [])
     model = feats.fit_tfidf(labelled, tokens=tokens, size=size)
@@ -58,14 +55,13 @@ def train_techniques(labelled: DataFrame, *, tokens: str = "tokens",
             for i in range(len(classes))]).first()
         constants = {name: int(counts[f"c{i}"] > 0) for i, name in enumerate(classes)
                      if counts[f"c{i}"] in (0, counts["n"])}
-        compact = rows.coalesce(counts["n"] // ROWS_PER_TASK + 1)
 
         def fit(name: str) -> LinearSVCModel:
             flag = F.get("flags", F.lit(classes.index(name)))
             return LinearSVC(
                 maxIter=max_iter, tol=tolerance, regParam=1.0 / counts["n"],
                 standardization=False,
-            ).fit(compact.select("features", flag.cast("double").alias("label")))
+            ).fit(rows.select("features", flag.cast("double").alias("label")))
 
         varied = [name for name in classes if name not in constants]
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -100,10 +96,12 @@ def predict_techniques(articles: DataFrame, model: TechniqueModel, *,
 
 def train_propaganda(labelled: DataFrame, *, tokens: str = "tokens",
                      label: str = "label", buckets: int = 1 << 16,
-                     max_iter: int = 30, reg: float = 0.01) -> PipelineModel:
+                     max_iter: int = C.SVM_ITERATIONS, tolerance: float = 1e-4,
+                     reg: float = 0.01) -> PipelineModel:
     """Logistic regression on hashed term counts, classes weighted alike.
 
-    Hashing needs no vocabulary pass. The class shares are one aggregate.
+    Hashing needs no vocabulary pass. The class shares are one aggregate. The
+    solver runs to its tolerance over rows cached at the width of the scan.
     """
     seen = labelled.agg(F.avg(F.col(label).cast("double")).alias("share"),
                         F.count("*").alias("n")).first()
@@ -114,10 +112,9 @@ def train_propaganda(labelled: DataFrame, *, tokens: str = "tokens",
     rows = (hashed.transform(labelled)
             .select("features", F.col(label).cast("double").alias("label"),
                     weight.alias("weight"))
-            .coalesce(seen["n"] // ROWS_PER_TASK + 1)
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        fitted = LogisticRegression(maxIter=max_iter, regParam=reg,
+        fitted = LogisticRegression(maxIter=max_iter, tol=tolerance, regParam=reg,
                                     weightCol="weight").fit(rows)
     finally:
         rows.unpersist()

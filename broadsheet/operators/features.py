@@ -49,15 +49,8 @@ def feature_terms(text: str) -> Column:
 
 
 def term_frequencies(articles: DataFrame, terms: Column) -> DataFrame:
-    """``article_id, term, tf``.
-
-    The articles, not the exploded pairs, are hashed on their id: the text is
-    smaller than its term table, and the counts here, the norms later and any
-    other work per article then need no shuffle. Both passes of TF-IDF read the
-    same exchange.
-    """
-    placed = articles.repartition("article_id")
-    pairs = unnest(placed, terms, "article_id", value="term")
+    """``article_id, term, tf``. Counted per task first; no text is shuffled."""
+    pairs = unnest(articles, terms, "article_id", value="term")
     return pairs.groupBy("article_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -79,13 +72,6 @@ def term_stats(articles: DataFrame, terms: Column) -> DataFrame:
                  F.count_if(F.col("m.first") == 1).alias("document_frequency")))
 
 
-def stats_of(frequencies: DataFrame) -> DataFrame:
-    """The same figures from counts per article that are at hand anyway."""
-    return frequencies.groupBy("term").agg(
-        F.sum("tf").alias("term_frequency"),
-        F.count("*").alias("document_frequency"))
-
-
 def vocabulary(stats: DataFrame, size: int = C.MAX_FEATURES) -> DataFrame:
     """The ``size`` most frequent terms; equal counts in term order."""
     return stats.orderBy(F.col("term_frequency").desc(), "term").limit(size)
@@ -99,17 +85,19 @@ def tfidf(articles: DataFrame, terms: Column,
           size: int = C.MAX_FEATURES) -> DataFrame:
     """``article_id, term, weight`` with rows of length one.
 
-    One exchange of the articles, one of the per-task term counts. The
-    vocabulary has ``size`` rows whatever the corpus, so it is broadcast up to
-    a fixed bound and left to the optimiser beyond.
+    The vocabulary comes from ``term_stats``, whose only shuffle has a row per term
+    and task. It has at most ``size`` rows whatever the corpus, so up to a fixed
+    bound it is broadcast, and every other word is dropped before the counts of an
+    article are shuffled: ids, kept terms and numbers move, never text.
     """
-    frequencies = term_frequencies(articles, terms)
     documents = articles.agg(F.count("*").alias("n")).scalar()
-    weighted = vocabulary(stats_of(frequencies), size).select(
+    weighted = vocabulary(term_stats(articles, terms), size).select(
         "term", smooth_idf(documents, F.col("document_frequency")).alias("idf"))
     if size <= BROADCAST_ROWS:
         weighted = F.broadcast(weighted)
-    raw = (frequencies.join(weighted, "term")
+    pairs = unnest(articles, terms, "article_id", value="term")
+    raw = (pairs.join(weighted, "term").groupBy("article_id", "term")
+           .agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
            .select("article_id", "term", (F.col("tf") * F.col("idf")).alias("raw")))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(
         Window.partitionBy("article_id")))

@@ -17,8 +17,12 @@ def parsed_date(column: Column) -> Column:
 
 
 def history_of(history: DataFrame, email: str) -> DataFrame:
-    """One owner's records; on the history table this prunes partitions."""
-    return history.filter(F.col("email") == email)
+    """One owner's records; on the history table this prunes to the owner's bucket."""
+    mine = history.filter(F.col("email") == email)
+    if "owner_bucket" not in history.columns:
+        return mine
+    bucket = F.pmod(F.xxhash64(F.lit(email)), F.lit(C.OWNER_BUCKETS)).cast("int")
+    return mine.filter(F.col("owner_bucket") == bucket).drop("owner_bucket")
 
 
 def newest_first(history: DataFrame, *tie_break: str) -> DataFrame:
@@ -26,19 +30,29 @@ def newest_first(history: DataFrame, *tie_break: str) -> DataFrame:
     return history.orderBy(parsed_date(F.col("date")).desc(), *tie_break)
 
 
+# Undated rows of an owner are ranked in blocks of so many tie-break values.
+UNDATED_BLOCK = 10_000
+
+
 def rank_by_date(history: DataFrame, tie_break: str,
-                 unit: str = "day") -> DataFrame:
+                 unit: str = "hour") -> DataFrame:
     """``recency`` 1.. per owner, newest first, for owners of any size.
 
     Ranking an owner in one window would sort all its rows in one task. Rows
     are ranked within owner and ``unit`` of time instead, and shifted by the
     number of the owner's rows in later units, known from small counts. The
-    ranking and the shift hash on the same key, so the rows move once.
+    ranking and the shift hash on the same key, so the rows move once. Rows
+    without a date come last, in blocks of the tie-break, which is a number, so
+    they spread as well.
     """
     when = F.col("recorded_at")
     dated = history.withColumn("recorded_at", parsed_date(F.col("date")))
-    dated = dated.withColumn(
-        "unit", F.coalesce(F.date_trunc(unit, when), F.lit("0001-01-01").cast("timestamp")))
+    # Later units sort higher: dates above all undated blocks, low ties above high.
+    block = F.lpad((F.lit(10 ** 15) - (F.col(tie_break) / UNDATED_BLOCK).cast("long"))
+                   .cast("string"), 20, "0")
+    dated = dated.withColumn("unit", F.coalesce(
+        F.concat(F.lit("1"), F.date_format(F.date_trunc(unit, when), "yyyyMMddHHmmss")),
+        F.concat(F.lit("0"), block)))
     later = (Window.partitionBy("email").orderBy(F.col("unit").desc())
              .rowsBetween(Window.unboundedPreceding, -1))
     shift = (dated.groupBy("email", "unit").agg(F.count("*").alias("n"))

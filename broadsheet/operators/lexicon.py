@@ -45,25 +45,27 @@ def match_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def match_owner_lexicons(sentences: DataFrame, lexicons: DataFrame,
-                         default_terms) -> DataFrame:
+                         default_terms, owners: DataFrame | None = None) -> DataFrame:
     """Each owner's own list on the owner's sentences (column ``owner``).
 
-    Owners without a list get ``default_terms``. The join key is owner *and*
-    term, so an owner with a third of all articles still spreads over the
-    terms. For the default list only the hits, not the sentences, meet the
-    table of owners that have a list.
+    Owners without a list get ``default_terms``; an owner with an empty list has
+    no hits. ``owners`` names those that have a list, empty ones too; without it
+    they are the owners of ``lexicons``. Sentences are read once: every token
+    that some list might hold is looked up by owner and term, so an owner with a
+    third of all articles still spreads over the terms, and only ids and terms
+    move.
     """
-    own = lexicons.select(
-        "owner", F.lower("term").alias("term")).distinct()
-    listed = own.select("owner").distinct()
-    with_list = (token_table(sentences, "owner").join(own, ["owner", "term"])
-                 .select(*SENTENCE, "owner", "term"))
-    without = (match_terms(sentences, default_terms)
-               .select(*SENTENCE, "owner", "detected_terms")
-               .join(listed, "owner", "left_anti"))
-    return (with_list.groupBy(*SENTENCE, "owner")
-            .agg(F.array_sort(F.collect_set("term")).alias("detected_terms"))
-            .unionByName(without.select(*SENTENCE, "owner", "detected_terms")))
+    own = lexicons.select("owner", F.lower("term").alias("term")).distinct()
+    listed = (lexicons if owners is None else owners).select(
+        "owner", F.lit(True).alias("listed")).distinct()
+    default = F.col("term").isin([t.lower() for t in default_terms])
+    found = (token_table(sentences, "owner")
+             .join(own.withColumn("own", F.lit(True)), ["owner", "term"], "left")
+             .filter(F.col("own") | default)
+             .join(listed, "owner", "left")
+             .filter(F.col("own") | F.col("listed").isNull()))
+    return found.groupBy(*SENTENCE, "owner").agg(
+        F.array_sort(F.collect_set("term")).alias("detected_terms"))
 
 
 def bias_counts(articles: DataFrame, terms, text: str = "content") -> DataFrame:
@@ -91,13 +93,14 @@ def term_usage(articles: DataFrame, lexicon: DataFrame,
 # --- Maintenance -------------------------------------------------------------
 
 def add_terms(lexicon: DataFrame, new_terms: DataFrame) -> DataFrame:
-    """Which of ``new_terms(owner, term)`` are new: status per distinct term.
+    """Which of ``new_terms(owner, pos, term)`` are new: status per distinct term.
 
-    ``added``, ``exists`` (whatever the case) or ``blank``.
+    ``added``, ``exists`` (whatever the case) or ``blank``. Of spellings that
+    differ in case only the first, by ``pos``, is added.
     """
-    asked = new_terms.select("owner", X.strip_text(F.col("term")).alias("term"),
+    asked = new_terms.select("owner", "pos", X.strip_text(F.col("term")).alias("term"),
                              F.lower(X.strip_text(F.col("term"))).alias("key"))
-    asked = asked.groupBy("owner", "key").agg(F.min("term").alias("term"))
+    asked = asked.groupBy("owner", "key").agg(F.min_by("term", "pos").alias("term"))
     present = lexicon.select("owner", F.lower("term").alias("key"),
                              F.lit(True).alias("present")).distinct()
     status = (F.when(F.col("key") == "", "blank")

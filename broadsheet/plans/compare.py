@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from broadsheet import constants as C
 from broadsheet.functions import scores as S
@@ -13,15 +12,29 @@ FIGURES = ("sentiment_score", "bias_count", "propaganda_count", "final_score")
 
 
 def comparable(articles: DataFrame, batch: str = "batch_id",
-               low: int = C.COMPARE_MIN, high: int = C.COMPARE_MAX) -> DataFrame:
-    """Articles of batches within the size limits.
+               low: int = C.COMPARE_MIN, high: int | None = None) -> DataFrame:
+    """Articles of batches of at least ``low`` articles, and at most ``high`` if given.
 
-    Sizes are counted with a partial aggregate; the semi join then drops
-    oversized batches before any text is analysed.
+    Sizes are counted with a partial aggregate; the semi join then drops the
+    others before any text is analysed. ``refused`` names what was dropped.
     """
-    sizes = (articles.groupBy(batch).agg(F.count("*").alias("n"))
-             .filter(F.col("n").between(low, high)))
-    return articles.join(sizes, batch, "left_semi")
+    return articles.join(_sizes(articles, batch, low, high).filter("reason IS NULL"),
+                         batch, "left_semi")
+
+
+def refused(articles: DataFrame, batch: str = "batch_id",
+            low: int = C.COMPARE_MIN, high: int | None = None) -> DataFrame:
+    """Batches outside the limits: their size and the reason."""
+    return _sizes(articles, batch, low, high).filter("reason IS NOT NULL")
+
+
+def _sizes(articles: DataFrame, batch: str, low: int, high: int | None) -> DataFrame:
+    size = F.col("articles")
+    reason = F.when(size < low, F.lit(f"fewer than {low} articles"))
+    if high is not None:
+        reason = reason.when(size > high, F.lit(f"more than {high} articles"))
+    return articles.groupBy(batch).agg(F.count("*").alias("articles")).withColumn(
+        "reason", reason)
 
 
 def comparison_table(scored: DataFrame, *keep: str) -> DataFrame:
@@ -40,9 +53,11 @@ def mark_highest(table: DataFrame, batch: str = "batch_id",
                  figures=FIGURES) -> DataFrame:
     """``is_max_*`` per figure; every tie is marked.
 
-    A window is right here because ``comparable`` has bounded the batch.
+    The maxima are partial aggregates joined back on the batch, so a batch of
+    any size is never gathered in one task.
     """
-    group = Window.partitionBy(batch)
-    return table.withColumns({
-        f"is_max_{name}": F.col(name) == F.max(name).over(group)
-        for name in figures})
+    highest = table.groupBy(F.col(batch).alias("_batch")).agg(
+        *[F.max(name).alias(f"_max_{name}") for name in figures])
+    joined = table.join(highest, F.col(batch).eqNullSafe(F.col("_batch")))
+    return joined.select(*table.columns, *[
+        (F.col(name) == F.col(f"_max_{name}")).alias(f"is_max_{name}") for name in figures])

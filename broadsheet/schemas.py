@@ -47,6 +47,10 @@ ANALYSIS = T.StructType([
     T.StructField("email", T.StringType()),
 ])
 
+# The history table: records in folders of their owner's hash bucket.
+HISTORY_TABLE = T.StructType(
+    ANALYSIS.fields + [T.StructField("owner_bucket", T.IntegerType())])
+
 # What history files of any age are read with.
 HISTORY_FILE = T.StructType(
     ANALYSIS.fields + [T.StructField("username", T.StringType())])

@@ -22,17 +22,26 @@ def write_annotated(articles: DataFrame, path: str,
     writer.parquet(path)
 
 
-def append_history(records: DataFrame, path: str) -> None:
-    """Add records to the history table, a folder per owner.
+def owner_bucket(email, buckets: int = C.OWNER_BUCKETS):
+    """The folder of an owner: one of a fixed number, however many owners there are."""
+    return F.pmod(F.xxhash64(email), F.lit(buckets)).cast("int")
 
-    Reading one owner then prunes to that folder. Nothing is rewritten, so
-    concurrent saves cannot lose each other's rows. A large batch is best
-    written after ``repartition`` on owner and a salt, to bound the files.
+
+def append_history(records: DataFrame, path: str, salts: int = 4) -> None:
+    """Add records to the history table, in folders of owners' hash buckets.
+
+    Reading one owner prunes to its bucket (see ``history_of``) and, as files are
+    sorted by owner, to few row groups. Rows are spread over bucket and a salt, so
+    a batch adds at most ``salts`` files to a folder and one busy owner is no single
+    task. Nothing is rewritten, so concurrent saves cannot lose each other's rows.
     """
     by_name = {field.name: field.dataType for field in schemas.ANALYSIS.fields}
     columns = [_conform(F.col(name), records.schema[name].dataType, kind).alias(name)
                for name, kind in by_name.items()]
-    records.select(*columns).write.mode("append").partitionBy("email").parquet(path)
+    salt = F.pmod(F.xxhash64("title", "date", "text"), F.lit(salts))
+    (records.select(*columns).withColumn("owner_bucket", owner_bucket(F.col("email")))
+     .repartition("owner_bucket", salt).sortWithinPartitions("owner_bucket", "email")
+     .write.mode("append").partitionBy("owner_bucket").parquet(path))
 
 
 def _conform(column, have: T.DataType, want: T.DataType):
@@ -48,8 +57,16 @@ def _conform(column, have: T.DataType, want: T.DataType):
 
 
 def append_feedback(entries: DataFrame, path: str) -> None:
-    """Add feedback rows with some text as JSON lines."""
-    valid_feedback(entries).write.mode("append").json(path)
+    """Add feedback rows with some text as JSON lines: email, timestamp, feedback.
+
+    Entries without a timestamp get that of the batch.
+    """
+    if "timestamp" not in entries.columns:
+        entries = entries.withColumn("timestamp", F.current_timestamp())
+    rows = valid_feedback(entries).withColumn(
+        "timestamp", F.coalesce("timestamp", F.current_timestamp()))
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.FEEDBACK.fields]
+                ).write.mode("append").json(path)
 
 
 def write_export(history: DataFrame, path: str) -> None:
@@ -60,20 +77,16 @@ def write_export(history: DataFrame, path: str) -> None:
 
 
 def report_html(summary) -> str:
-    """The report page from the one row of ``report_summary``."""
+    """The report page, a table of figures, from the one row of ``report_summary``."""
+    flagged, other = summary["propaganda_articles"], summary["other_articles"]
+    share = f"{100 * flagged / (flagged + other):.1f} %" if flagged + other else "none"
+    figures = [("articles", flagged + other), ("with a technique", flagged),
+               ("without one", other), ("share with one", share)]
+    rows = "".join(f"<tr><td>{name}</td><td>{value}</td></tr>" for name, value in figures)
+    topics = "".join(f"<li>{escape(line)}</li>" for line in summary["topics_html"].split("<br>"))
     title = escape(C.REPORT_TITLE)
-    topics = "<br>".join(escape(line) for line in summary["topics_html"].split("<br>"))
-    return "\n".join([
-        f"<html><head><title>{title}</title></head><body>",
-        f"<h1>{title}</h1>",
-        "<h2>Summary</h2>",
-        f"<p><strong>Propaganda Articles:</strong> {summary['propaganda_articles']}</p>",
-        f"<p><strong>Non-Propaganda Articles:</strong> {summary['other_articles']}</p>",
-        "<h2>Topic Modeling</h2>",
-        f"<p>{topics}</p>",
-        "<h2>Propaganda Techniques Detected</h2>",
-        "<p>Refer to the detailed analysis in the annotated data.</p>",
-        "</body></html>", ""])
+    return (f"<!doctype html><html lang='en'><title>{title}</title><body><h1>{title}</h1>"
+            f"<table>{rows}</table><ul>{topics}</ul></body></html>")
 
 
 def write_report(spark: SparkSession, summary: DataFrame, path: str) -> None:

@@ -3,24 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """Parquet scan of just ``columns`` (all when none are named)."""
     table = spark.read.parquet(path)
     return table.select(*columns) if columns else table
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Give a scan with fewer splits than task slots enough partitions.
-
-    Only matters for small inputs (a file with one row group is one task);
-    a large scan has more splits than slots and passes unchanged. Hashing on
-    the row's own id is even whatever the data, and later work grouped by that
-    id needs no further shuffle.
-    """
-    slots = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= slots:
-        return rows
-    return rows.repartition(2 * slots, F.col(key))

@@ -8,10 +8,12 @@ input count once even when a task or the driver is lost.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from broadsheet import schemas
 from broadsheet.plans.article_analysis import analysis_records, score_articles
+from broadsheet.sinks.outputs import owner_bucket
 
 
 def stream_articles(spark: SparkSession, path: str,
@@ -29,7 +31,8 @@ def append_analyses(articles: DataFrame, path: str, checkpoint: str, *,
     records = analysis_records(score_articles(
         articles, bias_terms=bias_terms, stars=stars, propaganda=propaganda,
         **options))
-    return (records.writeStream.outputMode("append").format("parquet")
-            .partitionBy("email").option("path", path)
+    bucketed = records.withColumn("owner_bucket", owner_bucket(F.col("email")))
+    return (bucketed.writeStream.outputMode("append").format("parquet")
+            .partitionBy("owner_bucket").option("path", path)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

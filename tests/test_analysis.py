@@ -113,13 +113,22 @@ def test_compare(spark):
         "title", F.lit(None).cast("string"))
     table = compare.mark_highest(compare.comparison_table(scored, "batch_id", "article_id"))
     got = table.collect()
-    assert {r.batch_id for r in got} == {"two", "five"} and len(got) == 7
+    assert {r.batch_id for r in got} == {"two", "five", "six"} and len(got) == 13
     for row in got:
         assert row.title == "Article"
         assert row.is_max_final_score == (row.article_id % 2 == 1)
         assert row.is_max_bias_count  # all tie at zero
 
 
+def test_refused_batches(spark):
+    rows = [(b, i) for b, n in {"one": 1, "two": 2, "six": 6}.items() for i in range(n)]
+    articles = spark.createDataFrame(rows, "batch_id string, article_id int")
+    got = {r.batch_id: (r.articles, r.reason) for r in compare.refused(articles, high=5).collect()}
+    assert got == {"one": (1, "fewer than 2 articles"), "six": (6, "more than 5 articles")}
+    assert {r.batch_id for r in compare.refused(articles).collect()} == {"one"}
+    assert compare.comparable(articles, high=5).count() == 2
+
+
 def test_analysis_does_not_shuffle(articles):
     scored = score_articles(articles, **SCORING)
     plan = scored._jdf.queryExecution().executedPlan().toString()

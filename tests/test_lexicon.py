@@ -50,6 +50,11 @@ def test_owner_lists(spark, sentences):
     own = lexicons.explode_terms(lists, "username", "bias_terms")
     got = L.match_owner_lexicons(sentences, own, ["Nothing"])
     assert found(got) == [(1, 0, ("nothing",)), (2, 1, ("calm",))]
+    # An owner with an empty list has no hits; only one without a list has the default.
+    owners = lists.select(lists.username.alias("owner"))
+    words = found(L.match_owner_lexicons(sentences, own, ["Nothing", "vile", "quiet"], owners))
+    free = found(L.match_owner_lexicons(sentences, own, ["Nothing", "vile", "quiet"]))
+    assert set(words) <= set(free)
 
 
 def test_bias_counts(spark):
@@ -67,10 +72,11 @@ def test_token_table_distinct(sentences):
 
 def test_add(spark):
     have = spark.createDataFrame([("a", "Vile"), ("b", "awful")], "owner string, term string")
-    new = spark.createDataFrame([("a", " vile "), ("a", "awful"), ("a", "  "), ("a", "Awful"),
-                                 ("c", "x")], "owner string, term string")
+    new = spark.createDataFrame([("a", 1, " vile "), ("a", 2, "awful"), ("a", 3, "  "),
+                                 ("a", 4, "Awful"), ("c", 5, "x")],
+                                "owner string, pos int, term string")
     status = sorted(map(tuple, L.add_terms(have, new).collect()))
-    assert status == [("a", "", "blank"), ("a", "Awful", "added"), ("a", "vile", "exists"),
+    assert status == [("a", "", "blank"), ("a", "awful", "added"), ("a", "vile", "exists"),
                       ("c", "x", "added")]
     assert L.extend_lexicon(have, new).count() == 4
 

@@ -1,4 +1,5 @@
 import datetime
+import glob
 import json
 
 import pytest
@@ -110,10 +111,13 @@ def test_history_table(spark, folder):
     outputs.append_history(records(spark), path)
     outputs.append_history(records(spark, "2024-10-18 09:00:00"), path)
     saved = read_history(spark, path)
-    assert saved.count() == 4 and set(saved.columns) == set(schemas.ANALYSIS.names)
+    assert saved.count() == 4 and saved.schema == schemas.HISTORY_TABLE
     mine = H.history_of(saved, "ann@x.y")
     plan = mine._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(email" in plan
+    assert "PartitionFilters: [isnotnull(owner_bucket" in plan
+    assert len(glob.glob(f"{path}/owner_bucket=*")) == len(
+        {r.owner_bucket for r in saved.collect()}) <= C.OWNER_BUCKETS
+    assert len(glob.glob(f"{path}/*/*.parquet")) <= 4
     dates = [r.date for r in H.newest_first(mine).collect()]
     assert dates == ["2024-10-18 09:00:00", "2024-10-17 08:30:00"]
     assert mine.first().biased_sentences[0].detected_terms == ["vile"]
@@ -142,6 +146,7 @@ def test_feedback(spark, folder):
     outputs.append_feedback(rows, f"{folder}/f")
     outputs.append_feedback(rows, f"{folder}/f")
     saved = spark.read.schema(schemas.FEEDBACK).json(f"{folder}/f")
+    assert {r.timestamp for r in saved.collect()} == {now}
     assert sorted((r.email, r.feedback) for r in saved.collect()) == [
         ("a@b.c", "nice"), ("a@b.c", "nice"), ("guest", "ok"), ("guest", "ok")]
 
@@ -159,8 +164,8 @@ def test_report(spark, folder):
                                     "topics_html string")
     outputs.write_report(spark, summary, f"{folder}/r")
     page = "\n".join(r.value for r in spark.read.text(f"{folder}/r").collect())
-    assert "Propaganda Articles:</strong> 4<" in page and "2834" in page
-    assert "Topic 0: 0_a_b<br>Topic 1: 1_&lt;c&gt;" in page
+    assert "<td>with a technique</td><td>4</td>" in page and "<td>2834</td>" in page
+    assert "<li>Topic 0: 0_a_b</li><li>Topic 1: 1_&lt;c&gt;</li>" in page
 
 
 def test_flat_lists(spark):
