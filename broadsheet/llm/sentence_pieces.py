@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 LONGEST = 64
 TEXTS = 256
 
@@ -69,6 +69,11 @@ class Pieces:
         self.packed: dict[str, bytes] = {}
         self.decimal: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
+        self.views = {
+            id(self.packed): lambda ids: struct.pack(f"<{len(ids)}i", *ids),
+            id(self.decimal): lambda ids: ("%d " * len(ids) % tuple(ids)).encode(),
+            id(self.decoded): self.pieces_text,
+        }
 
     def _derive(self, name: str) -> bool:
         """Notes the last merge that builds ``name``; false if merges don't build it."""
@@ -174,21 +179,21 @@ class Pieces:
     def _joined(self, text: str | None, *caches: dict):
         """What the caches hold for the words of a text; new words are encoded first."""
         units = self.units(text)
-        new = [u for u in set(units) if u not in self.packed]
+        new = [u for u in set(units) if u not in caches[0]]
         if new:
-            if len(self.packed) + len(new) > CACHE_WORDS:
-                for known in (self.packed, self.decimal, self.decoded):
+            if len(caches[0]) + len(new) > CACHE_WORDS:
+                for known in caches:
                     known.clear()
                 new = set(units)
             for unit in new:
                 ids = self.encode_unit(unit)
-                self.packed[unit] = struct.pack(f"<{len(ids)}i", *ids)
-                self.decimal[unit] = "".join(f"{i} " for i in ids).encode()
-                self.decoded[unit] = self.pieces_text(ids)
-        out = [("" if c is self.decoded else b"").join(map(c.__getitem__, units)) for c in caches]
+                for known in caches:
+                    known[unit] = self.views[id(known)](ids)
+        out = [b"".join(map(c.__getitem__, units)) if c is not self.decoded
+               else "".join(map(c.__getitem__, units)) for c in caches]
         for unit in new:
             if len(unit) > LONGEST:     # rare and large: not worth keeping
-                for known in (self.packed, self.decimal, self.decoded):
+                for known in caches:
                     del known[unit]
         return out
 
@@ -197,7 +202,10 @@ class Pieces:
         return self._joined(text, self.packed)[0] + struct.pack("<i", self.end)
 
     def digest(self, text: str | None) -> tuple[bytes, str]:
-        """Decimal ids joined by spaces, with the end id, and the decoded text."""
+        """Decimal ids joined by spaces, with the end id, and the decoded text.
+
+        Words have whole characters, so the text of each is decoded by itself.
+        """
         ids, back = self._joined(text, self.decimal, self.decoded)
         return ids + str(self.end).encode(), back[1:] if back[:1] == " " else back
 
