@@ -11,6 +11,7 @@ from broadsheet.llm import (
     decontaminate,
     fingerprint,
     near_dedup,
+    oracles,
     pages,
     pii,
     quality,
@@ -60,9 +61,9 @@ def op4_pii(spark, sf):
     return pii.pii_digest(documents(spark, sf))
 
 
-@query("op5_near_dedup")
+@query("op5_near_dedup", oracles.NEAR_DEDUP)
 def op5_near_dedup(spark, sf):
-    return near_dedup.near_duplicates(documents(spark, sf))
+    return near_dedup.near_duplicates(documents(spark, sf)).drop("doc")
 
 
 @query("op6_token_files")
@@ -77,10 +78,11 @@ def op7_token_counts(spark, sf):
         documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", oracles.DECONTAMINATION)
 def op8_decontamination(spark, sf):
     return decontaminate.contamination(
-        documents(spark, sf), read_table(spark, f"{sf}/benchmark.parquet", "item_id", "text"))
+        documents(spark, sf),
+        read_table(spark, f"{sf}/benchmark.parquet", "item_id", "text")).drop("doc")
 
 
 @query("op10_substring_dedup")
