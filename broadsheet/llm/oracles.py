@@ -39,3 +39,21 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles,
   CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id,
   doc_id IS NOT DISTINCT FROM CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS kept
 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)"""
+
+SUBSTRINGS = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, p, hash(b[p:p + 199]) AS h, md5(b[p:p + 199]) AS m
+  FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d
+        WHERE octet_length(b) >= 200)),
+t AS (SELECT r, p FROM s JOIN (SELECT h, m FROM s GROUP BY 1, 2 HAVING count(*) > 1) USING (h, m)),
+i AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS island FROM (
+  SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END
+    AS fresh FROM t)),
+x AS (SELECT r, min(p) AS a, max(p) + 200 AS z FROM i GROUP BY r, island),
+k AS (SELECT r, a AS place, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS f, a - 1 AS l
+  FROM x UNION ALL SELECT r, max(z) + 1, max(z), NULL FROM x GROUP BY r),
+c AS (SELECT r, sha256(unhex(string_agg(hex(b[f:coalesce(l, octet_length(b))]), ''
+    ORDER BY place))) AS digest FROM k JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM x GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, coalesce(digest, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""

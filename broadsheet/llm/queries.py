@@ -85,7 +85,7 @@ def op8_decontamination(spark, sf):
         read_table(spark, f"{sf}/benchmark.parquet", "item_id", "text")).drop("doc")
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", oracles.SUBSTRINGS)
 def op10_substring_dedup(spark, sf):
     return substrings.substring_dedup(documents(spark, sf))
 
