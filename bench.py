@@ -23,6 +23,7 @@ HEADLINE = (
     "detect_techniques", "normalize_tokens", "term_stats", "tfidf", "ctfidf",
     "entities_gazetteer", "annotated_text", "compare_articles", "page_articles",
     "page_text", "classification_report", "history_sorted", "source_edges",
+    "propaganda_lr", "train_techniques", "predict_techniques", "annotate_corpus",
 )
 
 
