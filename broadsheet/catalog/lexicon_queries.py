@@ -17,6 +17,7 @@ from broadsheet.catalog.base import (
 from broadsheet.functions import fields as N
 from broadsheet.functions import text as X
 from broadsheet.operators import lexicon as L
+from broadsheet.operators.techniques import detect_listed_techniques
 from broadsheet.operators.sentences import sentence_table
 from broadsheet.sources import lexicons, techniques
 
@@ -134,3 +135,16 @@ def lexicon_edit(spark, sf):
     return L.edit_lexicon(turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("owner"),
         F.replace("text", F.lit(" "), F.lit("\n")).alias("txt")))
+
+
+@query("detect_techniques_table", rf"""
+WITH n AS (SELECT DISTINCT array_to_string({tokens_sql('text')}[1:2], ' ') AS technique
+           FROM benchmark),
+d AS (SELECT doc_id AS article_id, ' ' || array_to_string({tokens_sql('text')}, ' ') || ' ' AS t
+      FROM documents)
+SELECT article_id, technique FROM d, n WHERE contains(t, ' ' || technique || ' ')""")
+def detect_techniques_table(spark, sf):
+    """The first words of the benchmark passages as a list of names in a table."""
+    names = table(spark, sf, "benchmark", "text").select(F.array_join(
+        F.slice(X.tokens_of(F.col("text")), 1, 2), " ").alias("technique")).distinct()
+    return detect_listed_techniques(articles(spark, sf), names)

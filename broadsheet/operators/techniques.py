@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import constants as C
+from broadsheet.functions import text as X
 from broadsheet.functions.fields import has_items
 from broadsheet.functions.text import text_of
+from broadsheet.operators.entities import candidate_phrases
 
 
 def usable_techniques(names) -> list[str]:
@@ -48,6 +50,24 @@ def detect_whole_techniques(articles: DataFrame, names, text: str = "content",
     return articles.withColumn(output, found)
 
 
+def detect_listed_techniques(articles: DataFrame, names: DataFrame,
+                             text: str = "content") -> DataFrame:
+    """``article_id, technique`` for names that are a table of any length.
+
+    ``names`` has ``technique``. A name is found where its words stand side by
+    side, whatever the case and the marks between them. The runs of neighbouring
+    words of an article are joined on the name, so nothing is written into the
+    plan and no text moves; runs are as long as the longest name.
+    """
+    words = X.tokens_of(F.col("technique"))
+    wanted = names.select("technique", F.array_join(words, " ").alias("text"),
+                          F.size(words).alias("words")).where("words > 0").distinct()
+    wanted = wanted.where(F.lower("technique") != C.EXCLUDED_TECHNIQUE)
+    longest = wanted.agg(F.max("words")).first()[0] or 1
+    runs = candidate_phrases(articles, longest, text).select("article_id", "text").distinct()
+    return runs.join(wanted, "text").select("article_id", "technique").distinct()
+
+
 def flag_propaganda(articles: DataFrame,
                     techniques: str = "detected_techniques") -> DataFrame:
     """``is_propaganda``: at least one technique; ``techniques`` as the label."""

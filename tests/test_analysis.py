@@ -140,3 +140,15 @@ def test_propaganda_threshold(articles):
     assert {r.article_id: r.propaganda_score for r in strict.collect()} == {1: 0, 5: 0, 6: 1}
     rows = sentence_scores(sentence_table(articles), TERMS)
     assert rows.filter(is_propaganda(F.col("label"), F.col("score"))).count() == 3
+
+
+def test_listed_techniques(spark):
+    from broadsheet.operators.techniques import detect_listed_techniques
+    articles = spark.createDataFrame(
+        [(1, "Fear, Appeals! and more"), (2, "loaded  LANGUAGE of fear"), (3, None), (4, "")],
+        "article_id int, content string")
+    names = spark.createDataFrame([("Fear Appeals",), ("Loaded Language",), ("fear",), ("!",),
+                                   ("Repetitive Phrasing",), ("fear",)], "technique string")
+    got = sorted(map(tuple, detect_listed_techniques(articles, names).collect()))
+    assert got == [(1, "Fear Appeals"), (1, "fear"), (2, "Loaded Language"), (2, "fear")]
+    assert detect_listed_techniques(articles, names.limit(0)).count() == 0
