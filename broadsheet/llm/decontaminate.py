@@ -192,5 +192,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
         F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).distinct()
     bad = materialize(bad, "decontaminate-bad")
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_doc")),
                           "left_anti")

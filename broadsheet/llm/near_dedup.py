@@ -282,6 +282,7 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
         .where("count > 1").select("_id", "_doc"), "repeated")
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_doc"))
+    dropped, repeated = _maybe_broadcast(dropped), _maybe_broadcast(repeated)
     once = documents.join(repeated, same).dropDuplicates(["_id", "_doc"]).select(
         *documents.columns)
     rest = documents.join(dropped, same, "left_anti").join(repeated, same, "left_anti")
