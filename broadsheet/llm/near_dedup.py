@@ -19,6 +19,8 @@ aggregates and joined with splittable joins; no bucket is gathered in one task.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +32,8 @@ from broadsheet.llm.storage import materialize
 
 BANDS, ROWS = 64, 6
 NUMERATOR, DENOMINATOR = 75, 100
-# Centres that a bucket adds in each further round; all get their turn.
-CENTRES = 8
+# A bucket's further centres come in rounds that grow by this factor; all get their turn.
+GROWTH = 8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -154,7 +156,6 @@ def components(edges: DataFrame) -> DataFrame:
             "u", F.least("u", "m").alias("m"))
         edges = both.join(least, "u").where("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        edges = materialize(edges, "edges")
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = edges.join(least, "u").select(
             F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(
@@ -219,7 +220,8 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
                 F.desc("shared_a"), "class")) - 1
             waiting = materialize(outside.select(
                 "bucket", F.col("class").alias("a"), "n_a", "shared_a",
-                (place / CENTRES).cast("int").alias("turn")), "waiting")
+                F.floor(F.log(place + 1.5) / math.log(GROWTH)).cast("int").alias("turn")),
+                "waiting")
             last = waiting.agg(F.max("turn")).first()[0]
             turns = 0 if last is None else last + 1
         if turn >= turns:
