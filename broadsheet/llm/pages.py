@@ -4,8 +4,13 @@ The pages of a host are laid over each other: a node of the tree is a path of el
 (tag and class names). For each node the tree counts the pages that have it, the sequences
 of children it is shown with (presentation) and the texts under it (content). A node whose
 presentation and content are the same on most pages has low entropy and so low importance;
-its branch is removed from every page. Elements whose tag or class says that they are no
-article (menus, forms, comments, ...) go by that alone, as hosts with few pages say little.
+of its branch every page loses the nodes whose own texts repeat as well. This judges what is
+inside an article or main element too; such an element is evidence that raises importance.
+Elements whose tag or class says that they are no article (menus, forms, comments, ...) go
+by that alone, as hosts with few pages say little.
+
+Copies of a story are no template: pages of which most of the text is the same count once,
+and a text counts once for all pages on which most of the other text is the same, too.
 
 The tree travels as counted rows (host, path, feature) that partial aggregates sum before
 any shuffle; html itself is never shuffled unless the table of removed branches is too
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -56,7 +62,9 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 KEEP, DROP, MAIN = 0, 1, 2
+MARK = "#main"      # ends the node names of a main part
 LEAST_PAGES, LOW, DAMP = 4, 0.35, 0.9
+EVIDENCE = 0.2      # share by which a main part closes the gap to importance 1
 BROADCAST_ROWS = 200_000
 
 
@@ -169,8 +177,9 @@ def parse(page: str) -> tuple[list[Block], dict[tuple, list[str]]]:
         elif above == MAIN and state == KEEP:
             state = MAIN
         if block:
-            shown.setdefault(path, []).append(name)
-            path = (*path, name)
+            if above != DROP:
+                shown.setdefault(path, []).append(name)
+            path = (*path, name + MARK if state == MAIN else name)
         else:
             current = None
         stack.append((tag, path, state))
@@ -190,6 +199,36 @@ def node(path: tuple) -> int:
 
 
 PAGE, STYLE, CONTENT = 0, 1, 2
+HASH = (1 << 64) - 1
+
+
+def contexts(texts: list[str]) -> tuple[int, list[int]]:
+    """A hash of most of a page's text, and for each text one of most of the others.
+
+    Longest first, until half of the characters are reached. A text longer than all
+    others together is its own context.
+    """
+    hashes = [key(t) for t in texts]
+    order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), hashes[i]))
+    lengths, sums = [0], [0]
+    for i in order:
+        lengths.append(lengths[-1] + len(texts[i]))
+        sums.append(sums[-1] + hashes[i] & HASH)
+    total, out = lengths[-1], [0] * len(texts)
+    for rank, i in enumerate(order):
+        size = len(texts[i])
+        if 2 * size > total:
+            out[i] = hashes[i] & HASH
+            continue
+        half = (total - size + 1) // 2
+        k = bisect_left(lengths, half)
+        if rank < k:
+            k = bisect_left(lengths, half + size)
+            out[i] = sums[k] - hashes[i] & HASH
+        else:
+            out[i] = sums[k]
+    signed = lambda h: h - (1 << 63)
+    return signed(sums[bisect_left(lengths, (total + 1) // 2)]), list(map(signed, out))
 
 
 def _features(batches):
@@ -199,73 +238,92 @@ def _features(batches):
         for host, page in zip(hosts, batch.column("html").to_pylist()):
             blocks, shown = parse(page or "")
             own = set()
-            for block in blocks:
-                for depth in range(1, len(block.path) + 1):
-                    own.add((node(block.path[:depth]), PAGE, 0, depth, node(block.path[:depth - 1])))
-                own.add((node(block.path), CONTENT, key(block.text()), len(block.path),
-                         node(block.path[:-1])))
+            blocks = [b for b in blocks if b.state != DROP]
+            texts = [b.text() for b in blocks]
+            whole, rest = contexts(texts)
+            for block, text, other in zip(blocks, texts, rest):
+                path = block.path
+                for depth in range(1, len(path) + 1):
+                    own.add((node(path[:depth]), PAGE, 0, whole, depth, node(path[:depth - 1]),
+                             path[depth - 1].endswith(MARK)))
+                own.add((node(path), CONTENT, key(text), other, len(path), node(path[:-1]),
+                         path[-1:] != () and path[-1].endswith(MARK)))
             for path, names in shown.items():
-                own.add((node(path), STYLE, key(*names), len(path), node(path[:-1])))
+                own.add((node(path), STYLE, key(*names), whole, len(path), node(path[:-1]),
+                         path[-1:] != () and path[-1].endswith(MARK)))
             rows.extend((host, *row) for row in own)
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
-                (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))],
-            ["host", "node", "kind", "feature", "depth", "parent"])
+                (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(),
+                 pa.int64(), pa.bool_()))],
+            ["host", "node", "kind", "feature", "context", "depth", "parent", "main"])
 
 
 def _branches(table: pa.Table) -> pa.Table:
-    """The nodes of one host of which importance is low, weighed bottom-up.
+    """The nodes of one host whose texts go, weighed bottom-up.
 
     An inner node's importance is that of its presentation and, damped, the mean of its
     children; a node's own texts count as a child.
     """
-    rows = table.to_pylist()
+    rows = sorted(table.to_pylist(), key=lambda r: -r["depth"])
     importance: dict[int, float] = {}
     children: dict[int, list[float]] = {}
-    for row in sorted(rows, key=lambda r: -r["depth"]):
+    raised = lambda row, v: v + EVIDENCE * (1 - v) if row["main"] else v
+    for row in rows:
         below = children.get(row["node"], [])
         if row["content"] is not None:
-            below = [*below, row["content"]]
+            below = [*below, raised(row, row["content"])]
         if row["presentation"] is None:
             value = sum(below) / len(below) if below else 1.0
         elif not below:
-            value = row["presentation"]
+            value = raised(row, row["presentation"])
         else:
             share = DAMP ** len(below)
-            value = (1 - share) * row["presentation"] + share * sum(below) / len(below)
+            value = ((1 - share) * raised(row, row["presentation"])
+                     + share * sum(below) / len(below))
         importance[row["node"]] = value
         children.setdefault(row["parent"], []).append(value)
-    low = sorted(n for n, v in importance.items() if v < LOW)
+    branch, low = set(), []
+    for row in reversed(rows):
+        # The root and the outermost element are no branches.
+        if row["parent"] in branch or row["depth"] > 1 and importance[row["node"]] < LOW:
+            branch.add(row["node"])
+            if row["content"] is not None:
+                low.append(row["node"])
     return pa.table({"host": table.column("host").slice(0, 1),
-                     "removed": pa.array([np.array(low, np.int64).tobytes()], pa.binary())})
+                     "removed": pa.array([np.array(sorted(low), np.int64).tobytes()],
+                                         pa.binary())})
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, depth, parent, pages, presentation, content): entropies from 0 to 1.
+    """(host, node, depth, parent, main, pages, presentation, content): entropies from 0 to 1.
 
     With a feature on n of m pages, presentation is the entropy of the styles to the base
-    m, and content one less the mean entropy of the texts, log n / log m each.
+    m, and content one less the mean entropy of the texts, log n / log m each. Pages are
+    told apart by most of their text, texts by most of the text beside them.
     """
     rows = pages.select("host", "html").mapInArrow(
-        _features, "host string, node long, kind int, feature long, depth int, parent long")
-    counted = rows.groupBy("host", "node", "kind", "feature", "depth", "parent").agg(
-        F.count("*").alias("n"))
+        _features, "host string, node long, kind int, feature long, context long, depth int, "
+        "parent long, main boolean")
+    of_node = ["host", "node", "depth", "parent", "main"]
+    counted = rows.distinct().groupBy(*of_node, "kind", "feature").agg(F.count("*").alias("n"))
     logs = F.col("n") * F.log("n")
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
-    nodes = counted.groupBy("host", "node", "depth", "parent").agg(
+    nodes = counted.groupBy(*of_node).agg(
         F.coalesce(of(PAGE, F.col("n")), of(STYLE, F.col("n"))).alias("pages"),
         of(STYLE, F.col("n")).alias("styles"), of(STYLE, logs).alias("style_logs"),
         of(CONTENT, F.col("n")).alias("texts"), of(CONTENT, logs).alias("text_logs"))
     base = F.log(F.greatest("pages", F.lit(2)))
     return nodes.where(F.col("pages") >= LEAST_PAGES).select(
-        "host", "node", "depth", "parent", "pages",
-        (F.log("styles") / base - F.col("style_logs") / F.col("styles") / base)
-        .alias("presentation"),
-        (1 - F.col("text_logs") / F.col("texts") / base).alias("content"))
+        *of_node, "pages",
+        F.when(F.col("styles") > 0, F.least(F.lit(1.0), F.log("styles") / base
+               - F.col("style_logs") / F.col("styles") / base)).alias("presentation"),
+        F.when(F.col("texts") > 0, F.greatest(F.lit(0.0), 1 - F.col("text_logs")
+               / F.col("texts") / base)).alias("content"))
 
 
 def removed_branches(pages: DataFrame) -> DataFrame:
-    """(host, removed): packed node hashes of the branches to remove, hosts with any.
+    """(host, removed): packed hashes of the nodes whose texts go, hosts with any.
 
     Nodes are template elements (digits in names are levelled, rare nodes left out), so
     what one host gathers doesn't grow with its pages.
@@ -278,17 +336,13 @@ def removed_branches(pages: DataFrame) -> DataFrame:
 def main_text(page: str | None, removed=frozenset()) -> str:
     """The article's blocks, each on one line; empty if there is none.
 
-    Where a page has a main part, only that counts; repetition among pages removes nothing
-    of it but what its own tags mark. If a removal left nothing, it is not applied.
+    Where a page has a main part, only that counts. Texts of removed nodes go inside it
+    and elsewhere; if that left nothing, it is not applied.
     """
     blocks, _ = parse(page or "")
     blocks = [b for b in blocks if b.state != DROP]
-    main = [b for b in blocks if b.state == MAIN]
-    if main:
-        chosen = main
-    else:
-        chosen = [b for b in blocks if not any(
-            node(b.path[:k]) in removed for k in range(2, len(b.path) + 1))] or blocks
+    chosen = [b for b in blocks if b.state == MAIN] or blocks
+    chosen = [b for b in chosen if node(b.path) not in removed] or chosen
     return "\n".join(t for t in (b.text() for b in chosen) if t)
 
 

@@ -52,3 +52,20 @@ def test_equal_pages_keep_their_text(spark):
     rows = [(i, "http://x.y/1", "<body><div><p>all the same</p></div></body>") for i in range(9)]
     assert {r.text for r in X.extract_pages(spark.createDataFrame(rows, PAGES)).collect()} == {
         "all the same"}
+
+
+def texts(spark, bodies, host="h.i"):
+    rows = [(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [r.text.split("\n") for r in X.extract_pages(
+        spark.createDataFrame(rows, PAGES)).orderBy("page_id").collect()]
+
+
+def words(i):
+    return " ".join(f"w{i}x{k}" for k in range(20))
+
+
+def test_repeats_inside_an_article_go(spark):
+    got = texts(spark, [
+        f"<article><h1>Title {i}</h1><p>{words(i)}</p><p>More of {i}</p><div class=box>Our author "
+        "writes here</div></article>" for i in range(10)])
+    assert got == [[f"Title {i}", words(i), f"More of {i}"] for i in range(10)]
