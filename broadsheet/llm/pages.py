@@ -263,7 +263,8 @@ def _branches(table: pa.Table) -> pa.Table:
     """The nodes of one host whose texts go, weighed bottom-up.
 
     An inner node's importance is that of its presentation and, damped, the mean of its
-    children; a node's own texts count as a child.
+    children; a node's own texts count as a child. A branch of low importance loses the
+    nodes of which the content is low as well, so never a text for its place alone.
     """
     rows = sorted(table.to_pylist(), key=lambda r: -r["depth"])
     importance: dict[int, float] = {}
@@ -288,7 +289,7 @@ def _branches(table: pa.Table) -> pa.Table:
         # The root and the outermost element are no branches.
         if row["parent"] in branch or row["depth"] > 1 and importance[row["node"]] < LOW:
             branch.add(row["node"])
-            if row["content"] is not None:
+            if row["content"] is not None and raised(row, row["content"]) < LOW:
                 low.append(row["node"])
     return pa.table({"host": table.column("host").slice(0, 1),
                      "removed": pa.array([np.array(sorted(low), np.int64).tobytes()],

@@ -69,3 +69,20 @@ def test_repeats_inside_an_article_go(spark):
         f"<article><h1>Title {i}</h1><p>{words(i)}</p><p>More of {i}</p><div class=box>Our author "
         "writes here</div></article>" for i in range(10)])
     assert got == [[f"Title {i}", words(i), f"More of {i}"] for i in range(10)]
+
+
+def test_copies_are_no_template(spark):
+    for element in ("article", "div"):
+        for story in ([words("s")], [words("s"), words("t"), "The end"]):
+            made = [story] * 9 + [[words("u"), "Other"]]
+            got = texts(spark, [f"<div class=date>Day {i}</div><{element}><h1>T</h1>" + "".join(
+                f"<p>{t}</p>" for t in part) + f"</{element}>" for i, part in enumerate(made)])
+            assert all(set(part) <= set(g) for part, g in zip(made, got))
+
+
+def test_fixed_template_with_own_texts(spark):
+    parts = lambda i: [f"{words(i)} part {k}" for k in range(14)]
+    got = texts(spark, ["<div class=menubox>Same on all</div><div class=story>" + "".join(
+        f"<p class=c{chr(97 + k)}>{t}</p>" for k, t in enumerate(parts(i))) + "</div>"
+        for i in range(12)])
+    assert got == [parts(i) for i in range(12)]
