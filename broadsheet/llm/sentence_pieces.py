@@ -265,6 +265,43 @@ def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
 
 
+def _decoded(path: str):
+    def run(batches):
+        table = pieces(path)
+        count = range(len(table.names))
+        decimal = [str(i) for i in count]
+        alone = [table.pieces_text([i]) for i in count]
+        # Bytes make characters together, so ids with any are decoded as a whole.
+        is_byte = np.zeros(len(count), bool)
+        is_byte[list(table.byte_of)] = True
+
+        def digests(ids):
+            back = (table.decode(ids) if is_byte[ids].any()
+                    else "".join(map(alone.__getitem__, ids)).removeprefix(" ")) if ids else ""
+            return [hashlib.sha256(s.encode()).hexdigest() for s in (
+                " ".join(map(decimal.__getitem__, ids)), back)]
+
+        for batch in batches:
+            for first in range(0, len(batch), TEXTS):
+                part = batch.slice(first, TEXTS)
+                rows = [digests(ids or []) for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("ids"),
+                     *(pa.array([r[i] for r in rows], pa.string()) for i in (0, 1))],
+                    ["doc_id", "ids", "ids_sha256", "decoded_sha256"])
+    return run
+
+
+def decoded_digests(tokens: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, ids_sha256, decoded_sha256): digests as those of ``token_digest``.
+
+    The text is decoded from the ids given; null reads as an empty list.
+    """
+    return tokens.select("doc_id", "ids").mapInArrow(
+        _decoded(path),
+        "doc_id long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def _digest(table: Pieces, text: str | None):
     ids, back = table.digest(text)
     return (ids.count(b" ") + 1, hashlib.sha256(ids).hexdigest(),

@@ -33,8 +33,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, with digests of the ids and of the decoded text."""
-    return sentence_pieces.encode_documents(docs, public_tokenizers.path(TOKENIZER))
+    """The token ids of each text, with digests of the ids and of the text decoded from them."""
+    model = public_tokenizers.path(TOKENIZER)
+    return sentence_pieces.decoded_digests(sentence_pieces.encode_documents(docs, model), model)
 
 
 STAGES = [

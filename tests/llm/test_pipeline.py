@@ -1,3 +1,5 @@
+import hashlib
+
 import helpers as H
 import public_tokenizers
 import sentencepiece
@@ -39,3 +41,15 @@ def test_stages_against_plain_versions(spark):
     last = {r.doc_id: r.ids for r in P.run(spark, H.SF).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.TOKENIZER))
     assert last == {r.doc_id: library.encode(r.text) + [2] for r in masked.collect()}
+
+
+def test_last_stage_decodes_its_ids(spark):
+    docs = H.clashing(spark, [*H.ODD, *map(tuple, H.documents(spark).select("doc_id", "text").collect())])
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.TOKENIZER))
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        ids = library.encode(r.text or "") + [2]
+        want.append((r.doc_id, ids, *(hashlib.sha256(s.encode()).hexdigest() for s in (
+            " ".join(map(str, ids)), library.decode(ids)))))
+    last = dict(P.STAGES)["SentencePiece encoding and decoding"](spark, docs, H.SF)
+    assert H.rows(last, "doc_id", "ids", "ids_sha256", "decoded_sha256") == sorted(want, key=H.key)
