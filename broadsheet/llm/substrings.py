@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import shingles as S
@@ -37,6 +37,7 @@ FLUSH = 1_000_000       # entries a task packs at once
 BLOCK = 1_500_000       # entries of a block, about
 LEAST_BLOCKS = 64
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64_000_000    # of the binaries, as they grow with the texts
 
 PACKED = "block int, docs binary, counts binary, places binary, names binary"
 _TABLES = S.mix(np.arange(1, 513, dtype=np.uint64)).reshape(2, 256)
@@ -239,6 +240,14 @@ def _maybe_broadcast(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _broadcast_or_shuffle(rows: DataFrame, size: Column) -> DataFrame:
+    """Broadcast if the rows and their bytes are few; else a shuffle join, with skew split."""
+    count, total = rows.agg(F.count("*"), F.sum(size)).first()
+    if count <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES:
+        return F.broadcast(rows)
+    return rows.hint("shuffle_merge")
+
+
 def _spans(table: pa.Table) -> pa.Table:
     """Of one document: the union of [place, place + LENGTH) as start, end pairs."""
     at = np.unique(np.concatenate(
@@ -271,7 +280,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
              .applyInArrow(_repeats(5, False), "doc long, places binary"))
     ranks = materialize(ranks.groupBy("doc").agg(F.collect_list("places").alias("ranks")),
                         "cover-ranks")
-    likely = once.join(_maybe_broadcast(ranks), "doc").select("doc", "text", "ranks")
+    size_of = F.aggregate("ranks", F.lit(0).cast("long"), lambda n, b: n + F.length(b))
+    likely = once.join(_broadcast_or_shuffle(ranks, size_of), "doc").select("doc", "text", "ranks")
     starts = (likely.mapInArrow(_prefixes(_blocks(size / 8)), PACKED).groupBy("block")
               .applyInArrow(_repeats(6, True), "doc long, places binary"))
     found = starts.groupBy("doc").applyInArrow(_spans, "doc long, spans binary")
@@ -319,7 +329,8 @@ def with_spans(documents: DataFrame) -> DataFrame:
     keyed = documents.select("doc_id", "text").withColumn(
         "doc", F.xxhash64(F.coalesce("text", F.lit(""))))
     spans = repeated_spans(keyed)
-    return keyed.join(_maybe_broadcast(spans), "doc", "left").select("doc_id", "text", "spans")
+    spans = _broadcast_or_shuffle(spans, F.length("spans"))
+    return keyed.join(spans, "doc", "left").select("doc_id", "text", "spans")
 
 
 def substring_dedup(documents: DataFrame) -> DataFrame:

@@ -69,3 +69,16 @@ def test_packed_entries_round_trip():
     d, p = X._unpack(*X._pack(docs, places))
     assert d.tolist() == docs.tolist() and p.tolist() == places.tolist()
     assert X._unsteps(X._steps(places[:3])).tolist() == [3, 900, 70000]
+
+
+def test_few_rows_of_many_bytes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(X, "BROADCAST_BYTES", 0, raising=False)
+    frames, join = [], type(spark.range(0)).join
+    monkeypatch.setattr(type(spark.range(0)), "join", lambda self, *a, **b: frames.append(
+        out := join(self, *a, **b)) or out)
+    data = list(cases())
+    assert H.rows(X.substring_dedup(H.clashing(spark, data)), *COLUMNS) == plain(data)
+    grow = [f for f in frames if {"ranks", "spans"} & set(f.columns)
+            and f.columns != ["doc", "spans"]]
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in grow]
+    assert [re.search(r"\w+Join", p).group() for p in plans] == ["SortMergeJoin"] * 2
