@@ -70,7 +70,7 @@ def topic_kmeans(spark, sf):
 
 @query("doc_topics")
 def doc_topics(spark, sf):
-    """Articles clustered by their hashed terms, one topic for each."""
+    """Articles clustered by their TF-IDF vectors, one topic for each."""
     docs = features.with_normalized_tokens(articles(spark, sf), features.stop_words())
     vectors = topic_vectors(docs)
     model = topics.fit_topics(vectors, features="topic_features")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.functions import unwrap_udt
 
 from broadsheet import constants as C
 
@@ -76,25 +78,33 @@ class TopicModel:
     cutoff: float
 
 
-def _distance(vector: Column, centers) -> Column:
-    """Squared distance to the centre of the row's own cluster."""
-    table = F.array(*[F.expr(f"array({', '.join(f'{x!r}D' for x in map(float, center))})")
-                      for center in centers])
-    own = F.get(table, F.col("cluster"))
-    squares = F.zip_with(vector, own, lambda x, y: (x - y) * (x - y))
-    return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
+def _clustered(rows: DataFrame, clusters: KMeansModel, features: str) -> DataFrame:
+    """Adds ``cluster`` and the squared distance to its centre.
+
+    Centres are looked up at the values a vector has, so a sparse one stays sparse.
+    """
+    centers = np.stack(clusters.clusterCenters())
+    squares = (centers * centers).sum(axis=1)
 
+    @F.pandas_udf("double")
+    def distance(indices: pd.Series, values: pd.Series, cluster: pd.Series) -> pd.Series:
+        return pd.Series([
+            max(0.0, float(squares[c] + ((v - centers[c, i]) ** 2 - centers[c, i] ** 2).sum()))
+            for i, v, c in zip(indices, values, cluster)], dtype="float64")
 
-def _clustered(rows: DataFrame, clusters: KMeansModel, features: str) -> DataFrame:
-    found = clusters.transform(rows)
-    return found.withColumn(
-        "distance", _distance(vector_to_array(features), clusters.clusterCenters()))
+    parts = unwrap_udt(F.col(features))
+    values = parts.getField("values")
+    indices = F.coalesce(parts.getField("indices"), F.when(
+        F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(
+            F.array().cast("array<int>")))
+    return clusters.transform(rows).withColumn(
+        "distance", distance(indices, values, F.col("cluster")))
 
 
 def fit_topics(rows: DataFrame, *, features: str = "features",
                topics: int = C.DEFAULT_TOPICS, smallest: int = 2,
                outlier_share: float = 0.02, seed: int = 42) -> TopicModel:
-    """K-means on dense or reduced vectors.
+    """K-means on dense or sparse vectors.
 
     Rows farther from their centre than all but ``outlier_share`` of rows, and
     clusters below ``smallest`` articles, become the outlier topic. Only the

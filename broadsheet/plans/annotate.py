@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +33,14 @@ def annotate_text(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
     return entities.inline_entities(detected, gazetteer)
 
 
-def topic_vectors(articles: DataFrame, dimensions: int = 64) -> DataFrame:
-    """Dense-sized article vectors for clustering: hashed terms, length one."""
-    hashed = HashingTF(numFeatures=dimensions, inputCol="tokens",
-                       outputCol="_hashed").transform(articles)
-    return (Normalizer(p=2.0, inputCol="_hashed", outputCol="topic_features")
-            .transform(hashed).drop("_hashed"))
+def topic_vectors(articles: DataFrame, size: int = C.MAX_FEATURES) -> DataFrame:
+    """Article vectors for clustering: TF-IDF of the terms, length one, sparse."""
+    model = features.fit_tfidf(articles, output="topic_features", size=size)
+    if model is None:
+        empty = CountVectorizerModel.from_vocabulary(
+            [""], inputCol="tokens", outputCol="topic_features")
+        return empty.transform(articles)
+    return model.transform(articles).drop("topic_features_tf", "topic_features_raw")
 
 
 def annotate_corpus(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
@@ -60,7 +62,7 @@ def annotate_corpus(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
     model = classify.train_techniques(
         annotated.filter("is_train"), size=max_features, max_iter=svm_iterations)
     predicted = classify.predict_techniques(annotated, model)
-    vectors = topic_vectors(predicted)
+    vectors = topic_vectors(predicted, max_features)
     clusters = topics.fit_topics(vectors, features="topic_features",
                                  topics=n_topics, smallest=smallest_topic)
     placed = topics.assign_topics(vectors, clusters, "topic_features")

@@ -79,3 +79,23 @@ def test_annotate_corpus(spark):
     assert one.processed_content == "number 1 met bandwagon paris today"
     assert {r.topic for r in got} <= {r.topic for r in done.topic_info.collect()}
     assert sum(r["count"] for r in done.topic_info.collect()) == 40
+
+
+def test_topic_vectors_are_weighted_terms(spark):
+    from broadsheet.operators import features
+    from broadsheet.plans.annotate import topic_vectors
+    rows = [(i, [f"word{i}x{k}" for k in range(60)] + ["common"]) for i in range(4)]
+    articles = spark.createDataFrame(rows, "article_id long, tokens array<string>")
+    got = {r.article_id: r.topic_features for r in topic_vectors(articles).collect()}
+    want = {}
+    for r in features.tfidf(articles, F.col("tokens")).collect():
+        want.setdefault(r.article_id, []).append(r.weight)
+    for i, vector in got.items():
+        assert sorted(vector.values) == pytest.approx(sorted(want[i]))
+    model = topics.fit_topics(topic_vectors(articles), features="topic_features", topics=2,
+                              smallest=1, outlier_share=0.0)
+    centers = model.clusters.clusterCenters()
+    placed = topics.assign_topics(topic_vectors(articles), model, "topic_features").collect()
+    for r in placed:
+        vector = r.topic_features.toArray()
+        assert r.distance == pytest.approx(min(((vector - c) ** 2).sum() for c in centers))
