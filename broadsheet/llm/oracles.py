@@ -57,3 +57,23 @@ n AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FRO
 SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
   coalesce(n_spans, 0) AS n_spans, coalesce(digest, sha256(b)) AS kept_sha256
 FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
+
+RANKED_SEARCH = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+q AS (SELECT item, t, count(*) AS many FROM (SELECT item, unnest(w) AS t FROM i) GROUP BY 1, 2),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+x AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS wt
+  FROM f, total GROUP BY t, n_docs),
+s AS (SELECT item, r, CAST(sum(many * wt * ((1000000000 * tf) // (1000 * tf
+    + 8 * (25 + (75 * len(d.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM f JOIN d USING (r) JOIN x USING (t) JOIN q USING (t), total GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+  FROM s JOIN i USING (item) JOIN d USING (r) WHERE score > 0) WHERE rank <= 10"""

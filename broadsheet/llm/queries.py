@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from broadsheet.llm import (
     decontaminate,
     fingerprint,
     near_dedup,
     oracles,
+    packing,
     pages,
     pii,
     quality,
+    runs,
+    search,
     sentence_pieces,
     substrings,
     token_counts,
@@ -94,3 +98,41 @@ def op10_substring_dedup(spark, sf):
 def op9_sentence_pieces(spark, sf):
     return sentence_pieces.token_digest(
         documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_ranked_search", oracles.RANKED_SEARCH)
+def op11_ranked_search(spark, sf):
+    return search.rank_documents(
+        documents(spark, sf), read_table(spark, f"{sf}/benchmark.parquet", "item_id", "text"))
+
+
+@query("op12_packing")
+def op12_packing(spark, sf):
+    return packing.pack_documents(
+        documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The texts of the contract: a tenth of them repeat some of their words to the end.
+
+    Which, from where and how often is told by the CRC-32 of the id (null: of nothing).
+    """
+    crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # Inside a lambda a column would be computed anew for each word; its argument is not.
+    held = F.array(F.struct(words.alias("w"), F.floor(crc / 10).alias("g")))
+    planted = F.transform(held, lambda h: F.when(F.size(h["w"]) > 0, F.transform(
+        F.array(F.struct(h["w"].alias("w"), (h["g"] % F.size(h["w"])).alias("a"),
+                         (1 + F.floor((F.size(h["w"]) - h["g"] % F.size(h["w"]))
+                                      / (3 + h["g"] % 8))).alias("p"))),
+        lambda k: F.array_join(F.transform(
+            k["w"], lambda word, i: F.when(i < k["a"], word).otherwise(
+                F.get(k["w"], (k["a"] + (i - k["a"]) % k["p"]).cast("int")))), " "))[0]))[0]
+    return docs.select("doc_id", F.when(
+        F.col("text").isNotNull() & (crc % 10 == 0), planted).otherwise(F.col("text"))
+        .alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf):
+    return runs.run_digest(runs.collapse_runs(with_planted_periods(documents(spark, sf))))

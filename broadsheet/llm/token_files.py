@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -89,9 +90,10 @@ def _encode(path: str):
         encoder = byte_bpe.encoder(path)
         end = np.array([END_ID], encoder.dtype).tobytes()
         for batch in batches:
+            coded = encoder.encode_rows(batch.column("text"))
             for first in range(0, len(batch), TEXTS):
                 part = batch.slice(first, TEXTS)
-                raw = [ids + end for ids in encoder.encode(part.column("text").to_pylist())]
+                raw = [ids.tobytes() + end for ids in islice(coded, len(part))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("bucket"), pa.array(raw, pa.binary())],
                     ["doc_id", "bucket", "ids"])
