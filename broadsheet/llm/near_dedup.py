@@ -11,7 +11,9 @@
 4. Where a bucket still holds several components, its members outside the centre's
    component become centres of further stars over the members of other components,
    until every such member has been one. So no link that a bucket holds is lost, and
-   a group that has become one component costs nothing more.
+   a group that has become one component costs nothing more. Of these stars only edges
+   that pass a bound on the common shingles are formed: a set bit of one class that the
+   other lacks proves a shingle it lacks. The bound never drops a link.
 
 Skew: a class is one row however often it occurs; hot buckets are counted by partial
 aggregates and joined with splittable joins; no bucket is gathered in one task.
@@ -25,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from broadsheet.llm import shingles as S
 from broadsheet.llm.storage import materialize
@@ -34,7 +35,9 @@ BANDS, ROWS = 64, 6
 NUMERATOR, DENOMINATOR = 75, 100
 # A bucket's further centres come in rounds that grow by this factor; all get their turn.
 GROWTH = 8
-BROADCAST_ROWS = 1_000_000
+# Bits of a class, one for each value of the last bits of its shingle hashes, in longs.
+LONGS = 16
+BROADCAST_ROWS = 200_000
 
 
 def with_hash(documents: DataFrame) -> DataFrame:
@@ -78,10 +81,17 @@ def _write_sets(batches):
     for batch in batches:
         for first in range(0, len(batch), 512):
             part = batch.slice(first, 512)
-            sets = [s.tobytes() for s in S.shingle_sets(part.column("text"))]
+            sets = list(S.shingle_sets(part.column("text")))
+            bits = np.zeros((len(sets), 64 * LONGS), bool)
+            for row, values in zip(bits, sets):
+                row[(values % np.uint64(64 * LONGS)).astype(np.int64)] = True
+            bits = np.packbits(bits, axis=1).view("<i8")
             yield pa.RecordBatch.from_arrays(
                 [part.column("class"), *_halves(part.column("class")),
-                 pa.array(sets, pa.binary())], ["class", "low", "high", "set"])
+                 pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), LONGS
+                                                   ).cast(pa.list_(pa.int64()))],
+                ["class", "low", "high", "set", "bits"])
 
 
 def _halves(classes) -> list[pa.Array]:
@@ -137,6 +147,15 @@ def _may_link():
             >= NUMERATOR * (F.col("n_a") + F.col("n_b")))
 
 
+def _bits_may_link():
+    """The same bound from the bits: each set has shingles that the other can't have."""
+    def own(a, b):
+        return sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{i}"))))
+                    for i in range(LONGS)), F.lit(0))
+    most = F.least(F.col("n_a") - own("bits_a", "bits_b"), F.col("n_b") - own("bits_b", "bits_a"))
+    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("n_a") + F.col("n_b"))
+
+
 def _maybe_broadcast(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
@@ -186,7 +205,8 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
     texts = documents.join(_maybe_broadcast(wanted), F.col("doc").eqNullSafe(F.col("_doc"))
                            & F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
     sets = materialize(texts.mapInArrow(
-        _write_sets, "class binary, low long, high long, set binary").dropDuplicates(["class"]),
+        _write_sets, "class binary, low long, high long, set binary, bits array<long>"
+    ).dropDuplicates(["class"]),
         "sets", "lz4")
     sizes = materialize(shared_sizes(sets).where(
         DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("n")), "sizes")
@@ -204,6 +224,8 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
     edges = materialize(confirm(tested, sets), "links")
     linked = components(edges)
     members = members.select("bucket", "class", "centre", "n_a", "shared_a")
+    bits = sets.select("class", F.struct(*(F.col("bits")[i].alias(f"b{i}")
+                                           for i in range(LONGS))).alias("bits"))
     waiting = None
     turn = turns = 0
     while True:
@@ -215,13 +237,18 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
             main = _maybe_broadcast(
                 roots.select(F.col("class").alias("centre"), F.col("root").alias("main")))
             outside = own.join(main, "centre", "left").where(
-                F.col("root") != F.coalesce("main", "centre"))
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy(
-                F.desc("shared_a"), "class")) - 1
-            waiting = materialize(outside.select(
-                "bucket", F.col("class").alias("a"), "n_a", "shared_a",
-                F.floor(F.log(place + 1.5) / math.log(GROWTH)).cast("int").alias("turn")),
-                "waiting")
+                F.col("root") != F.coalesce("main", "centre")).select(
+                    "bucket", F.col("class").alias("a"), "n_a", "shared_a")
+            outside = materialize(outside, "outside")
+            # The one with most shared shingles first, the others in hashed order; every
+            # member has its place without its bucket being sorted in one task.
+            firsts = outside.groupBy("bucket").agg(
+                F.count("*").alias("size"), F.max(F.struct("shared_a", "a")).alias("first"))
+            place = F.pmod(F.xxhash64("bucket", "a"), F.col("size")) + 1
+            waiting = materialize(outside.join(firsts, "bucket").select(
+                "bucket", "a", "n_a", "shared_a", F.when(F.col("a") == F.col("first.a"), 0)
+                .otherwise(1 + F.floor(F.log(place + 0.5) / math.log(GROWTH)))
+                .cast("int").alias("turn")), "waiting")
             last = waiting.agg(F.max("turn")).first()[0]
             turns = 0 if last is None else last + 1
         if turn >= turns:
@@ -229,10 +256,15 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
         now = waiting.where(F.col("turn") == turn).join(
             roots.select(F.col("class").alias("a"), F.col("root").alias("root_a")), "a", "left"
         ).withColumn("root_a", F.coalesce("root_a", "a"))
-        pairs = own.select("bucket", F.col("class").alias("b"), F.col("root").alias("root_b"),
-                           F.col("n_a").alias("n_b"), F.col("shared_a").alias("shared_b")).join(
-            _maybe_broadcast(now), "bucket").where(
-                (F.col("root_a") != F.col("root_b")) & _may_link())
+        now = materialize(now.join(bits.withColumnsRenamed({"class": "a", "bits": "bits_a"}),
+                                   "a"), "now")
+        others = own.join(_maybe_broadcast(now.select("bucket").distinct()), "bucket", "semi")
+        others = others.join(_maybe_broadcast(bits), "class").select(
+            "bucket", F.col("class").alias("b"), F.col("root").alias("root_b"),
+            F.col("n_a").alias("n_b"), F.col("shared_a").alias("shared_b"),
+            F.col("bits").alias("bits_b"))
+        pairs = others.join(_maybe_broadcast(now), "bucket").where(
+            (F.col("root_a") != F.col("root_b")) & _may_link() & _bits_may_link())
         pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")
                              ).distinct()
         known = tested.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))

@@ -14,6 +14,7 @@ of the terms come from it as well, so the model has the same size on any corpus.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -214,15 +215,16 @@ def quality_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
-    names = documents.columns
+    model = train(documents, labels)
+    if model is None:
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            for first in range(0, len(batch), BLOCK):
-                part = batch.slice(first, BLOCK)
-                if shared.value is not None:
-                    score = shared.value.score(features(part.column("text")))
-                    part = part.filter(pa.array(score >= THRESHOLD))
-                yield part.select(names)
-    return documents.mapInArrow(run, documents.schema)
+    @F.arrow_udf("double")
+    def quality_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.concatenate(
+                [shared.value.score(features(texts.slice(first, BLOCK)))
+                 for first in range(0, len(texts), BLOCK)] or [np.zeros(0)]), pa.float64())
+    # Only the text goes to Python and only the score comes back.
+    return documents.where(quality_score(F.col("text")) >= THRESHOLD)
