@@ -34,7 +34,7 @@ from broadsheet.llm.storage import materialize
 BANDS, ROWS = 64, 6
 NUMERATOR, DENOMINATOR = 75, 100
 # A bucket's further centres come in rounds that grow by this factor; all get their turn.
-GROWTH = 8
+GROWTH = 32
 # Bits of a class, one for each value of the last bits of its shingle hashes, in longs.
 LONGS = 16
 BROADCAST_ROWS = 200_000
@@ -226,51 +226,45 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
     members = members.select("bucket", "class", "centre", "n_a", "shared_a")
     bits = sets.select("class", F.struct(*(F.col("bits")[i].alias(f"b{i}")
                                            for i in range(LONGS))).alias("bits"))
-    waiting = None
-    turn = turns = 0
-    while True:
-        roots = linked.select("class", "root")
-        own = members.join(_maybe_broadcast(roots), "class", "left").withColumn(
-            "root", F.coalesce("root", "class"))
-        if waiting is None:
-            # Members outside their centre's component get a fixed turn as centres.
-            main = _maybe_broadcast(
-                roots.select(F.col("class").alias("centre"), F.col("root").alias("main")))
-            outside = own.join(main, "centre", "left").where(
-                F.col("root") != F.coalesce("main", "centre")).select(
-                    "bucket", F.col("class").alias("a"), "n_a", "shared_a")
-            outside = materialize(outside, "outside")
-            # The one with most shared shingles first, the others in hashed order; every
-            # member has its place without its bucket being sorted in one task.
-            firsts = outside.groupBy("bucket").agg(
-                F.count("*").alias("size"), F.max(F.struct("shared_a", "a")).alias("first"))
-            place = F.pmod(F.xxhash64("bucket", "a"), F.col("size")) + 1
-            waiting = materialize(outside.join(firsts, "bucket").select(
-                "bucket", "a", "n_a", "shared_a", F.when(F.col("a") == F.col("first.a"), 0)
-                .otherwise(1 + F.floor(F.log(place + 0.5) / math.log(GROWTH)))
-                .cast("int").alias("turn")), "waiting")
-            last = waiting.agg(F.max("turn")).first()[0]
-            turns = 0 if last is None else last + 1
-        if turn >= turns:
-            return linked
-        now = waiting.where(F.col("turn") == turn).join(
-            roots.select(F.col("class").alias("a"), F.col("root").alias("root_a")), "a", "left"
-        ).withColumn("root_a", F.coalesce("root_a", "a"))
-        now = materialize(now.join(bits.withColumnsRenamed({"class": "a", "bits": "bits_a"}),
-                                   "a"), "now")
-        others = own.join(_maybe_broadcast(now.select("bucket").distinct()), "bucket", "semi")
-        others = others.join(_maybe_broadcast(bits), "class").select(
-            "bucket", F.col("class").alias("b"), F.col("root").alias("root_b"),
-            F.col("n_a").alias("n_b"), F.col("shared_a").alias("shared_b"),
-            F.col("bits").alias("bits_b"))
-        pairs = others.join(_maybe_broadcast(now), "bucket").where(
-            (F.col("root_a") != F.col("root_b")) & _may_link() & _bits_may_link())
+    # Members outside their centre's component get a fixed turn as centres.
+    main = _maybe_broadcast(
+        linked.select(F.col("class").alias("centre"), F.col("root").alias("main")))
+    outside = members.join(_maybe_broadcast(linked), "class", "left").join(
+        main, "centre", "left").where(
+            F.coalesce("root", "class") != F.coalesce("main", "centre")).select(
+                "bucket", F.col("class").alias("a"), "n_a", "shared_a")
+    outside = materialize(outside, "outside")
+    # The one with most shared shingles first, the others in hashed order; every member
+    # has its place without its bucket being sorted in one task.
+    firsts = materialize(outside.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.max(F.struct("shared_a", "a")).alias("first")), "firsts")
+    place = F.pmod(F.xxhash64("bucket", "a"), F.col("size")) + 1
+    waiting = materialize(outside.join(_maybe_broadcast(firsts), "bucket").join(
+        bits.withColumnRenamed("class", "a"), "a").select(
+            "bucket", "a", "n_a", "shared_a", F.col("bits").alias("bits_a"),
+            F.when(F.col("a") == F.col("first.a"), 0)
+            .otherwise(1 + F.floor(F.log(place + 0.5) / math.log(GROWTH)))
+            .cast("int").alias("turn")), "waiting")
+    # What they are compared with: all members of their buckets.
+    others = members.join(_maybe_broadcast(firsts.select("bucket")), "bucket").join(
+        _maybe_broadcast(bits), "class")
+    others = materialize(others.select(
+        "bucket", F.col("class").alias("b"), F.col("n_a").alias("n_b"),
+        F.col("shared_a").alias("shared_b"), F.col("bits").alias("bits_b")), "others")
+    last = waiting.agg(F.max("turn")).first()[0]
+    for turn in range(0 if last is None else last + 1):
+        roots_a, roots_b = (_maybe_broadcast(linked.select(
+            F.col("class").alias(c), F.col("root").alias(f"root_{c}"))) for c in "ab")
+        now = materialize(waiting.where(F.col("turn") == turn).join(roots_a, "a", "left")
+                          .withColumn("root_a", F.coalesce("root_a", "a")), "now")
+        pairs = others.join(roots_b, "b", "left").withColumn(
+            "root_b", F.coalesce("root_b", "b")).join(_maybe_broadcast(now), "bucket").where(
+                (F.col("root_a") != F.col("root_b")) & _may_link() & _bits_may_link())
         pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")
                              ).distinct()
         known = tested.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
         pairs = materialize(pairs.join(known, ["x", "y"], "left_anti").select(
             F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
-        turn += 1
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
@@ -278,6 +272,7 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
         if not more.isEmpty():
             edges = edges.union(more)
             linked = components(edges)
+    return linked
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

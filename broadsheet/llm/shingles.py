@@ -10,7 +10,7 @@ import pyarrow as pa
 
 WORDS = 5
 # Bytes handled at once, unless one text is longer.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

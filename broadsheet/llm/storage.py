@@ -18,6 +18,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows for this session, as texts may be long.
+
+    A batch is held several times over, by the JVM and by Python; a smaller setting of the
+    user's stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialize(rows: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``rows`` as Parquet in the shared folder and read them back.
 
