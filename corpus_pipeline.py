@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.llm import decontaminate, near_dedup, pii, quality, sentence_pieces
-from broadsheet.llm.storage import materialize
+from broadsheet.llm.storage import materialize, short_batches
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score stays under the threshold."""
+    short_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
