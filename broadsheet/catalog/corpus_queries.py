@@ -14,6 +14,7 @@ from broadsheet.catalog.base import (
     tokens_sql,
 )
 from broadsheet.functions import fields as N
+from broadsheet.functions import text as X
 from broadsheet.operators import entities as E
 from broadsheet.operators import graph
 from broadsheet.operators.techniques import detect_techniques, flag_propaganda
@@ -56,6 +57,27 @@ def entities_gazetteer(spark, sf):
     return E.gazetteer_entities(articles(spark, sf), names, longest=2)
 
 
+@query("entities_long_gazetteer", f"""
+WITH b AS (SELECT conv_id, {tokens_sql('text')} AS w FROM conversations),
+g AS (SELECT DISTINCT array_to_string(w[i:i + 1], ' ') AS name, 'PAIR' AS label
+      FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b)
+      UNION SELECT w, 'WORD' FROM (SELECT unnest(w) AS w FROM b) WHERE length(w) > 7),
+t AS (SELECT doc_id AS article_id, {tokens_sql('text')} AS w FROM documents),
+p AS (SELECT article_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS one, w[i] || ' ' || w[i + 1] AS two
+      FROM (SELECT article_id, w, unnest(range(1, len(w) + 1)) AS i FROM t))
+SELECT article_id, pos, name AS text, label FROM p JOIN g ON g.name = p.one
+UNION ALL SELECT article_id, pos, name, label FROM p JOIN g ON g.name = p.two""")
+def entities_long_gazetteer(spark, sf):
+    """Names by the ten thousand: pairs of words and long words of the conversations."""
+    words = table(spark, sf, "conversations", "text").select(
+        X.tokens_of(F.col("text")).alias("w"))
+    pairs = words.select(F.explode(X.word_groups(F.col("w"), 2)).alias("r")).where("r.n = 2")
+    long = words.select(F.explode("w").alias("name")).where("length(name) > 7")
+    names = pairs.select(F.col("r.text").alias("name"), F.lit("PAIR").alias("label")).union(
+        long.select("name", F.lit("WORD")))
+    return E.gazetteer_entities(articles(spark, sf), names, longest=2)
+
+
 @query("entities_flat", f"""WITH {RUNS_SQL},
 flat AS (SELECT article_id, string_agg(text || ' (' || label || ')', ', '
   ORDER BY pos, length(text)) AS t FROM found GROUP BY 1)

@@ -17,7 +17,10 @@ from broadsheet.catalog.base import (
 from broadsheet.functions import fields as N
 from broadsheet.functions import text as X
 from broadsheet.operators import lexicon as L
-from broadsheet.operators.techniques import detect_listed_techniques
+from broadsheet.operators.techniques import (
+    detect_listed_techniques,
+    detect_substring_techniques,
+)
 from broadsheet.operators.sentences import sentence_table
 from broadsheet.sources import lexicons, techniques
 
@@ -148,3 +151,31 @@ def detect_techniques_table(spark, sf):
     names = table(spark, sf, "benchmark", "text").select(F.array_join(
         F.slice(X.tokens_of(F.col("text")), 1, 2), " ").alias("technique")).distinct()
     return detect_listed_techniques(articles(spark, sf), names)
+
+
+@query("detect_techniques_long", f"""
+WITH n AS (SELECT DISTINCT left(w, 5) AS technique FROM (
+  SELECT unnest({tokens_sql('text')}) AS w FROM conversations) WHERE length(w) > 5)
+SELECT doc_id AS article_id, technique FROM documents, n WHERE contains(lower(text), technique)""")
+def detect_techniques_long(spark, sf):
+    """Thousands of names, the first letters of longer words of the conversations."""
+    words = table(spark, sf, "conversations", "text").select(
+        F.explode(X.tokens_of(F.col("text"))).alias("w")).where("length(w) > 5")
+    return detect_substring_techniques(
+        articles(spark, sf), words.select(F.left("w", F.lit(5)).alias("technique")).distinct())
+
+
+@query("biased_sentences_long", f"""
+WITH sents AS ({sentences_sql()}),
+l AS (SELECT DISTINCT w AS term FROM (SELECT unnest({tokens_sql('text')}) AS w FROM conversations)
+      WHERE length(w) > 6),
+h AS (SELECT DISTINCT article_id, sent_id, term FROM (
+  SELECT article_id, sent_id, unnest({tokens_sql('sentence')}) AS term FROM sents) JOIN l USING (term))
+SELECT article_id, sent_id, string_agg(term, ', ' ORDER BY term) AS terms FROM h GROUP BY 1, 2""")
+def biased_sentences_long(spark, sf):
+    """A lexicon of thousands of terms, the longer words of the conversations."""
+    words = table(spark, sf, "conversations", "text").select(
+        F.explode(X.tokens_of(F.col("text"))).alias("term")).where("length(term) > 6")
+    found = L.match_lexicon(sentence_table(articles(spark, sf)), words)
+    return found.select("article_id", "sent_id",
+                        N.terms_text(F.col("detected_terms")).alias("terms"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as X
+from broadsheet.operators.lookup import Lookup
 from broadsheet.operators.unnest import unnest
 
 # Fixed patterns, written for both Java and RE2.
@@ -19,28 +20,42 @@ RULES = {
 }
 
 
-def candidate_phrases(articles: DataFrame, longest: int = 3,
-                      text: str = "content") -> DataFrame:
-    """Every run of 1..``longest`` neighbouring words: ``article_id, pos, text``."""
+def listed_phrases(articles: DataFrame, names: DataFrame, longest: int,
+                   text: str = "content") -> tuple[DataFrame, Lookup]:
+    """``article_id, pos, text``: the phrases that may be in ``names(text)``, and its lookup.
+
+    Inside the row, only words that start some name open phrases, and only phrases that
+    may be names are kept; the rest of a text never becomes rows.
+    """
+    first = Lookup.of(names.select(F.substring_index("text", " ", 1).alias("term")))
+    whole = Lookup.of(names.select(F.col("text").alias("term")))
     tokens = articles.select(
         "article_id", X.tokens_of(X.text_of(F.col(text))).alias("tokens"))
-    runs = X.word_groups(F.col("tokens"), longest)
-    return (unnest(tokens, runs, "article_id", value="run")
-            .select("article_id", F.col("run.pos"), F.col("run.text")))
+    words = F.transform("tokens", lambda word, i: F.struct(i.alias("pos"), word.alias("word")))
+    places = F.filter(words, lambda place: first.may_hold(place["word"]))
+
+    def phrases(place: Column) -> Column:
+        most = F.least(F.lit(longest), F.size("tokens") - place["pos"])
+        return F.transform(F.sequence(F.lit(1), most), lambda n: F.struct(
+            place["pos"].alias("pos"),
+            F.array_join(F.slice("tokens", place["pos"] + 1, n), " ").alias("text")))
+    runs = F.filter(F.flatten(F.transform(places, phrases)),
+                    lambda run: whole.may_hold(run["text"]))
+    found = unnest(tokens, runs, "article_id", value="run")
+    return found.select("article_id", F.col("run.pos"), F.col("run.text")), whole
 
 
 def gazetteer_entities(articles: DataFrame, gazetteer: DataFrame,
                        longest: int = 3, text: str = "content") -> DataFrame:
     """Gazetteer names in the text, word by word, whatever the case.
 
-    ``gazetteer`` has ``name, label`` and may be large: it is joined on the
-    name and the optimiser broadcasts it only if it is small. The words of a
-    text never move when it does; else ids, places and phrases do.
+    ``gazetteer`` has ``name, label`` and may be large. Phrases that can't be names are
+    dropped inside the row; the gazetteer is sent to the others up to a counted size and
+    joined by shuffle beyond. The words of a text never move.
     """
-    names = gazetteer.select(
-        F.lower("name").alias("text"), "label").distinct()
-    return (candidate_phrases(articles, longest, text).join(names, "text")
-            .select("article_id", "pos", "text", "label"))
+    names = gazetteer.select(F.lower("name").alias("text"), "label").distinct()
+    phrases, lookup = listed_phrases(articles, names, longest, text)
+    return lookup.join(phrases, names, "text").select("article_id", "pos", "text", "label")
 
 
 def pattern_entities(articles: DataFrame, text: str = "content",

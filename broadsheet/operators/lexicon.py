@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as X
-from broadsheet.operators.sentences import token_table
+from broadsheet.operators.lookup import Lookup
 from broadsheet.operators.unnest import unnest
 
 SENTENCE = ("article_id", "sent_id")
@@ -35,13 +35,22 @@ def _gather(hits: DataFrame) -> DataFrame:
 def match_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``match_terms`` for a lexicon that is a table of any size.
 
-    No broadcast is forced. Below ``spark.sql.autoBroadcastJoinThreshold`` the
-    optimiser ships the lexicon; above it both sides are hashed on the term and
-    AQE splits the partitions of frequent words. Only ids and terms move, never
-    sentence text.
+    A short one becomes part of the plan. For a longer one the words that can't be in it
+    are dropped inside the sentence; of the others ids and words meet the lexicon, which
+    is sent to them up to a counted size and joined by shuffle beyond. Sentence text
+    never moves.
     """
-    wanted = lexicon.select(F.lower("term").alias("term")).distinct()
-    return _gather(token_table(sentences).join(wanted, "term"))
+    wanted = lexicon.select(F.lower("term").alias("term"))
+    lookup = Lookup.of(wanted)
+    if lookup.known is not None:
+        return match_terms(sentences, lookup.known)
+    return _gather(lookup.join(_kept_tokens(sentences, lookup), lookup.terms, "term"))
+
+
+def _kept_tokens(sentences: DataFrame, lookup: Lookup, *keep: str) -> DataFrame:
+    """One row per distinct word of a sentence that the list may hold."""
+    kept = F.filter(X.token_set(F.col("sentence")), lookup.may_hold)
+    return unnest(sentences, kept, *SENTENCE, *keep, value="term")
 
 
 def match_owner_lexicons(sentences: DataFrame, lexicons: DataFrame,
@@ -58,8 +67,12 @@ def match_owner_lexicons(sentences: DataFrame, lexicons: DataFrame,
     own = lexicons.select("owner", F.lower("term").alias("term")).distinct()
     listed = (lexicons if owners is None else owners).select(
         "owner", F.lit(True).alias("listed")).distinct()
-    default = F.col("term").isin([t.lower() for t in default_terms])
-    found = (token_table(sentences, "owner")
+    spark = sentences.sparkSession
+    defaults = [t.lower() for t in default_terms]
+    default = F.col("term").isin(defaults)
+    lookup = Lookup.of(own.select("term").union(
+        spark.createDataFrame([(t,) for t in defaults], "term string")))
+    found = (_kept_tokens(sentences, lookup, "owner")
              .join(own.withColumn("own", F.lit(True)), ["owner", "term"], "left")
              .filter(F.col("own") | default)
              .join(listed, "owner", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +10,10 @@ from broadsheet import constants as C
 from broadsheet.functions import text as X
 from broadsheet.functions.fields import has_items
 from broadsheet.functions.text import text_of
-from broadsheet.operators.entities import candidate_phrases
+from broadsheet.operators.entities import listed_phrases
+
+# Bytes of patterns in one automaton. A built one takes some hundred times as much.
+AUTOMATON_BYTES = 1 << 20
 
 
 def usable_techniques(names) -> list[str]:
@@ -64,8 +68,54 @@ def detect_listed_techniques(articles: DataFrame, names: DataFrame,
                           F.size(words).alias("words")).where("words > 0").distinct()
     wanted = wanted.where(F.lower("technique") != C.EXCLUDED_TECHNIQUE)
     longest = wanted.agg(F.max("words")).first()[0] or 1
-    runs = candidate_phrases(articles, longest, text).select("article_id", "text").distinct()
-    return runs.join(wanted, "text").select("article_id", "technique").distinct()
+    phrases, lookup = listed_phrases(articles, wanted, longest, text)
+    return lookup.join(phrases, wanted, "text").select("article_id", "technique").distinct()
+
+
+def _automata(texts: list[tuple[str, list[str]]]):
+    """A map from texts to the names they hold, each text read once."""
+    def run(batches):
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for pattern, names in texts:
+            automaton.add_word(pattern, (len(pattern), names))
+        automaton.make_automaton()
+        for batch in batches:
+            ids, held = [], []
+            for row, text in enumerate(batch.column("low").to_pylist()):
+                found = {name for _, (_, names) in automaton.iter(text) for name in names}
+                ids += [row] * len(found)
+                held += sorted(found)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("article_id").take(pa.array(ids, pa.int64())),
+                 pa.array(held, pa.string())], ["article_id", "technique"])
+    return run
+
+
+def detect_substring_techniques(articles: DataFrame, names: DataFrame, text: str = "content",
+                                block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """``article_id, technique`` for names of a table that occur anywhere, inside words too.
+
+    ``names`` has ``technique`` and any length. Case is folded on both sides; NULL, the
+    empty name and the excluded one are in no text. The names go into automata of at
+    most ``block_bytes`` of patterns, sent to the tasks one after the other; each reads a
+    text once whatever the number of its names. Nothing is shuffled but the names.
+    """
+    wanted = names.select("technique", F.lower("technique").alias("low")).where(
+        (F.col("low") != C.EXCLUDED_TECHNIQUE) & (F.col("low") != ""))
+    wanted = wanted.groupBy("low").agg(F.collect_set("technique").alias("names"))
+    size = wanted.agg(F.sum(F.octet_length("low"))).first()[0] or 0
+    blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
+    rows = articles.select("article_id", F.lower(text_of(F.col(text))).alias("low"))
+    kind = rows.schema["article_id"].dataType.simpleString()
+    found = articles.sparkSession.createDataFrame([], f"article_id {kind}, technique string")
+    for block in range(blocks):
+        held = wanted.where(F.pmod(F.xxhash64("low"), F.lit(blocks)) == block).collect()
+        if held:
+            found = found.unionByName(rows.mapInArrow(
+                _automata(sorted((r.low, sorted(r.names)) for r in held)),
+                f"article_id {kind}, technique string"))
+    return found
 
 
 def flag_propaganda(articles: DataFrame,
