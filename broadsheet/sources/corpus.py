@@ -8,15 +8,18 @@ from pyspark.sql import types as T
 
 from broadsheet import schemas
 from broadsheet.functions.text import strip_text
+from broadsheet.sources.json_elements import read_json_elements
 
 
 def read_json_array(spark: SparkSession, path, schema: T.StructType | None = None,
                     lines: bool = False) -> DataFrame:
-    """A corpus file. One JSON array per file, or ``lines`` (which splits).
+    """A corpus file. One JSON array per file, or ``lines``.
 
-    A file holding one array is read by one task, so large corpora belong in
-    JSON lines or Parquet.
+    With a ``schema`` a file is read by as many tasks as it has splits, whatever its
+    form. To find out the schema, a file holding one array is read by one task.
     """
+    if schema is not None and not lines:
+        return read_json_elements(spark, path, schema)
     reader = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE")
     if schema is not None:
         reader = reader.schema(schema)
