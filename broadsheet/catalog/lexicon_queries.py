@@ -22,6 +22,7 @@ from broadsheet.operators.techniques import (
     detect_substring_techniques,
 )
 from broadsheet.operators.sentences import sentence_table
+from broadsheet.sinks.lexicon_store import changes_of, fold_changes
 from broadsheet.sources import lexicons, techniques
 
 DEFAULTS_SQL = "(VALUES " + ", ".join(
@@ -179,3 +180,29 @@ def biased_sentences_long(spark, sf):
     found = L.match_lexicon(sentence_table(articles(spark, sf)), words)
     return found.select("article_id", "sent_id",
                         N.terms_text(F.col("detected_terms")).alias("terms"))
+
+
+@query("lexicon_log", rf"""
+WITH log AS (SELECT 'u' || (conv_id % 10) AS owner, conv_id * 100 + turn AS seq,
+    CASE conv_id % 7 WHEN 0 THEN 'edit' WHEN 3 THEN 'reset' ELSE 'add' END AS kind,
+    regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]') AS terms FROM conversations),
+base AS (SELECT owner, max(seq) AS base, arg_max(kind, seq) AS base_kind
+  FROM log WHERE kind <> 'add' GROUP BY owner),
+held AS (SELECT owner, seq, unnest(range(len(terms))) AS pos, unnest(terms) AS term
+    FROM log LEFT JOIN base USING (owner) WHERE base IS NULL OR seq > base
+      OR (seq = base AND kind = 'edit')
+  UNION ALL SELECT owner, base, pos, term FROM base, {DEFAULTS_SQL} l(pos, term)
+    WHERE base_kind = 'reset')
+SELECT owner, min(seq * 1000000 + pos) // 1000000 AS seq, min(seq * 1000000 + pos) % 1000000 AS pos,
+  arg_min(term, seq * 1000000 + pos) AS term
+FROM held WHERE trim(term, {BLANKS}) <> '' GROUP BY owner, lower(term)""")
+def lexicon_log(spark, sf):
+    """Turns as changes of ten owners' lists: some edit, some reset, most add."""
+    turns = table(spark, sf, "conversations", "conv_id", "turn", "text").select(
+        F.concat(F.lit("u"), F.col("conv_id") % 10).alias("owner"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), (F.col("conv_id") % 7).alias("k"),
+        F.split("text", r"[^\p{L}\p{N}_]").alias("terms"))
+    log = changes_of(turns.where("k = 0"), "edit").union(
+        changes_of(turns.where("k = 3"), "reset")).union(
+        changes_of(turns.where("k NOT IN (0, 3)"), "add"))
+    return fold_changes(log, lexicons.built_in_terms())

@@ -1,4 +1,4 @@
-"""Where results go. Appends never read what is already there."""
+"""Where results go. Appends never read or change what other runs have written."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from broadsheet import constants as C
 from broadsheet import schemas
 from broadsheet.operators.history import export_rows, valid_feedback
+from broadsheet.sinks.runs import write_run
 
 
 def write_annotated(articles: DataFrame, path: str,
@@ -27,21 +28,23 @@ def owner_bucket(email, buckets: int = C.OWNER_BUCKETS):
     return F.pmod(F.xxhash64(email), F.lit(buckets)).cast("int")
 
 
-def append_history(records: DataFrame, path: str, salts: int = 4) -> None:
+def append_history(records: DataFrame, path: str, salts: int = 4,
+                   run: str | None = None) -> None:
     """Add records to the history table, in folders of owners' hash buckets.
 
     Reading one owner prunes to its bucket (see ``history_of``) and, as files are
     sorted by owner, to few row groups. Rows are spread over bucket and a salt, so
     a batch adds at most ``salts`` files to a folder and one busy owner is no single
-    task. Nothing is rewritten, so concurrent saves cannot lose each other's rows.
+    task. Nothing of other runs is rewritten, so concurrent saves cannot lose each
+    other's rows, and a batch saved again under the same ``run`` replaces itself.
     """
     by_name = {field.name: field.dataType for field in schemas.ANALYSIS.fields}
     columns = [_conform(F.col(name), records.schema[name].dataType, kind).alias(name)
                for name, kind in by_name.items()]
     salt = F.pmod(F.xxhash64("title", "date", "text"), F.lit(salts))
-    (records.select(*columns).withColumn("owner_bucket", owner_bucket(F.col("email")))
-     .repartition("owner_bucket", salt).sortWithinPartitions("owner_bucket", "email")
-     .write.mode("append").partitionBy("owner_bucket").parquet(path))
+    rows = (records.select(*columns).withColumn("owner_bucket", owner_bucket(F.col("email")))
+            .repartition("owner_bucket", salt).sortWithinPartitions("owner_bucket", "email"))
+    write_run(rows, path, run, "parquet", "owner_bucket")
 
 
 def _conform(column, have: T.DataType, want: T.DataType):
@@ -56,17 +59,18 @@ def _conform(column, have: T.DataType, want: T.DataType):
         for f in want.elementType.fields]))
 
 
-def append_feedback(entries: DataFrame, path: str) -> None:
+def append_feedback(entries: DataFrame, path: str, run: str | None = None) -> None:
     """Add feedback rows with some text as JSON lines: email, timestamp, feedback.
 
-    Entries without a timestamp get that of the batch.
+    Entries without a timestamp get that of the batch. A batch saved again under the same
+    ``run`` replaces itself.
     """
     if "timestamp" not in entries.columns:
         entries = entries.withColumn("timestamp", F.current_timestamp())
     rows = valid_feedback(entries).withColumn(
         "timestamp", F.coalesce("timestamp", F.current_timestamp()))
-    rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.FEEDBACK.fields]
-                ).write.mode("append").json(path)
+    write_run(rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.FEEDBACK.fields]),
+              path, run, "json")
 
 
 def write_export(history: DataFrame, path: str) -> None:

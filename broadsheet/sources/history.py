@@ -31,7 +31,8 @@ def read_history_files(spark: SparkSession, path) -> DataFrame:
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The history table; an empty one when nothing was saved yet."""
     try:
-        return spark.read.schema(schemas.HISTORY_TABLE).parquet(path)
+        names = [field.name for field in schemas.HISTORY_TABLE.fields]
+        return spark.read.schema(schemas.HISTORY_TABLE).parquet(path).select(*names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

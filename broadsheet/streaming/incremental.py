@@ -1,19 +1,20 @@
 """Analyse articles as they land and append them to the history.
 
 The analysis of an article depends on nothing but the article, so it runs on a
-stream as it is: no state, no watermark. The file sink's own log makes each
-input count once even when a task or the driver is lost.
+stream as it is: no state, no watermark. Each batch is a run of its own in the history,
+named after the checkpoint and its number, so a batch that is tried again replaces itself.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from broadsheet import schemas
 from broadsheet.plans.article_analysis import analysis_records, score_articles
-from broadsheet.sinks.outputs import owner_bucket
+from broadsheet.sinks.outputs import append_history
 
 
 def stream_articles(spark: SparkSession, path: str,
@@ -31,8 +32,10 @@ def append_analyses(articles: DataFrame, path: str, checkpoint: str, *,
     records = analysis_records(score_articles(
         articles, bias_terms=bias_terms, stars=stars, propaganda=propaganda,
         **options))
-    bucketed = records.withColumn("owner_bucket", owner_bucket(F.col("email")))
-    return (bucketed.writeStream.outputMode("append").format("parquet")
-            .partitionBy("owner_bucket").option("path", path)
+    name = f"stream-{zlib.crc32(checkpoint.encode()):08x}"
+
+    def save(batch: DataFrame, number: int) -> None:
+        append_history(batch, path, run=f"{name}-{number}")
+    return (records.writeStream.outputMode("append").foreachBatch(save)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

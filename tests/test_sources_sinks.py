@@ -117,12 +117,22 @@ def test_history_table(spark, folder):
     assert "PartitionFilters: [isnotnull(owner_bucket" in plan
     assert len(glob.glob(f"{path}/owner_bucket=*")) == len(
         {r.owner_bucket for r in saved.collect()}) <= C.OWNER_BUCKETS
-    assert len(glob.glob(f"{path}/*/*.parquet")) <= 4
+    assert 0 < len(glob.glob(f"{path}/*/run=*/*.parquet")) <= 4
     dates = [r.date for r in H.newest_first(mine).collect()]
     assert dates == ["2024-10-18 09:00:00", "2024-10-17 08:30:00"]
     assert mine.first().biased_sentences[0].detected_terms == ["vile"]
 
 
+def test_a_batch_saved_again_counts_once(spark, folder):
+    path, notes = f"{folder}/history", f"{folder}/feedback"
+    entries = spark.createDataFrame([("a@b.c", "nice")], "email string, feedback string")
+    for run in ("day/1", "day/1", "day/2", "day/1", None, None):
+        outputs.append_history(records(spark), path, run=run)
+        outputs.append_feedback(entries, notes, run=run)
+    assert read_history(spark, path).count() == 4 * 2
+    assert spark.read.schema(schemas.FEEDBACK).json(notes).count() == 4
+
+
 def test_export(spark, folder):
     path = f"{folder}/export"
     outputs.write_export(records(spark), path)
