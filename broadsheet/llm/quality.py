@@ -8,8 +8,8 @@ them, in blocks of exact cosine products, and its nearest neighbours vote with t
 similarity as weight. Labels are the only thing learnt from; no label, language, source
 or id enters a score.
 
-The sample is bounded by ``SAMPLE`` rows for each label, a documented parameter; frequencies
-of the terms come from it as well, so the model has the same size on any corpus.
+The sample is bounded by ``SAMPLE`` rows for each label, a documented parameter, so the
+model has the same size on any corpus. The term weights are counted over all documents.
 """
 
 from __future__ import annotations
@@ -106,17 +106,28 @@ class Model:
         many = min(NEIGHBOURS, len(self.labels))
         for first in range(0, len(rows), BLOCK):
             cosine = self.project(rows[first:first + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cosine, many - 1, axis=1)[:, :many]
-            near.sort(axis=1)
+            near = nearest(cosine, many)
             weight = np.clip(np.take_along_axis(cosine, near, 1), 0, 1) ** POWER + 1e-9
             out[first:first + BLOCK] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(rows: np.ndarray, labels: np.ndarray) -> Model:
-    """A model of the sample; deterministic."""
-    seen = (rows > 0).sum(axis=0)
-    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 1
+def nearest(cosine: np.ndarray, many: int) -> np.ndarray:
+    """Places of the ``many`` greatest values of each row; of equal ones the first count."""
+    least = np.partition(cosine, cosine.shape[1] - many, axis=1)[:, [cosine.shape[1] - many]]
+    above, equal = cosine > least, cosine == least
+    room = many - above.sum(axis=1, keepdims=True)
+    picked = above | (equal & (np.cumsum(equal, axis=1) <= room))
+    return np.nonzero(picked)[1].reshape(len(cosine), many)
+
+
+def inverse_frequencies(documents: int, held: np.ndarray) -> np.ndarray:
+    """Weights of the terms from the number of documents that hold each."""
+    return np.log((1 + documents) / (1 + held)).astype(np.float32) + 1
+
+
+def fit(rows: np.ndarray, labels: np.ndarray, idf: np.ndarray) -> Model:
+    """A model of the sample under the corpus' term weights; deterministic."""
     weighted = rows * idf
     # Leading right singular vectors by subspace iteration from a fixed start.
     basis = np.random.default_rng(5).standard_normal((WIDTH, DIRECTIONS + 16))
@@ -147,9 +158,34 @@ def _featurize(batches):
                 ["quality", "doc_id", "row"])
 
 
+def _document_frequencies(batches):
+    """Each task's documents (term -1) and, of each term, the documents that hold it."""
+    held, documents = np.zeros(WIDTH, np.int64), 0
+    for batch in batches:
+        for first in range(0, len(batch), BLOCK):
+            part = batch.slice(first, BLOCK)
+            held += (features(part.column("text")) > 0).sum(axis=0)
+            documents += len(part)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(-1, WIDTH)), pa.array(np.concatenate([[documents], held]))],
+        ["term", "held"])
+
+
+def corpus_weights(documents: DataFrame) -> np.ndarray:
+    """Inverse document frequencies over all documents; one row per term reaches the driver."""
+    counts = documents.select("text").mapInArrow(
+        _document_frequencies, "term long, held long").groupBy("term").agg(F.sum("held"))
+    total = dict(counts.collect())
+    return inverse_frequencies(total.get(-1, 0), np.array(
+        [total.get(i, 0) for i in range(WIDTH)], np.int64))
+
+
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     """Fits on up to ``SAMPLE`` labelled rows of each label, picked by a hash of the id.
 
+    Labels of ids that no document has are left out before the sample is taken. Term
+    weights are those of all documents.
+
     Only ids of the sample (a bounded number) are sent to the scan, and only its rows
     come back. Rows without id, label or document, and the held-out fold, are left out;
     of contradicting labels of one id the lesser counts. None without any label.
@@ -158,6 +194,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
               .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)
                      & ~is_held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+              .join(documents.select("doc_id"), "doc_id", "left_semi")
               .withColumn("_turn", F.xxhash64("doc_id")))
     picked = None
     for label in (0, 1):
@@ -176,7 +213,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     if not held:
         return None
     return fit(np.stack([np.frombuffer(r[2], np.float32) for r in held]),
-               np.array([r[1] for r in held]))
+               np.array([r[1] for r in held]), corpus_weights(documents))
 
 
 def _scores(model):
@@ -198,7 +235,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, doc, score) with ``doc`` a hash of the text; a map over rows.
 
     Null and empty texts have the zero vector, for which all neighbours are equally far:
-    they get the mean label of the first ones. Without a model every score is 0.5.
+    they get the mean label of the first ones. So it is with every tie: the earlier row of
+    the sample, in the order of its ids, counts. Without a model every score is 0.5.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     keyed = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"),

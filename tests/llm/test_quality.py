@@ -1,6 +1,9 @@
 import zlib
 
 import helpers as H
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from broadsheet.llm import quality as Q
 
@@ -39,3 +42,42 @@ def test_odd_rows(spark):
         assert Q.keep_good(docs, some).columns == docs.columns
     assert Q.keep_good(docs, labels.limit(0)).count() == len(H.ODD)
     assert Q.quality_report(docs.limit(0), labels).count() == 0
+
+
+def test_votes_against_brute_force(spark):
+    """Scores from the vectors by plain loops, ties by the order of the sample."""
+    docs, labels = H.documents(spark), spark.read.parquet(f"{H.SF}/labels.parquet")
+    model = Q.train(docs, labels)
+    texts = pa.array([r.text for r in docs.orderBy("doc_id").collect()] + ["", None])
+    rows = Q.features(texts)
+    held = (rows[:-2] > 0).sum(axis=0)
+    assert np.allclose(model.idf, np.log((1 + 200) / (1 + held)) + 1)
+    got = model.score(rows)
+    many = min(Q.NEIGHBOURS, len(model.labels))
+    for row, score in zip(rows, got):
+        latent = (row * model.idf) @ model.directions
+        size = np.sqrt((latent ** 2).sum())
+        latent = latent / size if size else latent * 0
+        near = sorted(((-float(v @ latent), i) for i, v in enumerate(model.vectors)))[:many]
+        weights = [max(0.0, min(1.0, -c)) ** Q.POWER + 1e-9 for c, _ in near]
+        want = sum(w * model.labels[i] for w, (_, i) in zip(weights, near)) / sum(weights)
+        assert abs(score - want) < 1e-3
+    assert got[-1] == got[-2] and abs(got[-1] - np.mean(model.labels[:many])) < 1e-6
+
+
+def test_nearest_takes_the_first_of_equals():
+    pick = np.random.default_rng(1)
+    values = pick.integers(0, 4, (50, 30)).astype(float)
+    want = [sorted(sorted(range(30), key=lambda i: (-row[i], i))[:7]) for row in values]
+    assert Q.nearest(values, 7).tolist() == want
+    assert Q.nearest(values, 30).tolist() == [list(range(30))] * 50
+
+
+def test_labels_of_absent_documents_take_no_place(spark, monkeypatch):
+    docs, labels = H.documents(spark), spark.read.parquet(f"{H.SF}/labels.parquet")
+    monkeypatch.setattr(Q, "SAMPLE", 20)
+    absent = spark.range(10**6, 10**6 + 3000).selectExpr(
+        "id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    both = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).union(absent)
+    a, b = Q.train(docs, labels), Q.train(docs, both)
+    assert len(a.labels) == len(b.labels) and np.allclose(a.vectors, b.vectors)
