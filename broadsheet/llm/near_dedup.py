@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import shingles as S
-from broadsheet.llm.storage import materialize
+from broadsheet.llm.storage import materialize, short_batches
 
 BANDS, ROWS = 64, 6
 NUMERATOR, DENOMINATOR = 75, 100
@@ -245,12 +245,14 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
             F.when(F.col("a") == F.col("first.a"), 0)
             .otherwise(1 + F.floor(F.log(place + 0.5) / math.log(GROWTH)))
             .cast("int").alias("turn")), "waiting")
-    # What they are compared with: all members of their buckets.
-    others = members.join(_maybe_broadcast(firsts.select("bucket")), "bucket").join(
-        _maybe_broadcast(bits), "class")
-    others = materialize(others.select(
-        "bucket", F.col("class").alias("b"), F.col("n_a").alias("n_b"),
-        F.col("shared_a").alias("shared_b"), F.col("bits").alias("bits_b")), "others")
+    # What they are compared with: all members of their buckets, one row for each member
+    # with its buckets (at most BANDS).
+    others = members.join(_maybe_broadcast(firsts.select("bucket")), "bucket").groupBy(
+        "class").agg(F.collect_list("bucket").alias("buckets"), F.first("n_a").alias("n_b"),
+                     F.first("shared_a").alias("shared_b"))
+    others = materialize(others.join(_maybe_broadcast(bits), "class").select(
+        "buckets", F.col("class").alias("b"), "n_b", "shared_b",
+        F.col("bits").alias("bits_b")), "others")
     last = waiting.agg(F.max("turn")).first()[0]
     for turn in range(0 if last is None else last + 1):
         roots_a, roots_b = (_maybe_broadcast(linked.select(
@@ -258,7 +260,8 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
         now = materialize(waiting.where(F.col("turn") == turn).join(roots_a, "a", "left")
                           .withColumn("root_a", F.coalesce("root_a", "a")), "now")
         pairs = others.join(roots_b, "b", "left").withColumn(
-            "root_b", F.coalesce("root_b", "b")).join(_maybe_broadcast(now), "bucket").where(
+            "root_b", F.coalesce("root_b", "b")).withColumn(
+                "bucket", F.explode("buckets")).join(_maybe_broadcast(now), "bucket").where(
                 (F.col("root_a") != F.col("root_b")) & _may_link() & _bits_may_link())
         pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")
                              ).distinct()
@@ -282,6 +285,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     is its own component. Rows with equal id and text give equal rows, one per row. A
     null doc_id is never the least of a component that has another id.
     """
+    short_batches(documents.sparkSession)
     documents = with_hash(documents.select("doc_id", "text"))
     signed = materialize(sign(documents), "signed")
     linked = near_classes(documents, signed)

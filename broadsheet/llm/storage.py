@@ -21,15 +21,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of fewer rows for this session, as texts may be long.
+def short_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of fewer rows and bytes for this session, as texts and sets may be long.
 
-    A batch is held several times over, by the JVM and by Python; a smaller setting of the
-    user's stays.
+    A batch is held several times over, by the JVM and by Python; smaller settings of the
+    user's stay.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+    for name, default, most in (("maxRecordsPerBatch", "10000", rows),
+                                ("maxBytesPerBatch", "2147483647", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name, default).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def materialize(rows: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
