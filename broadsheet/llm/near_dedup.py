@@ -188,6 +188,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("class"), F.col("v").alias("root"))
 
 
+def extended(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` after further links, from the roots that they join alone."""
+    for end in "ab":
+        links = links.join(linked.select(F.col("class").alias(end), F.col("root").alias("r")),
+                           end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    step = components(links.where("a <> b"))
+    moved = step.select(F.col("class").alias("root"), F.col("root").alias("to"))
+    return linked.join(moved, "root", "left").select(
+        "class", F.coalesce("to", "root").alias("root")).unionByName(step)
+
+
 def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
     """(class, root) of every class that has a link; ``signed`` is written already."""
     one = signed.where("n_shingles > 0").groupBy("class").agg(
@@ -273,8 +284,7 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
         tested = tested.unionByName(pairs)
         more = materialize(confirm(pairs, sets), "links")
         if not more.isEmpty():
-            edges = edges.union(more)
-            linked = components(edges)
+            linked = materialize(extended(linked, more), "linked")
     return linked
 
 

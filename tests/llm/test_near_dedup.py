@@ -98,3 +98,17 @@ def test_shingle_hashes_are_those_of_words():
     sets = [s.tolist() for s in S.shingle_sets(pa.array(texts))]
     assert sets[0] == sets[1] and sets[2] == sets[3] and sets[4] == sets[5] == []
     assert len(set(sets[0]) & set(sets[6])) == 1 and len(sets[0]) == 2
+
+
+def test_components_extended_are_those_of_all_links(spark):
+    pick = random.Random(8)
+    for many in (0, 5, 40):
+        def some(count):
+            return [(pick.randint(0, 30), pick.randint(0, 30)) for _ in range(count)]
+        first, more = some(15), some(many)
+
+        def frame(rows):
+            return spark.createDataFrame(rows, "a long, b long").where("a <> b")
+        want = N.components(frame(first + more))
+        got = N.extended(N.components(frame(first)), frame(more))
+        assert H.rows(got, "class", "root") == H.rows(want, "class", "root")
