@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import shingles as S
-from broadsheet.llm.storage import materialize, short_batches
+from broadsheet.llm.storage import materialize, short_batches, trimmed
 
 BANDS, ROWS = 64, 6
 NUMERATOR, DENOMINATOR = 75, 100
@@ -51,6 +51,7 @@ def _class_ids(sets: list[np.ndarray]) -> list[bytes]:
             + int(S.mix(s ^ S._MIX[2]).sum(dtype=np.uint64)).to_bytes(8, "little") for s in sets]
 
 
+@trimmed
 def _sign(batches):
     for batch in batches:
         texts = batch.column("text")
@@ -77,6 +78,7 @@ def sign(documents: DataFrame) -> DataFrame:
         _sign, "doc_id long, doc long, n_shingles long, class binary, bands array<long>")
 
 
+@trimmed
 def _write_sets(batches):
     for batch in batches:
         for first in range(0, len(batch), 512):
@@ -100,6 +102,7 @@ def _halves(classes) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
 
 
+@trimmed
 def _elements(batches):
     for batch in batches:
         low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
@@ -124,6 +127,7 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
             "class", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+@trimmed
 def _confirm(batches):
     for batch in batches:
         keep = []

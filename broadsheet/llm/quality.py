@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import shingles as S
+from broadsheet.llm.storage import give_back
 
 SAMPLE = 1500
 NEIGHBOURS = 15
@@ -264,5 +265,6 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.array(np.concatenate(
                 [shared.value.score(features(texts.slice(first, BLOCK)))
                  for first in range(0, len(texts), BLOCK)] or [np.zeros(0)]), pa.float64())
+            give_back()
     # Only the text goes to Python and only the score comes back.
     return documents.where(quality_score(F.col("text")) >= THRESHOLD)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,18 +25,46 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def short_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
-    """Arrow batches of fewer rows and bytes for this session, as texts and sets may be long.
+    """Batches of fewer rows and bytes for this session, as texts and sets may be long.
 
-    A batch is held several times over, by the JVM and by Python; smaller settings of the
-    user's stay.
+    An Arrow batch is held several times over, by the JVM and by Python, and the Parquet
+    reader holds a batch of every column; smaller settings of the user's stay.
     """
-    for name, default, most in (("maxRecordsPerBatch", "10000", rows),
-                                ("maxBytesPerBatch", "2147483647", size)):
-        name = f"spark.sql.execution.arrow.{name}"
+    for name, default, most in (("execution.arrow.maxRecordsPerBatch", "10000", rows),
+                                ("execution.arrow.maxBytesPerBatch", "2147483647", size),
+                                ("parquet.columnarReaderBatchSize", "4096", rows)):
+        name = f"spark.sql.{name}"
         if not 0 < int(spark.conf.get(name, default).rstrip("b")) <= most:
             spark.conf.set(name, str(most))
 
 
+@functools.cache
+def _system_library():
+    return ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system.
+
+    Workers live on from task to task, and both allocators keep the peak of the longest text.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_system_library(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run):
+    """``run``, a function over Arrow batches, that gives freed memory back after each."""
+    @functools.wraps(run)
+    def lean(batches):
+        for result in run(batches):
+            yield result
+            del result
+            give_back()
+    return lean
+
+
 def materialize(rows: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``rows`` as Parquet in the shared folder and read them back.
 
