@@ -67,6 +67,25 @@ def history_sorted(spark, sf):
         "event_id", "email", "date", "recorded_at", "recency")
 
 
+# Titles with a sign that no file may have, in two spellings, and shared by many records.
+EXPORTED = """SELECT event_id, date, 'analysis_' ||
+  replace(CASE WHEN event_id % 2 = 0 THEN upper(title) ELSE title END, ' ', '_') || '_'
+  || user_id % 50 AS name FROM (SELECT s.*, user_id FROM ({saved}) s JOIN events USING (event_id))"""
+
+
+@query("export_files", f"""WITH n AS ({EXPORTED.format(saved=SAVED)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY date, event_id) AS nth FROM n)
+SELECT event_id, name || CASE WHEN nth = 1 THEN '' ELSE ' (' || nth || ')' END || '.csv'
+  AS file_name FROM r""")
+def export_files(spark, sf):
+    """The export file of every record; few titles, so most names are numbered."""
+    owner = F.regexp_extract("email", r"(\d+)", 1).cast("long")
+    title = F.concat(F.when(F.col("event_id") % 2 == 0, F.upper("title"))
+                     .otherwise(F.col("title")), F.lit("/"), owner % 50)
+    rows = saved(spark, sf).select("event_id", "date", title.alias("title"))
+    return H.export_file_names(rows, "event_id").select("event_id", "file_name")
+
+
 @query("history_newest_first", f"""SELECT event_id, email, date FROM ({SAVED})
 ORDER BY date DESC, event_id""")
 def history_newest_first(spark, sf):

@@ -86,13 +86,11 @@ def valid_urls(spark, sf):
 @query("valid_emails", r"""
 WITH w AS (SELECT doc_id AS article_id, unnest(regexp_split_to_array(text, '\s+')) AS word
            FROM documents)
-SELECT article_id, word, regexp_matches(word, '^[^@]+@[^@]+\.[^@]+$') AS is_valid
-FROM w WHERE contains(word, '@')""")
+SELECT article_id, word, regexp_matches(word, '^[^@]+@[^@]+\.[^@]+$') AS is_valid FROM w""")
 def valid_emails(spark, sf):
     words = articles(spark, sf).select(
         "article_id", F.explode(F.split("content", r"\s+")).alias("word"))
-    return (words.filter(F.contains("word", F.lit("@")))
-            .withColumn("is_valid", P.is_email(F.col("word"))))
+    return words.withColumn("is_valid", P.is_email(F.col("word")))
 
 
 @query("stars_map", """
@@ -116,25 +114,8 @@ NOISE_SQL = (r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</
              r"|<!--.*?-->")
 
 
-@query("page_articles", rf"""
-WITH c AS (SELECT page_id, url, regexp_replace(html, '{NOISE_SQL}', ' ', 'g') AS h FROM pages),
-b AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '(?is)<main(?:\s[^>]*)?>(.*?)</main\s*>')
-    THEN regexp_extract(h, '(?is)<main(?:\s[^>]*)?>(.*?)</main\s*>', 1)
-    ELSE array_to_string(regexp_extract_all(h,
-      '(?is)<p(?:\s[^>]*)?>.*?(?:</p\s*>|</article\s*>)'), ' ') END AS body FROM c),
-t AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
-    regexp_replace(body, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
-    '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS content FROM b)
-SELECT page_id, url, content, CASE
-  WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'invalid_url'
-  WHEN content = '' THEN 'no_content' END AS reason FROM t""")
-def page_articles(spark, sf):
-    rows = table(spark, sf, "pages", "page_id", "url", "html")
-    return pages.page_articles(rows, extract=pages.page_text_by_pattern)
-
-
-@query("page_text", rf"""
-WITH c AS (SELECT page_id, regexp_replace(html, '{NOISE_SQL}', '<>', 'g') AS h FROM pages),
+PAGE_TEXT_SQL = rf"""
+c AS (SELECT page_id, regexp_replace(html, '{NOISE_SQL}', '<>', 'g') AS h FROM pages),
 -- an unclosed paragraph reaches to the end of its article
 b AS (SELECT page_id, CASE
     WHEN len(regexp_extract_all(h, '(?i)<p[\s>]')) > len(regexp_extract_all(h, '(?i)</p>'))
@@ -143,14 +124,25 @@ b AS (SELECT page_id, CASE
     AS body FROM c),
 p AS (SELECT page_id, list_filter(list_transform(string_split(
     regexp_replace(body, '(?s)<[^>]*>', chr(1), 'g'), chr(1)),
-    lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS pieces FROM b)
-SELECT page_id, replace(replace(replace(replace(array_to_string(pieces, ' '),
-  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS content FROM p""")
+    lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS pieces FROM b),
+texts AS (SELECT page_id, replace(replace(replace(replace(array_to_string(pieces, ' '),
+  '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS content FROM p)"""
+
+
+@query("page_text", f"WITH {PAGE_TEXT_SQL} SELECT * FROM texts")
 def page_text(spark, sf):
     rows = table(spark, sf, "pages", "page_id", "html")
     return rows.select("page_id", pages.page_text("html").alias("content"))
 
 
+@query("page_articles", f"""WITH {PAGE_TEXT_SQL}
+SELECT page_id, url, content, CASE
+  WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN 'invalid_url'
+  WHEN content = '' THEN 'no_content' END AS reason FROM texts JOIN pages USING (page_id)""")
+def page_articles(spark, sf):
+    return pages.page_articles(table(spark, sf, "pages", "page_id", "url", "html"))
+
+
 # --- Corpus shape ----------------------------------------------------------------
 
 @query("src_corpus_flatten", """

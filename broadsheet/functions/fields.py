@@ -47,5 +47,19 @@ def file_stem(title: Column) -> Column:
     return F.concat(F.lit("analysis_"), F.replace(name, F.lit(" "), F.lit("_")))
 
 
+# What file systems refuse in a name; and the characters kept of a name too long for them.
+REFUSED = r'[\x00-\x1F\x7F/\\:*?"<>|]'
+MOST_BYTES, KEPT_CHARS = 200, 40
+
+
+def safe_file_name(stem: Column) -> Column:
+    """``stem`` as part of a path: refused characters become ``_``; a name that is too
+    long keeps its start and a hash of the whole."""
+    clean = F.regexp_replace(stem, REFUSED, "_")
+    short = F.concat(F.left(clean, F.lit(KEPT_CHARS)), F.lit("-"),
+                     F.lower(F.hex(F.xxhash64(stem))))
+    return F.when(F.octet_length(clean) <= MOST_BYTES, clean).otherwise(short)
+
+
 def has_items(items: Column) -> Column:
     return F.coalesce(F.size(items) > 0, F.lit(False))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from broadsheet import constants as C
 from broadsheet.functions import fields as N
 from broadsheet.functions import scores as S
+from broadsheet.operators.ranks import RANGE_ROWS, rank_within
 from broadsheet.operators.unnest import unnest
 
 
@@ -30,39 +30,19 @@ def newest_first(history: DataFrame, *tie_break: str) -> DataFrame:
     return history.orderBy(parsed_date(F.col("date")).desc(), *tie_break)
 
 
-# Undated rows of an owner are ranked in blocks of so many tie-break values.
-UNDATED_BLOCK = 10_000
-
-
 def rank_by_date(history: DataFrame, tie_break: str,
-                 unit: str = "hour") -> DataFrame:
+                 range_rows: int = RANGE_ROWS) -> DataFrame:
     """``recency`` 1.. per owner, newest first, for owners of any size.
 
-    Ranking an owner in one window would sort all its rows in one task. Rows
-    are ranked within owner and ``unit`` of time instead, and shifted by the
-    number of the owner's rows in later units, known from small counts. The
-    ranking and the shift hash on the same key, so the rows move once. Rows
-    without a date come last, in blocks of the tie-break, which is a number, so
-    they spread as well.
+    Rows without a date come last; equal dates go by the tie-break. An owner of more than
+    ``range_rows`` rows is ranked in ranges of date and tie-break, even where all its rows
+    are of one second (see ``rank_within``).
     """
     when = F.col("recorded_at")
     dated = history.withColumn("recorded_at", parsed_date(F.col("date")))
-    # Later units sort higher: dates above all undated blocks, low ties above high.
-    block = F.lpad((F.lit(10 ** 15) - (F.col(tie_break) / UNDATED_BLOCK).cast("long"))
-                   .cast("string"), 20, "0")
-    dated = dated.withColumn("unit", F.coalesce(
-        F.concat(F.lit("1"), F.date_format(F.date_trunc(unit, when), "yyyyMMddHHmmss")),
-        F.concat(F.lit("0"), block)))
-    later = (Window.partitionBy("email").orderBy(F.col("unit").desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-    shift = (dated.groupBy("email", "unit").agg(F.count("*").alias("n"))
-             .select("email", "unit",
-                     F.coalesce(F.sum("n").over(later), F.lit(0)).alias("shift")))
-    within = (Window.partitionBy("email", "unit")
-              .orderBy(when.desc_nulls_last(), F.col(tie_break)))
-    return (dated.join(shift, ["email", "unit"])
-            .withColumn("recency", F.row_number().over(within) + F.col("shift"))
-            .drop("unit", "shift"))
+    order = F.struct(when.isNull().alias("undated"), (-F.unix_micros(when)).alias("age"),
+                     F.col(tie_break).alias("tie"))
+    return rank_within(dated, ["email"], order, "recency", range_rows)
 
 
 def with_display_defaults(history: DataFrame) -> DataFrame:
@@ -114,6 +94,28 @@ def export_rows(history: DataFrame, *keep: str) -> DataFrame:
         F.concat(N.file_stem(F.col("title")), F.lit(".csv")).alias("file_name"))
 
 
+def export_file_names(history: DataFrame, *tie_break: str,
+                      range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``file_name`` of each record's own export file; no two records share one.
+
+    Of records whose titles give one name, upper and lower case taken as equal, the oldest
+    has the plain name, the next ``name (2).csv`` and so on, by date and then by
+    ``tie_break`` or, without any, by a hash of the record. A plain name holds no blank, so
+    a numbered one is never that of another title. Titles that very many records share
+    are numbered in ranges.
+    """
+    ties = [F.col(c) for c in tie_break] or [F.xxhash64(*history.columns)]
+    name = N.safe_file_name(N.file_stem(F.col("title")))
+    order = F.struct(F.coalesce("date", F.lit("")).alias("date"),
+                     *(t.alias(f"tie{i}") for i, t in enumerate(ties)))
+    named = rank_within(history.withColumn("_name", name).withColumn("_key", F.lower("_name")),
+                        ["_key"], order, "_nth", range_rows)
+    number = F.when(F.col("_nth") == 1, "").otherwise(
+        F.concat(F.lit(" ("), F.col("_nth").cast("string"), F.lit(")")))
+    return named.withColumn("file_name", F.concat("_name", number, F.lit(".csv"))).drop(
+        "_name", "_key", "_nth")
+
+
 def display_scores(history: DataFrame) -> DataFrame:
     """Scores as shown: two decimals, and the colour of the label."""
     return history.withColumns({

@@ -77,32 +77,47 @@ def _loaded(key: str, load: Callable[[], ScoreBatch]) -> ScoreBatch:
     return _LOADED[key]
 
 
+def score_batches(model: ScoreBatch, sentences: Sequence[str],
+                  size: int) -> list[tuple[str, float]]:
+    """Results of ``model`` in the order of ``sentences``.
+
+    Mini-batches hold sentences of like length, so a model that pads does little in vain.
+    A batch answered with any other number of results than it has sentences is an error:
+    all later labels would move to the wrong sentence.
+    """
+    order = sorted(range(len(sentences)), key=lambda i: len(sentences[i]))
+    results: list[tuple[str, float]] = [("", 0.0)] * len(sentences)
+    for start in range(0, len(order), size):
+        places = order[start:start + size]
+        answers = list(model([sentences[i] for i in places]))
+        if len(answers) != len(places):
+            raise ValueError(f"the model gave {len(answers)} results for {len(places)} sentences")
+        for i, answer in zip(places, answers):
+            results[i] = answer
+    return results
+
+
 @dataclass(frozen=True)
 class ModelScorer:
     """A Python model as a scorer.
 
     ``load`` is called once per worker process and returns a function from a
-    list of sentences to a list of ``(label, score)``. It sees mini-batches of
-    ``batch_size``, filled across article borders, of sentences cut to
-    ``max_chars`` (the model's input limit; ``None`` leaves them whole).
+    list of sentences to a list of ``(label, score)``. It sees whole sentences in
+    mini-batches of ``batch_size``, filled across article borders and ordered by
+    length; cutting to its own input limit is the model's part, as it alone knows its tokens.
     """
 
     load: Callable[[], ScoreBatch]
     batch_size: int = C.PROPAGANDA_BATCH
-    max_chars: int | None = None
 
     def score_list(self, sentences: Column) -> Column:
-        load, size, limit = self.load, self.batch_size, self.max_chars
+        load, size = self.load, self.batch_size
         key = uuid.uuid4().hex
 
         @F.pandas_udf(f"array<{schemas.SENTENCE_SCORE.simpleString()}>")
         def run(lists: pd.Series) -> pd.Series:
-            model = _loaded(key, load)
-            flat = [s[:limit] for items in lists for s in items]
-            results = []
-            for start in range(0, len(flat), size):
-                results.extend(model(flat[start:start + size]))
-            scored = iter(results)
+            flat = [sentence for items in lists for sentence in items]
+            scored = iter(score_batches(_loaded(key, load), flat, size))
             return pd.Series([
                 [dict(zip(("label", "score"), next(scored))) for _ in items]
                 for items in lists])

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from broadsheet import constants as C
 from broadsheet import schemas
-from broadsheet.operators.history import export_rows, valid_feedback
+from broadsheet.operators.history import export_file_names, export_rows, valid_feedback
+from broadsheet.sinks.export_files import FORMAT, NAME, ExportFiles
 from broadsheet.sinks.runs import write_run
 
 
@@ -80,6 +81,20 @@ def write_export(history: DataFrame, path: str) -> None:
      .csv(path))
 
 
+def write_export_files(history: DataFrame, path: str, *tie_break: str) -> None:
+    """One CSV file for each analysis, named after its title (see ``export_file_names``).
+
+    The folder is one that all executors share. Saving the same records again gives the
+    same files; files of other records with other names stay.
+    """
+    named = export_file_names(history, *tie_break)
+    rows = export_rows(named, F.col(NAME).alias("_file")).drop("file_name")
+    texts = rows.select(*[F.col(c).cast("string") for c in rows.columns if c != "_file"],
+                        F.col("_file").alias(NAME))
+    history.sparkSession.dataSource.register(ExportFiles)
+    texts.write.format(FORMAT).mode("append").save(path)
+
+
 def report_html(summary) -> str:
     """The report page, a table of figures, from the one row of ``report_summary``."""
     flagged, other = summary["propaganda_articles"], summary["other_articles"]

@@ -8,6 +8,7 @@ from broadsheet.operators.scorers import (
     ModelScorer,
     TermPropaganda,
     ValenceStars,
+    score_batches,
     sentence_scores,
     word_model,
 )
@@ -152,3 +153,27 @@ def test_listed_techniques(spark):
     got = sorted(map(tuple, detect_listed_techniques(articles, names).collect()))
     assert got == [(1, "Fear Appeals"), (1, "fear"), (2, "Loaded Language"), (2, "fear")]
     assert detect_listed_techniques(articles, names.limit(0)).count() == 0
+
+
+def test_a_model_sees_like_lengths_and_must_answer_each_sentence():
+    sentences = ["ccc", "a", "bb", "", "dddd"]
+    seen = []
+
+    def model(batch):
+        seen.append(list(batch))
+        return [(s, float(len(s))) for s in batch]
+
+    assert score_batches(model, sentences, 2) == [(s, float(len(s))) for s in sentences]
+    assert seen == [["", "a"], ["bb", "ccc"], ["dddd"]]
+    for wrong in (lambda batch: model(batch)[1:], lambda batch: model(batch) + [("x", 0.0)]):
+        with pytest.raises(ValueError):
+            score_batches(wrong, sentences, 2)
+    assert score_batches(model, [], 2) == []
+
+
+def test_a_model_with_one_result_too_few_fails_the_task(spark):
+    rows = spark.createDataFrame([("1", 0, "one two"), ("1", 1, "three")],
+                                 "article_id string, sent_id int, sentence string")
+    scorer = ModelScorer(lambda: lambda batch: [("x", 1.0)] * (len(batch) - 1))
+    with pytest.raises(Exception, match="results for"):
+        sentence_scores(rows, scorer).collect()

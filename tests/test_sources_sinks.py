@@ -1,6 +1,8 @@
+import csv
 import datetime
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +151,30 @@ def test_export(spark, folder):
     assert names == ["analysis_Article.csv", "analysis_My_title.csv"]
 
 
+def test_one_export_file_for_each_analysis(spark, folder):
+    path = f"{folder}/files"
+    titles = ["My title", "my Title", "a/b: c?", None, "My title", "x" * 300, "My title (2)"]
+    rows = records(spark).limit(1).drop("title", "date").crossJoin(spark.createDataFrame(
+        [(t, f"2024-10-17 08:30:0{i}") for i, t in enumerate(titles)],
+        "title string, date string"))
+    for _ in range(2):
+        outputs.write_export_files(rows, path)
+    names = sorted(name for name in os.listdir(path) if name.endswith(".csv"))
+    long = [name for name in names if "xxx" in name]
+    assert len(long) == 1 and len(long[0]) < 80
+    assert sorted(set(names) - set(long)) == [
+        "analysis_My_title (3).csv", "analysis_My_title.csv", "analysis_My_title_(2).csv",
+        "analysis_a_b__c_.csv", "analysis_my_Title (2).csv",
+        f"analysis_{C.EXPORT_FILE_TITLE}.csv"]
+    with open(f"{path}/_SUCCESS") as file:
+        assert file.read() == "7"
+    with open(f"{path}/analysis_My_title (3).csv", encoding="utf-8", newline="") as file:
+        (record,) = csv.DictReader(file)
+    assert record["Title"] == "My title" and record["Date"] == "2024-10-17 08:30:04"
+    assert list(record)[0] == "Title" and len(record) == 10
+    assert "«été»" in record["Biased Sentences"] or record["Biased Sentences"] == "[]"
+
+
 def test_feedback(spark, folder):
     now = datetime.datetime(2024, 10, 17)
     rows = spark.createDataFrame([("a@b.c", now, "nice"), (None, now, "ok"), ("x", now, "  "),
