@@ -16,6 +16,7 @@ from broadsheet.catalog.base import (
 from broadsheet.functions import predicates as P
 from broadsheet.functions import scores as S
 from broadsheet.functions import text as X
+from broadsheet.operators import abbreviations as A
 from broadsheet.operators import sentences as O
 from broadsheet.sources import corpus, pages
 
@@ -31,6 +32,40 @@ def tokens(spark, sf):
     return O.token_table(O.sentence_table(articles(spark, sf)))
 
 
+# Wider than by default, as the invented words of the test corpus are long.
+RULES = {"longest": 8, "least": 5, "percent": 60, "most": 10_000}
+BARE_SQL = r"regexp_replace(lower({0}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
+STOPS_SQL = rf"""
+words AS (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents),
+stats AS (SELECT {BARE_SQL.format('word')} AS term,
+  count(*) FILTER (word LIKE '%.') AS before_stop,
+  count(*) FILTER (word NOT LIKE '%.') AS elsewhere FROM words GROUP BY 1 HAVING term <> ''),
+verdicts AS (SELECT *, length(term) <= 8 AND before_stop >= 5
+  AND NOT regexp_matches(term, '\p{{N}}') AND 100 * before_stop >= 60 * (before_stop + elsewhere)
+  AND before_stop * 10000 >= (SELECT sum(before_stop) FROM stats) AS is_abbreviation
+  FROM stats)"""
+
+
+@query("abbreviations", f"WITH {STOPS_SQL} SELECT * FROM verdicts")
+def abbreviations(spark, sf):
+    return A.with_verdict(A.full_stop_stats(articles(spark, sf)), **RULES)
+
+
+@query("sentences_by_abbreviations", rf"""WITH {STOPS_SQL},
+sents AS ({sentences_sql()}),
+ends AS (SELECT *, sentence LIKE '%.' AND {BARE_SQL.format(
+    r"regexp_extract(sentence, '([^ \t\n\r\f]+)$', 1)")}
+  IN (SELECT term FROM verdicts WHERE is_abbreviation) AS abbreviated FROM sents),
+parts AS (SELECT *, coalesce(sum(CASE WHEN abbreviated THEN 0 ELSE 1 END) OVER (
+  PARTITION BY article_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  AS part FROM ends)
+SELECT article_id, CAST(part AS INTEGER) AS sent_id,
+  string_agg(sentence, ' ' ORDER BY sent_id) AS sentence FROM parts GROUP BY article_id, part""")
+def sentences_by_abbreviations(spark, sf):
+    docs = articles(spark, sf)
+    return A.sentence_table_by(docs, A.learn_abbreviations(docs, **RULES))
+
+
 @query("sentence_counts", f"""WITH sents AS ({sentences_sql()})
 SELECT d.doc_id AS article_id, CAST(coalesce(n, 0) AS INTEGER) AS total_sentences
 FROM documents d LEFT JOIN (SELECT article_id, count(*) AS n FROM sents GROUP BY 1) s
