@@ -23,6 +23,7 @@ from broadsheet.catalog.corpus_queries import RUNS_SQL
 from broadsheet.functions import fields as N
 from broadsheet.functions import text as X
 from broadsheet.operators import features as O
+from broadsheet.operators import lemmas as M
 from broadsheet.operators import metrics, summary, topics
 from broadsheet.operators.techniques import (
     detect_techniques,
@@ -66,6 +67,100 @@ def term_stats(spark, sf):
     return O.term_stats(articles(spark, sf), O.feature_terms("content"))
 
 
+# --- Lemmas learnt from the corpus -------------------------------------------------
+
+SINGLE_SQL = """CASE WHEN length(term) <= 3 THEN term
+  WHEN regexp_matches(term, 'sses$') THEN regexp_replace(term, 'sses$', 'ss')
+  WHEN regexp_matches(term, 'ies$') THEN regexp_replace(term, 'ies$', 'y')
+  WHEN regexp_matches(term, '(ss|us|is)$') THEN term
+  WHEN regexp_matches(term, 's$') THEN regexp_replace(term, 's$', '') ELSE term END"""
+LEMMAS_SQL = f"""{FREQUENCIES_SQL},
+single AS (SELECT term, {SINGLE_SQL} AS single FROM df),
+dict AS (SELECT s.term, coalesce(d.term, s.term) AS lemma,
+  substr(md5(s.term), 1, 2) < '33' AS held_out
+  FROM single s LEFT JOIN df d ON d.term = s.single)"""
+RULES_SQL = f"""{LEMMAS_SQL},
+votes AS (SELECT right(term, k) AS ending, CASE WHEN starts_with(lemma, left(term, length(term) - k))
+    THEN substr(lemma, length(term) - k + 1) END AS replacement, count(*) AS n
+  FROM dict, (SELECT CAST(unnest(range({M.LONGEST + 1})) AS INTEGER) AS k)
+  WHERE NOT held_out AND k <= length(term) GROUP BY 1, 2),
+best AS (SELECT ending, replacement, n AS support,
+  row_number() OVER (PARTITION BY ending ORDER BY replacement IS NULL, n DESC, replacement) AS rank,
+  CAST(sum(n) OVER (PARTITION BY ending) AS BIGINT) AS words FROM votes),
+rules AS (SELECT ending, replacement, support, words FROM best
+  WHERE rank = 1 AND replacement IS NOT NULL AND support >= {M.LEAST}
+  AND support * {M.MOST} >= (SELECT count(*) FROM dict WHERE NOT held_out)
+  AND support * 100 >= words * {M.PERCENT})"""
+# Of every term of the corpus: the lemma of the longest ending with a rule.
+RULED_SQL = f"""{RULES_SQL},
+ruled AS (SELECT d.term, any_value(d.lemma) AS known, any_value(held_out) AS held_out,
+  coalesce(arg_max(left(d.term, length(d.term) - length(ending)) || replacement, length(ending)),
+           d.term) AS lemma
+  FROM dict d LEFT JOIN rules ON ends_with(d.term, ending) GROUP BY d.term)"""
+
+
+def corpus_lemmas(spark, sf):
+    """Lemmas of all terms of the corpus; a fifth of the terms is held out."""
+    lemmas = M.corpus_lemmas(O.term_stats(articles(spark, sf), O.feature_terms("content")))
+    return lemmas.withColumn("held_out", O.is_test_row(F.col("term")))
+
+
+def learnt_rules(spark, sf):
+    return M.LemmaRules.learn(corpus_lemmas(spark, sf).where("NOT held_out"))
+
+
+@query("corpus_lemmas", f"WITH {LEMMAS_SQL} SELECT * FROM dict")
+def lemma_dictionary(spark, sf):
+    return corpus_lemmas(spark, sf)
+
+
+@query("lemma_rules", f"WITH {RULES_SQL} SELECT * FROM rules")
+def lemma_rules(spark, sf):
+    return M.ending_rules(corpus_lemmas(spark, sf).where("NOT held_out"))
+
+
+@query("lemmas_by_rule", f"""WITH {RULED_SQL}
+SELECT held_out, count(*) AS terms, count(*) FILTER (lemma = known) AS right_lemmas,
+  count(*) FILTER (lemma <> term) AS changed FROM ruled GROUP BY held_out""")
+def lemmas_by_rule(spark, sf):
+    """How often the rules alone give the table's lemma, on seen and held-out terms."""
+    ruled = corpus_lemmas(spark, sf).withColumn(
+        "ruled", F.expr(learnt_rules(spark, sf).sql("term")))
+    return ruled.groupBy("held_out").agg(
+        F.count("*").alias("terms"), F.count_if(F.expr("ruled = lemma")).alias("right_lemmas"),
+        F.count_if(F.expr("ruled <> term")).alias("changed"))
+
+
+@query("lemmatized_terms", f"""WITH {RULED_SQL}
+SELECT term, CASE WHEN held_out THEN lemma ELSE known END AS lemma FROM ruled""")
+def lemmatized_terms(spark, sf):
+    """Every term by the table of seen terms, else by the rules learnt from it."""
+    lemmas = corpus_lemmas(spark, sf)
+    seen = lemmas.where("NOT held_out")
+    return M.lemmatized(lemmas.select("term"), seen, learnt_rules(spark, sf))
+
+
+@query("normalize_tokens_learnt", f"""WITH {RULED_SQL},
+kept AS (SELECT doc_id AS article_id, list_filter({tokens_sql('text')},
+    lambda t: t NOT IN ({sql_values(sorted(C.STOP_WORDS))})) AS toks FROM documents),
+tall AS (SELECT article_id, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM kept),
+-- Tokens of one letter are in no vocabulary; the rules hold for them too.
+short AS (SELECT t.term, coalesce(arg_max(left(t.term, length(t.term) - length(ending))
+    || replacement, length(ending)), t.term) AS lemma
+  FROM (SELECT DISTINCT term FROM tall WHERE length(term) < 2) t
+  LEFT JOIN rules ON ends_with(t.term, ending) GROUP BY t.term),
+lemmas AS (SELECT term, lemma FROM ruled UNION ALL SELECT * FROM short),
+joined AS (SELECT article_id, string_agg(lemma, ' ' ORDER BY pos) AS processed_content
+  FROM tall JOIN lemmas USING (term) GROUP BY 1)
+SELECT article_id, coalesce(processed_content, '') AS processed_content
+  FROM kept LEFT JOIN joined USING (article_id)""")
+def normalize_tokens_learnt(spark, sf):
+    """Normalised texts with lemmas by the learnt rules, inside the row."""
+    return O.with_normalized_tokens(
+        articles(spark, sf), O.stop_words(), lemma=learnt_rules(spark, sf).sql).select(
+            "article_id", "processed_content")
+
+
 @query("tfidf", f"""WITH {FREQUENCIES_SQL},
 vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + document_frequency)) + 1
   AS idf FROM df ORDER BY term_frequency DESC, term LIMIT 5000),
@@ -200,8 +295,7 @@ def ctfidf(spark, sf):
 
 
 def _info(docs):
-    return topics.topic_info(docs.select("topic"),
-                             unnest(docs, "tokens", "topic", value="term"))
+    return topics.topic_overview(topics.topic_counts(docs))
 
 
 @query("topic_info", f"WITH {LANGUAGES} SELECT * FROM info")

@@ -36,9 +36,19 @@ def train_techniques(labelled: DataFrame, *, tokens: str = "tokens",
     Features are fitted and cached once and shared by all labels, of which
     ``parallelism`` train at a time. A label that every row, or none, carries
     needs no machine. Without any label the model is empty and predicts empty
-    lists. Pass ``classes`` where they are known, which saves a pass. The scan
-    keeps its partitions; the features are cached at that width.
+    lists. Pass ``classes`` where they are known, which saves a pass. Tokens and
+    labels are made once and cached, as labels, vocabulary and features each read them;
+    the scan keeps its partitions.
     """
+    prepared = labelled.select(tokens, labels).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _train(prepared, tokens, labels, size, max_iter, tolerance, parallelism, classes)
+    finally:
+        prepared.unpersist()
+
+
+def _train(labelled: DataFrame, tokens: str, labels: str, size: int, max_iter: int,
+           tolerance: float, parallelism: int, classes) -> TechniqueModel:
     if classes is None:
         classes = feats.label_names(labelled, labels)
     if not classes:

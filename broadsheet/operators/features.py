@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -12,12 +14,13 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.functions import unwrap_udt
 
 from broadsheet import constants as C
 from broadsheet.functions import text as X
 from broadsheet.operators.unnest import unnest
 
-# A vocabulary up to this many rows is handed to every task.
+# A vocabulary up to this many rows is collected and handed to every task.
 BROADCAST_ROWS = 100_000
 
 
@@ -54,22 +57,32 @@ def term_frequencies(articles: DataFrame, terms: Column) -> DataFrame:
     return pairs.groupBy("article_id", "term").agg(F.count("*").alias("tf"))
 
 
+def counted_terms(rows: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """``keep``, ``term``, ``n``: each distinct term of a row with its count in that row.
+
+    The list is sorted inside the row and its runs are counted, so a row is multiplied
+    by its distinct terms only. NULL terms are no terms.
+    """
+    ordered = rows.select(*keep, F.sort_array(F.filter(
+        terms, lambda term: term.isNotNull())).alias("_terms"))
+    heads = ordered.select(*keep, "_terms", F.expr(
+        "filter(transform(_terms, (t, i) -> CASE WHEN i = 0 OR t <> _terms[i - 1] THEN i END), "
+        "i -> i IS NOT NULL)").alias("_heads"))
+    runs = F.expr("transform(_heads, (h, k) -> struct(_terms[h] AS term, "
+                  "coalesce(get(_heads, k + 1), size(_terms)) - h AS n))")
+    return unnest(heads, runs, *keep, value="_run").select(
+        *keep, F.col("_run.term").alias("term"), F.col("_run.n").alias("n"))
+
+
 def term_stats(articles: DataFrame, terms: Column) -> DataFrame:
     """Corpus frequency and document frequency per term, in one pass.
 
-    Every article gives each token once for the first count and each distinct
-    token once for the second. Both are summed per task, so even the commonest
-    word is one row per task in the only shuffle, and no article moves.
+    Every article gives each distinct token once, with its count. Both figures are
+    summed per task, so even the commonest word is one row per task in the only
+    shuffle, and no article moves.
     """
-    lists = articles.select(terms.alias("terms"))
-    marked = F.flatten(F.array(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
-        F.transform(F.array_distinct("terms"),
-                    lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))))
-    return (unnest(lists, marked, value="m")
-            .groupBy(F.col("m.term").alias("term"))
-            .agg(F.count_if(F.col("m.first") == 0).alias("term_frequency"),
-                 F.count_if(F.col("m.first") == 1).alias("document_frequency")))
+    return (counted_terms(articles, terms).groupBy("term")
+            .agg(F.sum("n").alias("term_frequency"), F.count("*").alias("document_frequency")))
 
 
 def vocabulary(stats: DataFrame, size: int = C.MAX_FEATURES) -> DataFrame:
@@ -81,22 +94,45 @@ def smooth_idf(documents: Column, document_frequency: Column) -> Column:
     return F.log((documents + 1) / (document_frequency + 1)) + 1
 
 
+def weighted_vocabulary(articles: DataFrame, terms: Column, size: int) -> DataFrame:
+    """``term, idf`` of the vocabulary, most frequent first; one shuffle, of term counts."""
+    documents = articles.agg(F.count("*").alias("n")).scalar()
+    return vocabulary(term_stats(articles, terms), size).select(
+        "term", smooth_idf(documents, F.col("document_frequency")).alias("idf"))
+
+
 def tfidf(articles: DataFrame, terms: Column,
           size: int = C.MAX_FEATURES) -> DataFrame:
     """``article_id, term, weight`` with rows of length one.
 
     The vocabulary comes from ``term_stats``, whose only shuffle has a row per term
-    and task. It has at most ``size`` rows whatever the corpus, so up to a fixed
-    bound it is broadcast, and every other word is dropped before the counts of an
-    article are shuffled: ids, kept terms and numbers move, never text.
+    and task. Up to ``BROADCAST_ROWS`` terms it is collected, and counts, weights and
+    length of an article are made inside its row, so no article and no pair is shuffled.
+    A longer vocabulary stays a table: words are joined to it, and ids, kept terms and
+    counts are shuffled. A missing list has no terms.
     """
-    documents = articles.agg(F.count("*").alias("n")).scalar()
-    weighted = vocabulary(term_stats(articles, terms), size).select(
-        "term", smooth_idf(documents, F.col("document_frequency")).alias("idf"))
-    if size <= BROADCAST_ROWS:
-        weighted = F.broadcast(weighted)
+    terms = F.coalesce(terms, F.array().cast("array<string>"))
+    vocab = weighted_vocabulary(articles, terms, size)
+    if size > BROADCAST_ROWS:
+        return _tfidf_by_join(articles, terms, vocab)
+    rows = vocab.collect()
+    model = _weighting(rows, "_terms", "_vector")
+    listed = articles.select("article_id", terms.alias("_terms"))
+    if model is None:
+        return listed.where("false").select(
+            "article_id", F.lit("").alias("term"), F.lit(0.0).alias("weight"))
+    vector = unwrap_udt(F.col("_vector"))
+    entries = F.arrays_zip(vector.getField("indices").alias("at"),
+                           vector.getField("values").alias("weight"))
+    names = F.from_json(F.lit(json.dumps([row.term for row in rows])), "array<string>")
+    return unnest(model.transform(listed), entries, "article_id", value="e").select(
+        "article_id", F.get(names, F.col("e.at")).alias("term"),
+        F.col("e.weight").alias("weight"))
+
+
+def _tfidf_by_join(articles: DataFrame, terms: Column, vocab: DataFrame) -> DataFrame:
     pairs = unnest(articles, terms, "article_id", value="term")
-    raw = (pairs.join(weighted, "term").groupBy("article_id", "term")
+    raw = (pairs.join(vocab, "term").groupBy("article_id", "term")
            .agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
            .select("article_id", "term", (F.col("tf") * F.col("idf")).alias("raw")))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(
@@ -104,18 +140,8 @@ def tfidf(articles: DataFrame, terms: Column,
     return raw.select("article_id", "term", (F.col("raw") / length).alias("weight"))
 
 
-def fit_tfidf(articles: DataFrame, tokens: str = "tokens", output: str = "features",
-              size: int = C.MAX_FEATURES) -> PipelineModel | None:
-    """The same weights as an ML model that maps a token list to a vector.
-
-    Only the vocabulary with its weights, at most ``size`` rows, comes to the
-    driver. ``None`` when the corpus has no term.
-    """
-    stats = term_stats(articles, F.filter(
-        F.col(tokens), lambda token: F.length(token) >= 2))
-    documents = articles.agg(F.count("*").alias("n")).scalar()
-    rows = vocabulary(stats, size).select(
-        "term", smooth_idf(documents, F.col("document_frequency")).alias("idf")).collect()
+def _weighting(rows, tokens: str, output: str) -> PipelineModel | None:
+    """Token lists to weighted vectors of length one; ``None`` without any term."""
     if not rows:
         return None
     counts = CountVectorizerModel.from_vocabulary(
@@ -127,6 +153,17 @@ def fit_tfidf(articles: DataFrame, tokens: str = "tokens", output: str = "featur
     return PipelineModel([counts, weights, norm])
 
 
+def fit_tfidf(articles: DataFrame, tokens: str = "tokens", output: str = "features",
+              size: int = C.MAX_FEATURES) -> PipelineModel | None:
+    """The same weights as an ML model that maps a token list to a vector.
+
+    Only the vocabulary with its weights, at most ``size`` rows, comes to the
+    driver. ``None`` when the corpus has no term.
+    """
+    terms = F.filter(F.col(tokens), lambda token: F.length(token) >= 2)
+    return _weighting(weighted_vocabulary(articles, terms, size).collect(), tokens, output)
+
+
 # --- Labels ------------------------------------------------------------------
 
 def label_vocabulary(labelled: DataFrame, labels: str = "techniques") -> DataFrame:

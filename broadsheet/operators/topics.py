@@ -26,9 +26,18 @@ def class_tfidf(tokens: DataFrame) -> DataFrame:
     later steps work on those, so a topic with most of the corpus costs no more
     than its vocabulary.
     """
-    counts = tokens.groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    return _class_scores(tokens.groupBy("topic", "term").agg(F.count("*").alias("tf")))
+
+
+def _class_scores(counts: DataFrame) -> DataFrame:
+    """Adds ``score``. A NULL term counts the articles of a topic and is no word.
+
+    The mean reads the same counts, column for column, so their shuffle is made once.
+    """
+    words = F.when(F.col("term").isNotNull(), F.col("tf"))
     mean_words = counts.agg(
-        (F.sum("tf") / F.count_distinct("topic")).alias("a")).scalar()
+        (F.sum(words) / F.count_distinct(F.when(F.col("term").isNotNull(), F.col("topic"))))
+        .alias("a")).scalar()
     # a term's rows are at most one per topic
     frequency = F.sum("tf").over(Window.partitionBy("term"))
     return counts.select(
@@ -47,19 +56,47 @@ def topic_words(scored: DataFrame, words: int = 4) -> DataFrame:
             .filter(F.col("rank") <= words))
 
 
+def topic_counts(articles: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``topic, term, tf`` of articles with ``topic``, in one pass.
+
+    The row of a topic with a NULL term counts its articles. Sums are taken in each task
+    first, so a topic with most articles sends one row per term and task.
+    """
+    known = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    marked = F.concat(F.filter(known, lambda t: t.isNotNull()),
+                      F.array(F.lit(None).cast("string")))
+    return (articles.select("topic", F.explode_outer(marked).alias("term"))
+            .groupBy("topic", "term").agg(F.count("*").alias("tf")))
+
+
+def topic_overview(counts: DataFrame, words: int = 4) -> DataFrame:
+    """``topic, count, name`` from ``topic_counts``: articles per topic, and its best words.
+
+    The article row of a topic comes first, before its words, so one ranking, limited
+    below the shuffle, gives both. The name is ``<topic>_<word>_<word>…``, NULL for a
+    topic without words.
+    """
+    scored = _class_scores(counts).withColumn(
+        "score", F.when(F.col("term").isNull(), float("inf")).otherwise(F.col("score")))
+    ranked = topic_words(scored, words + 1)
+    word = F.when(F.col("term").isNotNull(), F.struct("rank", "term"))
+    found = ranked.groupBy("topic").agg(
+        F.max(F.when(F.col("term").isNull(), F.col("tf"))).alias("count"),
+        F.array_sort(F.collect_list(word)).alias("top"))
+    label = F.concat_ws("_", F.col("topic").cast("string"), F.col("top.term"))
+    return found.select("topic", "count", F.when(F.size("top") > 0, label).alias("name"))
+
+
 def topic_info(assigned: DataFrame, tokens: DataFrame, words: int = 4) -> DataFrame:
-    """``topic, count, name``: articles per topic, and its best words.
+    """``topic, count, name`` where articles and words come apart.
 
     ``assigned`` has a row per article, ``tokens`` a row per token; both with
-    ``topic``. The name is ``<topic>_<word>_<word>…``.
+    ``topic``. Topics without articles are left out.
     """
-    sizes = assigned.groupBy("topic").agg(F.count("*").alias("count"))
-    top = topic_words(class_tfidf(tokens), words)
-    names = top.groupBy("topic").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("top"))
-    label = F.concat_ws("_", F.col("topic").cast("string"), F.col("top.term"))
-    return (sizes.join(names, "topic", "left")
-            .select("topic", "count", label.alias("name")))
+    marks = assigned.select("topic", F.lit(None).cast("string").alias("term"))
+    counts = (marks.unionByName(tokens.select("topic", "term").where("term IS NOT NULL"))
+              .groupBy("topic", "term").agg(F.count("*").alias("tf")))
+    return topic_overview(counts, words).where("count IS NOT NULL")
 
 
 def renumber_by_size(sizes: dict[int, int], smallest: int) -> dict[int, int]:
@@ -88,9 +125,14 @@ def _clustered(rows: DataFrame, clusters: KMeansModel, features: str) -> DataFra
 
     @F.pandas_udf("double")
     def distance(indices: pd.Series, values: pd.Series, cluster: pd.Series) -> pd.Series:
-        return pd.Series([
-            max(0.0, float(squares[c] + ((v - centers[c, i]) ** 2 - centers[c, i] ** 2).sum()))
-            for i, v, c in zip(indices, values, cluster)], dtype="float64")
+        sizes = np.fromiter(map(len, indices), np.int64, len(indices))
+        if not sizes.sum():
+            return pd.Series(squares[cluster.to_numpy()])
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        value = np.concatenate(values.to_numpy()).astype(np.float64)
+        center = centers[cluster.to_numpy()[rows], np.concatenate(indices.to_numpy())]
+        parts = np.bincount(rows, value * (value - 2 * center), len(sizes))
+        return pd.Series(np.maximum(0.0, squares[cluster.to_numpy()] + parts))
 
     parts = unwrap_udt(F.col(features))
     values = parts.getField("values")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,6 @@ from broadsheet import constants as C
 from broadsheet.functions import fields as N
 from broadsheet.operators import classify, entities, features, topics
 from broadsheet.operators.techniques import detect_techniques, flag_propaganda
-from broadsheet.operators.unnest import unnest
 from broadsheet.sources.corpus import with_missing_columns
 
 
@@ -33,14 +34,17 @@ def annotate_text(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
     return entities.inline_entities(detected, gazetteer)
 
 
-def topic_vectors(articles: DataFrame, size: int = C.MAX_FEATURES) -> DataFrame:
-    """Article vectors for clustering: TF-IDF of the terms, length one, sparse."""
+def topic_features(articles: DataFrame, size: int = C.MAX_FEATURES) -> PipelineModel:
+    """Maps tokens to vectors for clustering: TF-IDF of the terms, length one, sparse."""
     model = features.fit_tfidf(articles, output="topic_features", size=size)
-    if model is None:
-        empty = CountVectorizerModel.from_vocabulary(
-            [""], inputCol="tokens", outputCol="topic_features")
-        return empty.transform(articles)
-    return model.transform(articles).drop("topic_features_tf", "topic_features_raw")
+    return model or PipelineModel([CountVectorizerModel.from_vocabulary(
+        [""], inputCol="tokens", outputCol="topic_features")])
+
+
+def topic_vectors(articles: DataFrame, size: int = C.MAX_FEATURES) -> DataFrame:
+    """Article vectors for clustering."""
+    return topic_features(articles, size).transform(articles).drop(
+        "topic_features_tf", "topic_features_raw")
 
 
 def annotate_corpus(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
@@ -62,13 +66,17 @@ def annotate_corpus(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
     model = classify.train_techniques(
         annotated.filter("is_train"), size=max_features, max_iter=svm_iterations)
     predicted = classify.predict_techniques(annotated, model)
-    vectors = topic_vectors(predicted, max_features)
-    clusters = topics.fit_topics(vectors, features="topic_features",
-                                 topics=n_topics, smallest=smallest_topic)
+    # Tokens are made once for the vocabulary and the clusters; a lost part is made again.
+    listed = annotated.select("tokens").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        vectorizer = topic_features(listed, max_features)
+        clusters = topics.fit_topics(vectorizer.transform(listed), features="topic_features",
+                                     topics=n_topics, smallest=smallest_topic)
+    finally:
+        listed.unpersist()
+    vectors = vectorizer.transform(predicted).drop("topic_features_tf", "topic_features_raw")
     placed = topics.assign_topics(vectors, clusters, "topic_features")
-    info = topics.topic_info(
-        placed.select("topic"),
-        unnest(placed, "tokens", "topic", value="term"))
+    info = topics.topic_overview(topics.topic_counts(placed))
     flat = placed.withColumns({
         "entities_text": N.entities_text(F.col("entities")),
         "indicators_text": N.list_text(F.col("indicators")),
