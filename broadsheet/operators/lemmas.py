@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -80,16 +81,18 @@ class LemmaRules:
     def sql(self, token: str) -> str:
         """SQL text: the lemma of ``token``; without a rule it stays.
 
-        Endings of one length with one replacement are one hash set, so a word costs a few
-        look-ups and not one test per rule.
+        Endings of one length that lose as many letters and get the same ones are one hash
+        set, so a word costs a few look-ups and not one test per rule.
         """
         alike = defaultdict(list)
         for ending, replacement in self.rules.items():
-            alike[len(ending), replacement].append(ending)
+            same = len(os.path.commonprefix([ending, replacement]))
+            alike[len(ending), len(ending) - same, replacement[same:]].append(ending)
         cases = "".join(
-            f" WHEN length({token}) >= {n} AND right({token}, {n}) IN ({X.sql_list(endings)}) "
-            f"THEN concat(left({token}, length({token}) - {n}), {X.sql_list([replacement])})"
-            for (n, replacement), endings in sorted(alike.items(), key=lambda r: (-r[0][0], r[0][1])))
+            f" WHEN right({token}, {n}) IN ({X.sql_list(endings)}) "
+            f"THEN concat(left({token}, length({token}) - {lost}), {X.sql_list([new])})"
+            for (n, lost, new), endings in sorted(
+                alike.items(), key=lambda rule: (-rule[0][0], rule[0])))
         return f"CASE{cases} ELSE {token} END" if cases else token
 
 
