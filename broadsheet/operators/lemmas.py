@@ -22,13 +22,18 @@ def corpus_lemmas(stats: DataFrame) -> DataFrame:
     """``term, lemma`` from the terms of a corpus alone, without repeats.
 
     A term goes to its singular by the suffix table where the corpus has that word too, else
-    to itself. Only the vocabulary is shuffled.
+    to itself. Each term is sent once as itself and once under its singular, so the terms
+    are read once; a word gathers itself and one term for each suffix at most.
     """
-    terms = stats.select("term").where("term IS NOT NULL").distinct()
-    single = terms.select("term", F.expr(X.lemma_by_suffix("term")).alias("_single"))
-    known = terms.withColumnRenamed("term", "_known")
-    return (single.join(known, F.col("_single") == F.col("_known"), "left")
-            .select("term", F.coalesce("_known", "term").alias("lemma")))
+    single = F.expr(X.lemma_by_suffix("term"))
+    sent = F.array(F.struct(F.col("term").alias("word"), F.lit(None).cast("string").alias("of")),
+                   F.struct(single.alias("word"), F.col("term").alias("of")))
+    words = (unnest(stats.select("term").where("term IS NOT NULL"), sent, value="s")
+             .groupBy(F.col("s.word").alias("word"))
+             .agg(F.max(F.col("s.of").isNull()).alias("known"),
+                  F.collect_set("s.of").alias("terms")))
+    return unnest(words, "terms", "word", "known", value="term").select(
+        "term", F.when(F.col("known"), F.col("word")).otherwise(F.col("term")).alias("lemma"))
 
 
 def lemma_table(lemmas: DataFrame) -> DataFrame:
