@@ -259,13 +259,17 @@ def classification_report(spark, sf):
 # --- Topics over a given class --------------------------------------------------
 
 def by_language(spark, sf):
-    """Articles with the rank of their language, by size, as topic number."""
+    """Articles with the rank of their language, by size, as topic number.
+
+    The ranks are sent to the articles: by shuffle, a language's articles would meet in
+    one task.
+    """
     docs = O.with_normalized_tokens(articles(spark, sf, "lang"), O.stop_words())
     sizes = table(spark, sf, "documents", "lang").groupBy("lang").agg(F.count("*").alias("n"))
     # One row per language.
     order = Window.orderBy(F.desc("n"), "lang")
     ranks = sizes.select("lang", (F.row_number().over(order) - 1).alias("topic"))
-    return docs.join(ranks, "lang")
+    return docs.join(F.broadcast(ranks), "lang")
 
 
 LANGUAGES = f"""

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from broadsheet import constants as C
+from broadsheet.catalog import feature_queries
 from broadsheet.operators import entities as E
 from broadsheet.operators import features as O
 from broadsheet.operators import graph, metrics, summary, topics
@@ -172,3 +173,21 @@ def test_graph(spark):
         ("1", "s"), ("2", "s"), ("3", "Unknown")]
     bare = rows.drop("source")
     assert {r.dst for r in graph.source_edges(bare).collect()} == {"Unknown"}
+
+
+def test_no_article_is_shuffled_for_its_topic(spark, folder, capsys):
+    spark.createDataFrame([(i, "red blue", "en" if i else None) for i in range(9)],
+                          "doc_id long, text string, lang string").write.parquet(
+                              f"{folder}/documents.parquet")
+    joined = feature_queries.by_language(spark, folder)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        joined.explain()
+        assert {(r.article_id, r.topic) for r in joined.collect()} == {
+            (i, 0) for i in range(1, 9)}
+    finally:
+        spark.conf.set(threshold, before)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
