@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,25 +25,30 @@ def listed_phrases(articles: DataFrame, names: DataFrame, longest: int,
                    text: str = "content") -> tuple[DataFrame, Lookup]:
     """``article_id, pos, text``: the phrases that may be in ``names(text)``, and its lookup.
 
-    Inside the row, only words that start some name open phrases, and only phrases that
-    may be names are kept; the rest of a text never becomes rows.
+    Only words that start some name open phrases, and only phrases that may be names are
+    kept. Words become rows inside the task, where both tests are compiled code; tests in
+    a list are not.
     """
-    first = Lookup.of(names.select(F.substring_index("text", " ", 1).alias("term")))
-    whole = Lookup.of(names.select(F.col("text").alias("term")))
+    # the names are made once for both lookups, which read them more than once each
+    names = names.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first = Lookup.of(names.select(F.substring_index("text", " ", 1).alias("term")))
+        whole = Lookup.of(names.select(F.col("text").alias("term")))
+    finally:
+        names.unpersist()
     tokens = articles.select(
         "article_id", X.tokens_of(X.text_of(F.col(text))).alias("tokens"))
-    words = F.transform("tokens", lambda word, i: F.struct(i.alias("pos"), word.alias("word")))
-    places = F.filter(words, lambda place: first.may_hold(place["word"]))
-
-    def phrases(place: Column) -> Column:
-        most = F.least(F.lit(longest), F.size("tokens") - place["pos"])
-        return F.transform(F.sequence(F.lit(1), most), lambda n: F.struct(
-            place["pos"].alias("pos"),
-            F.array_join(F.slice("tokens", place["pos"] + 1, n), " ").alias("text")))
-    runs = F.filter(F.flatten(F.transform(places, phrases)),
-                    lambda run: whole.may_hold(run["text"]))
-    found = unnest(tokens, runs, "article_id", value="run")
-    return found.select("article_id", F.col("run.pos"), F.col("run.text")), whole
+    # each word with those that follow it, NULL beyond the end of the text
+    spans = F.arrays_zip(F.col("tokens").alias("w0"), *[
+        F.slice("tokens", F.lit(n + 1), F.greatest(F.size("tokens") - n, F.lit(0)))
+        .alias(f"w{n}") for n in range(1, longest)])
+    places = unnest(tokens, spans, "article_id", value="at", pos="pos").where(
+        first.may_hold(F.col("at.w0")))
+    phrases = [F.col("at.w0")]
+    for n in range(1, longest):
+        phrases.append(F.concat(phrases[-1], F.lit(" "), F.col(f"at.w{n}")))
+    found = unnest(places, F.array(*phrases), "article_id", "pos", value="text")
+    return found.where(whole.may_hold(F.col("text"))), whole
 
 
 def gazetteer_entities(articles: DataFrame, gazetteer: DataFrame,

@@ -61,6 +61,7 @@ class Lookup:
         """``rows`` with the list's own table; the list is the side that is sent, if any.
 
         Without the hint the optimiser, which can't know how few rows are left, may send
-        the words of the corpus instead.
+        the words of the corpus instead. In a shuffle join each task builds its part of the
+        list, of which a term has few rows, so the words of the corpus are not sorted.
         """
-        return rows.join(F.broadcast(listed) if self.small else listed, on)
+        return rows.join(F.broadcast(listed) if self.small else listed.hint("shuffle_hash"), on)

@@ -94,3 +94,25 @@ def test_substrings(spark, articles, block):
     assert sorted(map(tuple, got.collect())) == want and len(want) == 7
     assert "Exchange" not in plan(got)
     assert detect_substring_techniques(articles, names.where("false")).count() == 0
+
+
+def test_names_read_once_and_asked_in_compiled_code(spark, articles, monkeypatch):
+    monkeypatch.setattr(lookup, "PLAN_TERMS", -1)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(name):
+        read.add(1)
+        return name
+
+    names = spark.createDataFrame([("big red", "X"), ("fox", "Z"), ("red red red big", "R")],
+                                  "text string, label string")
+    counted = names.withColumn("text", seen.asNondeterministic()("text"))
+    phrases, held = E.listed_phrases(articles, counted, 4)
+    assert read.value == 3
+    found = held.join(phrases, names, "text")
+    assert "lambda" not in plan(phrases) and "SortMergeJoin" not in plan(found)
+    assert sorted(map(tuple, found.select("article_id", "pos", "text").collect())) == [
+        (1, 1, "big red"), (1, 3, "fox"), (1, 5, "fox"), (1, 8, "big red"),
+        (4, 0, "red red red big")]
