@@ -10,6 +10,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from broadsheet.session import short_batches  # noqa: F401
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only in local mode (tests)."""
@@ -24,20 +26,6 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def short_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
-    """Batches of fewer rows and bytes for this session, as texts and sets may be long.
-
-    An Arrow batch is held several times over, by the JVM and by Python, and the Parquet
-    reader holds a batch of every column; smaller settings of the user's stay.
-    """
-    for name, default, most in (("execution.arrow.maxRecordsPerBatch", "10000", rows),
-                                ("execution.arrow.maxBytesPerBatch", "2147483647", size),
-                                ("parquet.columnarReaderBatchSize", "4096", rows)):
-        name = f"spark.sql.{name}"
-        if not 0 < int(spark.conf.get(name, default).rstrip("b")) <= most:
-            spark.conf.set(name, str(most))
-
-
 @functools.cache
 def _system_library():
     return ctypes.CDLL(None)

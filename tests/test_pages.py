@@ -1,3 +1,4 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from broadsheet.sources import pages
@@ -39,3 +40,18 @@ def test_page_articles(spark):
                    5: "no_content", 6: "http_error"}
     assert [r.content for r in pages.usable(pages.page_articles(rows)).collect()] == [
         "One bold end Two"]
+
+
+def test_pages_come_in_short_batches(spark):
+    @F.pandas_udf("string")
+    def held(html: pd.Series) -> pd.Series:
+        return html.map(lambda _: str(len(html)))
+
+    limits = {f"spark.sql.execution.arrow.max{n}PerBatch": v
+              for n, v in (("Records", "10000"), ("Bytes", "2147483647"))}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    rows = spark.range(2600).coalesce(1).selectExpr(
+        "id AS page_id", "'http://a.b/c' AS url", "repeat('x', 9000) AS html")
+    sizes = {int(r.content) for r in pages.page_articles(rows, extract=held).collect()}
+    assert max(sizes) * 9000 <= 5 << 20
