@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +29,29 @@ def bare_word(word: Column) -> Column:
 def full_stop_stats(articles: DataFrame, text: str = "content") -> DataFrame:
     """(term, before_stop, elsewhere): how often a word stands before a full stop or not.
 
-    Words are parted by white space. Counts are summed in each task before the shuffle, so
-    a frequent word is no hot key. Missing texts have no words.
+    Words are parted by white space. They are counted as they stand, and only distinct ones
+    are stripped. Counts are summed in each task before the shuffle, so a frequent word is
+    no hot key. Missing texts have no words.
     """
     words = unnest(articles, F.split(X.text_of(F.col(text)), r"\s+"), value="word")
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    # a test of the term itself would be pushed below the counting, to every word
+    bare = F.filter(F.array(bare_word(F.col("word"))), lambda term: term != "")
     stop = F.endswith("word", F.lit("."))
-    return (words.select(bare_word(F.col("word")).alias("term"), stop.alias("stop"))
-            .where("term <> ''").groupBy("term")
-            .agg(F.count_if("stop").alias("before_stop"),
-                 F.count_if(~F.col("stop")).alias("elsewhere")))
+    return (unnest(counted, bare, "word", "n", value="term").groupBy("term")
+            .agg(F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("before_stop"),
+                 F.sum(F.when(stop, 0).otherwise(F.col("n"))).alias("elsewhere")))
 
 
 def with_verdict(stats: DataFrame, longest: int = LONGEST, least: int = LEAST,
                  percent: int = PERCENT, most: int = MOST) -> DataFrame:
-    """``is_abbreviation`` by the rules above; words with digits are none."""
-    total = stats.agg(F.sum("before_stop")).first()[0] or 0
+    """``is_abbreviation`` by the rules above; words with digits are none.
+
+    The total reads the same counts, column for column, so their shuffle is made once.
+    """
+    total = F.coalesce(stats.agg(
+        (F.sum(F.col("before_stop") + F.col("elsewhere")) - F.sum("elsewhere"))
+        .alias("total")).scalar(), F.lit(0))
     stops = F.col("before_stop")
     return stats.withColumn(
         "is_abbreviation",
@@ -51,9 +60,13 @@ def with_verdict(stats: DataFrame, longest: int = LONGEST, least: int = LEAST,
 
 
 def learn_abbreviations(articles: DataFrame, text: str = "content", **rules) -> list[str]:
-    """The abbreviations of a corpus; at most ``most`` of them."""
-    found = with_verdict(full_stop_stats(articles, text), **rules).where("is_abbreviation")
-    return sorted(r.term for r in found.select("term").collect())
+    """The abbreviations of a corpus; at most ``most`` of them. The texts are read once."""
+    stats = full_stop_stats(articles, text).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = with_verdict(stats, **rules).where("is_abbreviation")
+        return sorted(r.term for r in found.select("term").collect())
+    finally:
+        stats.unpersist()
 
 
 def joined_sentences(sentences: str, abbreviations: Iterable[str]) -> Column:
@@ -62,7 +75,8 @@ def joined_sentences(sentences: str, abbreviations: Iterable[str]) -> Column:
     """
     known = X.sql_list(abbreviations)
     edge = EDGE.replace("\\", "\\\\")
-    last = r"regexp_extract(s, '(\\S+)$', 1)"
+    # the piece after the last blank first, as looking for an end tries every word
+    last = r"regexp_replace(substring_index(s, ' ', -1), '(?s)^.*\\s', '')"
     abbreviated = (f"endswith(s, '.') AND "
                    f"coalesce(regexp_replace(lower({last}), '{edge}', '') IN ({known}), false)")
     marked = (f"transform({sentences}, (s, i) -> concat(s, CASE "

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from broadsheet.operators import abbreviations as A
 
 
@@ -29,3 +31,18 @@ def test_joined(spark):
                    4: ["x"]}
     plain = A.sentence_table_by(corpus(spark, texts), []).where("article_id = '0'")
     assert plain.count() == 5
+
+
+def test_texts_read_once_and_only_distinct_words_stripped(spark):
+    docs = corpus(spark, ["We met Dr. X, dr. Y and Zoe"] * 9)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    counted = docs.withColumn("content", seen.asNondeterministic()("content"))
+    assert A.learn_abbreviations(counted, longest=2) == ["dr"] and read.value == 9
+    plan = A.full_stop_stats(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan[plan.rindex("Aggregate"):]
