@@ -38,6 +38,8 @@ GROWTH = 32
 # Bits of a class, one for each value of the last bits of its shingle hashes, in longs.
 LONGS = 16
 BROADCAST_ROWS = 200_000
+# Of the bit tables that thin rows out before a join with more keys than that.
+BITS_PER_KEY, MOST_LONGS = 32, 1 << 20
 
 
 def with_hash(documents: DataFrame) -> DataFrame:
@@ -139,7 +141,13 @@ def _confirm(batches):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
+    """The pairs (a, b) of classes whose full sets reach the threshold.
+
+    Only the sets of classes that stand in a pair are shuffled.
+    """
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(),
+                        "asked")
+    sets = _among(sets.select("class", "set"), "class", asked)
     return (pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a binary, b binary"))
@@ -164,6 +172,29 @@ def _maybe_broadcast(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _thinned(rows: DataFrame, key: str, wanted: DataFrame, count: int) -> DataFrame:
+    """All ``rows`` with a ``key`` in ``wanted``, and few others, without a shuffle.
+
+    A table of bits, one for each hash of a key, is sent; its size is bounded, so beyond
+    it more of the others stay.
+    """
+    longs = min(MOST_LONGS, 1 << (BITS_PER_KEY * count // 64).bit_length())
+    place = f"pmod(xxhash64({key}), {64 * longs}L)"
+    table = wanted.groupBy(F.expr(f"shiftright({place}, 6)").alias("_at")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 AS int)))").alias("_bits"))
+    return rows.withColumn("_place", F.expr(place)).join(
+        F.broadcast(table), F.expr("_at = shiftright(_place, 6)")).where(
+            "getbit(_bits, cast(_place & 63 AS int)) = 1").select(*rows.columns)
+
+
+def _among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` with a ``key`` in ``wanted``, a written table of distinct keys."""
+    count = wanted.count()
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), key)
+    return _thinned(rows, key, wanted, count).join(wanted, key)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (class, root), root the least class of each.
 
@@ -211,7 +242,7 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
     marks = classes.select("class", F.explode("bands").alias("bucket"))
     common = materialize(marks.groupBy("bucket").agg(F.count("*").alias("size"))
                          .where("size > 1").select("bucket"), "buckets")
-    drawn = materialize(marks.join(_maybe_broadcast(common), "bucket"), "drawn")
+    drawn = materialize(_among(marks, "bucket", common), "drawn")
 
     # Full sets of the classes that share a bucket, made from one document of each.
     wanted = drawn.select("class").distinct().join(

@@ -112,3 +112,30 @@ def test_components_extended_are_those_of_all_links(spark):
         want = N.components(frame(first + more))
         got = N.extended(N.components(frame(first)), frame(more))
         assert H.rows(got, "class", "root") == H.rows(want, "class", "root")
+
+
+def test_rows_without_a_wanted_key_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST_ROWS", -1)
+    rows = spark.range(20_000).selectExpr("id AS bucket", "cast(id AS string) AS class")
+    wanted = rows.where("bucket % 100 = 0").select("bucket")
+    few = N._thinned(rows, "bucket", wanted, wanted.count())
+    assert few.columns == rows.columns and 200 <= few.count() < 2_000
+    assert H.rows(N._among(rows, "bucket", wanted), "bucket") == H.rows(wanted, "bucket")
+    assert N._among(rows, "bucket", wanted.where("false")).count() == 0
+    monkeypatch.setattr(N, "MOST_LONGS", 1)
+    assert H.rows(N._among(rows, "bucket", wanted), "bucket") == H.rows(wanted, "bucket")
+
+
+def test_only_sets_in_a_pair_are_shuffled_to_be_confirmed(spark, monkeypatch):
+    seen = []
+    among = N._among
+    monkeypatch.setattr(N, "_among", lambda rows, key, wanted: seen.append(
+        among(rows, key, wanted)) or seen[-1])
+    names = [bytes([i]) * 16 for i in range(50)]
+    one = np.arange(100, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(bytearray(n), bytearray(one)) for n in names],
+                                 "class binary, set binary")
+    pairs = spark.createDataFrame([(bytearray(names[0]), bytearray(names[1]))],
+                                  "a binary, b binary")
+    assert N.confirm(pairs, sets).count() == 1
+    assert sorted(bytes(r["class"]) for r in seen[0].collect()) == names[:2]
