@@ -22,8 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from broadsheet.llm.storage import trimmed
+
 SPACE = "▁"
 CACHE_WORDS = 700_000
+# Words kept while ids are made as lists: their workers run beside full executors.
+PACKED_WORDS = 300_000
+# Pairs of tokens whose fit is remembered, some 170 bytes each.
+FITS = 400_000
 LONGEST = 64
 TEXTS = 256
 
@@ -96,7 +102,7 @@ class Pieces:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) >= FITS:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -176,12 +182,12 @@ class Pieces:
         text = self.pieces_text(ids)
         return text[1:] if text[:1] == " " else text
 
-    def _joined(self, text: str | None, *caches: dict):
-        """What the caches hold for the words of a text; new words are encoded first."""
+    def _joined(self, text: str | None, most: int, *caches: dict):
+        """What the caches, of ``most`` words, hold for a text; new words are encoded first."""
         units = self.units(text)
         new = [u for u in set(units) if u not in caches[0]]
         if new:
-            if len(caches[0]) + len(new) > CACHE_WORDS:
+            if len(caches[0]) + len(new) > most:
                 for known in caches:
                     known.clear()
                 new = set(units)
@@ -199,14 +205,14 @@ class Pieces:
 
     def packed_ids(self, text: str | None) -> bytes:
         """Ids as 32-bit integers, with the end id."""
-        return self._joined(text, self.packed)[0] + struct.pack("<i", self.end)
+        return self._joined(text, PACKED_WORDS, self.packed)[0] + struct.pack("<i", self.end)
 
     def digest(self, text: str | None) -> tuple[bytes, str]:
         """Decimal ids joined by spaces, with the end id, and the decoded text.
 
         Words have whole characters, so the text of each is decoded by itself.
         """
-        ids, back = self._joined(text, self.decimal, self.decoded)
+        ids, back = self._joined(text, CACHE_WORDS, self.decimal, self.decoded)
         return ids + str(self.end).encode(), back[1:] if back[:1] == " " else back
 
 
@@ -230,6 +236,7 @@ def _rows(path: str, make, columns: list[tuple[str, pa.DataType]]):
 
 
 def _encode(path: str):
+    @trimmed
     def run(batches):
         table = pieces(path)
         for batch in batches:
@@ -266,6 +273,7 @@ def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def _decoded(path: str):
+    @trimmed
     def run(batches):
         table = pieces(path)
         count = range(len(table.names))

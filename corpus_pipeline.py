@@ -34,9 +34,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, with digests of the ids and of the text decoded from them."""
+    """The token ids of each text, with digests of the ids and of the text decoded from them.
+
+    The ids are written in between, so a task has one Python worker at a time, not two.
+    """
+    short_batches(spark)
     model = public_tokenizers.path(TOKENIZER)
-    return sentence_pieces.decoded_digests(sentence_pieces.encode_documents(docs, model), model)
+    ids = materialize(sentence_pieces.encode_documents(docs, model), "ids")
+    return sentence_pieces.decoded_digests(ids, model)
 
 
 STAGES = [

@@ -53,3 +53,11 @@ def test_last_stage_decodes_its_ids(spark):
             " ".join(map(str, ids)), library.decode(ids)))))
     last = dict(P.STAGES)["SentencePiece encoding and decoding"](spark, docs, H.SF)
     assert H.rows(last, "doc_id", "ids", "ids_sha256", "decoded_sha256") == sorted(want, key=H.key)
+
+
+def test_last_stage_runs_one_worker_a_task(spark, capsys):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], H.DOCS)
+    last = dict(P.STAGES)["SentencePiece encoding and decoding"](spark, docs, H.SF)
+    last.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert last.count() == 2

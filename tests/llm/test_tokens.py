@@ -110,3 +110,14 @@ def test_piece_round_trip(spark):
     docs = spark.createDataFrame([r for r in H.ODD if r[0] and "▁" not in r[1]], H.DOCS)
     back = sentence_pieces.decode_documents(sentence_pieces.encode_documents(docs, PIECE), PIECE)
     assert H.rows(back, "doc_id", "text") == H.rows(docs, "doc_id", "text")
+
+
+def test_small_word_caches_give_the_same_ids(monkeypatch):
+    texts = [f"w{i} x{i * 7} " * 3 + f"y{i}z" for i in range(300)] + [None, "", "a " * 500]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    table = sentence_pieces.Pieces(PIECE)
+    monkeypatch.setattr(sentence_pieces, "PACKED_WORDS", 40)
+    monkeypatch.setattr(sentence_pieces, "FITS", 30)
+    for text in texts:
+        assert np.frombuffer(table.packed_ids(text), "<i4").tolist() == library.encode(text or "") + [2]
+        assert len(table.packed) <= 40 and len(table.fits) <= 30
