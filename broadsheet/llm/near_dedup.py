@@ -38,6 +38,8 @@ GROWTH = 32
 # Bits of a class, one for each value of the last bits of its shingle hashes, in longs.
 LONGS = 16
 BROADCAST_ROWS = 200_000
+# Full sets up to these bytes are sent to their pairs, more are shuffled.
+SENT_BYTES = 8 << 20
 # Of the bit tables that thin rows out before a join with more keys than that.
 BITS_PER_KEY, MOST_LONGS = 32, 1 << 20
 
@@ -143,11 +145,15 @@ def _confirm(batches):
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the threshold.
 
-    Only the sets of classes that stand in a pair are shuffled.
+    Only the sets of classes that stand in a pair move; ``pairs`` are written already.
     """
-    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(),
-                        "asked")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    few = asked.count() <= BROADCAST_ROWS
+    if not few:
+        asked = materialize(asked.distinct(), "asked")
     sets = _among(sets.select("class", "set"), "class", asked)
+    if few and (sets.agg(F.sum(F.length("set"))).first()[0] or 0) <= SENT_BYTES:
+        sets = F.broadcast(sets)
     return (pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a binary, b binary"))
@@ -188,48 +194,52 @@ def _thinned(rows: DataFrame, key: str, wanted: DataFrame, count: int) -> DataFr
 
 
 def _among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The ``rows`` with a ``key`` in ``wanted``, a written table of distinct keys."""
+    """The ``rows`` with a ``key`` in ``wanted``, a written table; of distinct keys, if long."""
     count = wanted.count()
     if count <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(wanted), key)
+        return rows.join(F.broadcast(wanted), key, "left_semi")
     return _thinned(rows, key, wanted, count).join(wanted, key)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (class, root), root the least class of each.
 
-    Alternates large-star and small-star steps until the edges stand still; each step
+    Alternates large-star and small-star steps until each component is a star around its
+    least node, which the neighbours of the nodes tell without a further step; each step
     takes minima per node by partial aggregates, so a hub is no hot key.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                        .where("u <> v").distinct(), "edges")
-    before = None
+                        .where("u <> v"), "edges")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = materialize(both.groupBy("u").agg(
+            F.min("v").alias("least"), F.max("v").alias("most")), "neighbours")
+        # In such stars a node with a lesser neighbour has no other one.
+        nodes, unsettled = near.agg(F.count("*"), F.count_if(F.expr(
+            "least < u AND least < most"))).first()
+        if not unsettled:
+            break
+        sent = F.broadcast if nodes <= BROADCAST_ROWS else lambda rows: rows
+        least = near.select("u", F.least("u", "least").alias("m"))
+        edges = both.join(sent(least), "u").where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"))
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(least, "u").select(
+        edges = edges.join(sent(least), "u").select(
             F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(
                 "u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialize(edges, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-                          ).first()
-        if state == before:
-            break
-        before = state
-    return edges.select(F.col("u").alias("class"), F.col("v").alias("root"))
+    return near.where("least < u").select(F.col("u").alias("class"), F.col("least").alias("root"))
 
 
 def extended(linked: DataFrame, links: DataFrame) -> DataFrame:
     """``components`` after further links, from the roots that they join alone."""
+    known = _maybe_broadcast(linked)
     for end in "ab":
-        links = links.join(linked.select(F.col("class").alias(end), F.col("root").alias("r")),
+        links = links.join(known.select(F.col("class").alias(end), F.col("root").alias("r")),
                            end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
     step = components(links.where("a <> b"))
-    moved = step.select(F.col("class").alias("root"), F.col("root").alias("to"))
+    moved = _maybe_broadcast(
+        step.select(F.col("class").alias("root"), F.col("root").alias("to")))
     return linked.join(moved, "root", "left").select(
         "class", F.coalesce("to", "root").alias("root")).unionByName(step)
 
@@ -272,6 +282,7 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
     members = members.select("bucket", "class", "centre", "n_a", "shared_a")
     bits = sets.select("class", F.struct(*(F.col("bits")[i].alias(f"b{i}")
                                            for i in range(LONGS))).alias("bits"))
+    bits = _maybe_broadcast(bits)
     # Members outside their centre's component get a fixed turn as centres.
     main = _maybe_broadcast(
         linked.select(F.col("class").alias("centre"), F.col("root").alias("main")))
@@ -296,7 +307,7 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
     others = members.join(_maybe_broadcast(firsts.select("bucket")), "bucket").groupBy(
         "class").agg(F.collect_list("bucket").alias("buckets"), F.first("n_a").alias("n_b"),
                      F.first("shared_a").alias("shared_b"))
-    others = materialize(others.join(_maybe_broadcast(bits), "class").select(
+    others = materialize(others.join(bits, "class").select(
         "buckets", F.col("class").alias("b"), "n_b", "shared_b",
         F.col("bits").alias("bits_b")), "others")
     last = waiting.agg(F.max("turn")).first()[0]
@@ -312,7 +323,7 @@ def near_classes(documents: DataFrame, signed: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")
                              ).distinct()
         known = tested.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-        pairs = materialize(pairs.join(known, ["x", "y"], "left_anti").select(
+        pairs = materialize(pairs.join(_maybe_broadcast(known), ["x", "y"], "left_anti").select(
             F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
         if pairs.isEmpty():
             continue
@@ -335,7 +346,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     signed = materialize(sign(documents), "signed")
     linked = near_classes(documents, signed)
     roots = materialize(signed.where("n_shingles > 0").groupBy("class").agg(
-        F.min("doc_id").alias("least")).join(linked, "class", "left").select(
+        F.min("doc_id").alias("least")).join(_maybe_broadcast(linked), "class", "left").select(
             "class", "least", F.coalesce("root", "class").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = materialize(roots.join(least, "root").select("class", "component_id"), "by-class")

@@ -139,3 +139,36 @@ def test_only_sets_in_a_pair_are_shuffled_to_be_confirmed(spark, monkeypatch):
                                   "a binary, b binary")
     assert N.confirm(pairs, sets).count() == 1
     assert sorted(bytes(r["class"]) for r in seen[0].collect()) == names[:2]
+
+
+def shuffles(rows):
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_small_steps_shuffle_little(spark, monkeypatch):
+    """Each shuffle is a round over all partitions, however few rows there are."""
+    written = []
+
+    def materialize(rows, name, codec="zstd", run=N.materialize):
+        written.append((name, shuffles(rows)))
+        return run(rows, name, codec)
+    monkeypatch.setattr(N, "materialize", materialize)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        star = spark.createDataFrame([(0, i) for i in range(1, 30)] * 2, "a long, b long")
+        assert sorted(N.components(star).collect()) == [(i, 0) for i in range(1, 30)]
+        assert written == [("edges", 0), ("neighbours", 1)]
+        names = [bytearray([i]) * 16 for i in range(50)]
+        one = bytearray(np.arange(100, dtype=np.uint64).tobytes())
+        sets = spark.createDataFrame([(n, one) for n in names], "class binary, set binary")
+        pairs = spark.createDataFrame([(names[0], n) for n in names[1:]], "a binary, b binary")
+        found = N.confirm(pairs, sets)
+        assert found.count() == 49 and not shuffles(found) and len(written) == 2
+        monkeypatch.setattr(N, "SENT_BYTES", 0)
+        found = N.confirm(pairs, sets)
+        assert found.count() == 49 and shuffles(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
