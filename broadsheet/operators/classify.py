@@ -42,13 +42,21 @@ def train_techniques(labelled: DataFrame, *, tokens: str = "tokens",
     """
     prepared = labelled.select(tokens, labels).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _train(prepared, tokens, labels, size, max_iter, tolerance, parallelism, classes)
+        return train_prepared(prepared, prepared, tokens=tokens, labels=labels, size=size,
+                              max_iter=max_iter, tolerance=tolerance, parallelism=parallelism,
+                              classes=classes)
     finally:
         prepared.unpersist()
 
 
-def _train(labelled: DataFrame, tokens: str, labels: str, size: int, max_iter: int,
-           tolerance: float, parallelism: int, classes) -> TechniqueModel:
+def train_prepared(labelled: DataFrame, cached: DataFrame, *, tokens: str = "tokens",
+                   labels: str = "techniques", size: int = C.MAX_FEATURES,
+                   max_iter: int = C.SVM_ITERATIONS, tolerance: float = 1e-4,
+                   parallelism: int = 4, classes=None) -> TechniqueModel:
+    """``train_techniques`` on rows of ``cached``, which is released once features are made.
+
+    The solver passes over the features alone, many times, and needs that memory.
+    """
     if classes is None:
         classes = feats.label_names(labelled, labels)
     if not classes:
@@ -65,6 +73,7 @@ def _train(labelled: DataFrame, tokens: str, labels: str, size: int, max_iter: i
             for i in range(len(classes))]).first()
         constants = {name: int(counts[f"c{i}"] > 0) for i, name in enumerate(classes)
                      if counts[f"c{i}"] in (0, counts["n"])}
+        cached.unpersist()
 
         def fit(name: str) -> LinearSVCModel:
             flag = F.get("flags", F.lit(classes.index(name)))

@@ -63,17 +63,18 @@ def annotate_corpus(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
                               gazetteer=gazetteer, stop_words=stop_words)
     annotated = annotated.withColumn(
         "is_train", ~features.is_test_row(F.col("article_id")))
-    model = classify.train_techniques(
-        annotated.filter("is_train"), size=max_features, max_iter=svm_iterations)
-    predicted = classify.predict_techniques(annotated, model)
-    # Tokens are made once for the vocabulary and the clusters; a lost part is made again.
-    listed = annotated.select("tokens").persist(StorageLevel.MEMORY_AND_DISK)
+    # Tokens are made once for the clusters and the classifier; a lost part is made again.
+    listed = annotated.select("tokens", "techniques", "is_train").persist(
+        StorageLevel.MEMORY_AND_DISK)
     try:
         vectorizer = topic_features(listed, max_features)
         clusters = topics.fit_topics(vectorizer.transform(listed), features="topic_features",
                                      topics=n_topics, smallest=smallest_topic)
+        model = classify.train_prepared(listed.filter("is_train"), listed, size=max_features,
+                                        max_iter=svm_iterations)
     finally:
         listed.unpersist()
+    predicted = classify.predict_techniques(annotated, model)
     vectors = vectorizer.transform(predicted).drop("topic_features_tf", "topic_features_raw")
     placed = topics.assign_topics(vectors, clusters, "topic_features")
     info = topics.topic_overview(topics.topic_counts(placed))

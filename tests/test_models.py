@@ -99,3 +99,28 @@ def test_topic_vectors_are_weighted_terms(spark):
     for r in placed:
         vector = r.topic_features.toArray()
         assert r.distance == pytest.approx(min(((vector - c) ** 2).sum() for c in centers))
+
+
+def test_annotation_makes_tokens_once_for_both_models(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        read.add(1)
+        return f"Number {i} met the Bandwagon." if i % 2 else f"Transfer news {i} about cats."
+    articles = spark.range(40).select(F.col("id").cast("string").alias("article_id"),
+                                      text("id").alias("content"))
+
+    def cached():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, seen = cached(), []
+
+    def machine(run=classify.LinearSVC, **settings):
+        seen.append(cached() - before)
+        return run(**settings)
+    monkeypatch.setattr(classify, "LinearSVC", machine)
+    done = annotate_corpus(articles, gazetteer={}, stop_words=["the"], n_topics=2,
+                           svm_iterations=5)
+    assert done.model.classes == ["Bandwagon", "Transfer"] and read.value == 40
+    # Only the features are kept while the solver runs.
+    assert min(seen) == 1 and cached() == before
