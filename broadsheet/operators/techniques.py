@@ -10,7 +10,7 @@ from broadsheet import constants as C
 from broadsheet.functions import text as X
 from broadsheet.functions.fields import has_items
 from broadsheet.functions.text import text_of
-from broadsheet.operators.entities import listed_phrases
+from broadsheet.operators.entities import found_phrases
 
 # Bytes of patterns in one automaton. A built one takes some hundred times as much.
 AUTOMATON_BYTES = 1 << 20
@@ -65,11 +65,11 @@ def detect_listed_techniques(articles: DataFrame, names: DataFrame,
     """
     words = X.tokens_of(F.col("technique"))
     wanted = names.select("technique", F.array_join(words, " ").alias("text"),
-                          F.size(words).alias("words")).where("words > 0").distinct()
+                          F.size(words).alias("words")).where("words > 0")
     wanted = wanted.where(F.lower("technique") != C.EXCLUDED_TECHNIQUE)
     longest = wanted.agg(F.max("words")).first()[0] or 1
-    phrases, lookup = listed_phrases(articles, wanted, longest, text)
-    return lookup.join(phrases, wanted, "text").select("article_id", "technique").distinct()
+    return found_phrases(articles, wanted, longest, text).select(
+        "article_id", "technique").distinct()
 
 
 def _automata(texts: list[tuple[str, list[str]]]):

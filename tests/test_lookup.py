@@ -116,3 +116,32 @@ def test_names_read_once_and_asked_in_compiled_code(spark, articles, monkeypatch
     assert sorted(map(tuple, found.select("article_id", "pos", "text").collect())) == [
         (1, 1, "big red"), (1, 3, "fox"), (1, 5, "fox"), (1, 8, "big red"),
         (4, 0, "red red red big")]
+
+
+def test_long_list_passes_few_other_phrases(spark, monkeypatch):
+    """A list that fills the small bit table still keeps nearly all other phrases in the task."""
+    monkeypatch.setattr(lookup, "MOST_LONGS", 16)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 400)
+    names = spark.range(3000).select(F.concat(F.lit("N"), "id").alias("name"), F.lit("X").alias(
+        "label")).union(spark.createDataFrame([("w1", "Y"), (None, "Z"), ("n7 w7", "P")],
+                                              "name string, label string"))
+    articles = spark.range(2000).select(F.col("id").alias("article_id"), F.concat_ws(
+        " ", F.lit("w1"), F.concat(F.lit("n"), F.col("id") * 2),
+        F.concat(F.lit("w"), "id"), F.lit("w1")).alias("content"))
+    low = names.select(F.lower("name").alias("text"), "label")
+    phrases, held = E.listed_phrases(articles, low, 2)
+    assert not held.small and held.blocks
+    found = E.gazetteer_entities(articles, names, longest=2)
+    got = sorted(map(tuple, found.collect()))
+    want = [(i, p, "w1", "Y") for i in range(2000) for p in (0, 3)]
+    want += [(i, 1, f"n{2 * i}", "X") for i in range(1500)] + [(1, 2, "w1", "Y")]
+    assert got == sorted(want)
+    rows = phrases.count()
+    assert len(want) <= rows < len(want) + 1500
+    # Names in most places are sent, within the bytes that may be; they are not shuffled.
+    monkeypatch.setattr(E, "COMMON_SAMPLE", 1)
+    monkeypatch.setattr(E, "COMMON_BYTES", 400)
+    sent = {r.text for r in E._common(phrases).collect()}
+    assert "w1" in sent and sum(len(t) + 16 for t in sent) <= 800
+    found = E.gazetteer_entities(articles, names, longest=2)
+    assert sorted(map(tuple, found.collect())) == got
