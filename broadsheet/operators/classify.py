@@ -10,8 +10,9 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from broadsheet import constants as C
 from broadsheet.operators import features as feats
@@ -33,14 +34,14 @@ def train_techniques(labelled: DataFrame, *, tokens: str = "tokens",
                      parallelism: int = 4, classes=None) -> TechniqueModel:
     """Fit on the rows given, which should be the training part only.
 
-    Features are fitted and cached once and shared by all labels, of which
-    ``parallelism`` train at a time. A label that every row, or none, carries
+    Features are fitted and kept on disk once and shared by all labels, of which at most
+    ``parallelism`` train at a time, fewer where their copies would not fit. A label that every row, or none, carries
     needs no machine. Without any label the model is empty and predicts empty
     lists. Pass ``classes`` where they are known, which saves a pass. Tokens and
     labels are made once and cached, as labels, vocabulary and features each read them;
     the scan keeps its partitions.
     """
-    prepared = labelled.select(tokens, labels).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = labelled.select(tokens, labels).persist(StorageLevel.DISK_ONLY)
     try:
         return train_prepared(prepared, prepared, tokens=tokens, labels=labels, size=size,
                               max_iter=max_iter, tolerance=tolerance, parallelism=parallelism,
@@ -55,7 +56,9 @@ def train_prepared(labelled: DataFrame, cached: DataFrame, *, tokens: str = "tok
                    parallelism: int = 4, classes=None) -> TechniqueModel:
     """``train_techniques`` on rows of ``cached``, which is released once features are made.
 
-    The solver passes over the features alone, many times, and needs that memory.
+    The solver passes over the features alone, many times. It caches a copy of them for each
+    label, so as many labels train at a time as have room in half the executors' memory for
+    caches; what does not fit would be read from disk in each pass.
     """
     if classes is None:
         classes = feats.label_names(labelled, labels)
@@ -66,9 +69,10 @@ def train_prepared(labelled: DataFrame, cached: DataFrame, *, tokens: str = "tok
         return TechniqueModel(None, [])
     flags = feats.binarize(F.col(labels), classes)
     rows = (model.transform(labelled).select("features", flags.alias("flags"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+            .persist(StorageLevel.DISK_ONLY))
     try:
-        counts = rows.agg(F.count("*").alias("n"), *[
+        values = F.size(unwrap_udt(F.col("features")).getField("values"))
+        counts = rows.agg(F.count("*").alias("n"), F.sum(values).alias("values"), *[
             F.sum(F.get("flags", F.lit(i))).alias(f"c{i}")
             for i in range(len(classes))]).first()
         constants = {name: int(counts[f"c{i}"] > 0) for i, name in enumerate(classes)
@@ -83,7 +87,10 @@ def train_prepared(labelled: DataFrame, cached: DataFrame, *, tokens: str = "tok
             ).fit(rows.select("features", flag.cast("double").alias("label")))
 
         varied = [name for name in classes if name not in constants]
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        # an index and a value for each entry, and what a row has besides
+        copy = 12 * (counts["values"] or 0) + 64 * counts["n"]
+        fitting = cache_bytes(labelled.sparkSession) // 2 // max(copy, 1)
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, fitting))) as pool:
             fitted = pool.map(
                 inheritable_thread_target(labelled.sparkSession)(fit), varied)
             machines = dict(zip(varied, fitted))
@@ -92,6 +99,15 @@ def train_prepared(labelled: DataFrame, cached: DataFrame, *, tokens: str = "tok
         rows.unpersist()
 
 
+def cache_bytes(spark: SparkSession) -> int:
+    """What the executors can cache in memory, in all."""
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().valuesIterator()
+    total = 0
+    while status.hasNext():
+        total += status.next()._1()
+    return total
+
+
 def predict_techniques(articles: DataFrame, model: TechniqueModel, *,
                        output: str = "predicted_techniques") -> DataFrame:
     """Adds the predicted labels in class order. A map over the rows."""

@@ -31,7 +31,7 @@ COMMON_BLOCKS = 1 << 12
 def _lookups(names: DataFrame) -> tuple[Lookup, Lookup]:
     """Of the first words of ``names(text)``, and of the names."""
     # made once for both lookups, which read them more than once each
-    names = names.persist(StorageLevel.MEMORY_AND_DISK)
+    names = names.persist(StorageLevel.DISK_ONLY)
     try:
         return (Lookup.of(names.select(F.substring_index("text", " ", 1).alias("term"))),
                 Lookup.of(names.select(F.col("text").alias("term"))))

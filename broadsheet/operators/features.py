@@ -36,6 +36,12 @@ def with_normalized_tokens(articles: DataFrame, words, text: str = "content",
             .withColumn("processed_content", F.array_join(output, " ")))
 
 
+def split_tokens(processed: str) -> Column:
+    """The tokens of a ``processed_content``; none holds a space or is empty."""
+    return F.when(F.col(processed) == "", F.array().cast("array<string>")).otherwise(
+        F.split(processed, " "))
+
+
 def lemmatize(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Tall tokens (``term``) through a dictionary ``term, lemma`` of any size.
 

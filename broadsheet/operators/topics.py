@@ -152,7 +152,7 @@ def fit_topics(rows: DataFrame, *, features: str = "features",
     clusters below ``smallest`` articles, become the outlier topic. Only the
     ``topics`` centres and sizes come to the driver.
     """
-    rows = rows.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.select(features).persist(StorageLevel.DISK_ONLY)
     try:
         clusters = KMeans(k=topics, seed=seed, featuresCol=features,
                           predictionCol="cluster").fit(rows)

@@ -64,16 +64,20 @@ def annotate_corpus(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
     annotated = annotated.withColumn(
         "is_train", ~features.is_test_row(F.col("article_id")))
     # Tokens are made once for the clusters and the classifier; a lost part is made again.
-    listed = annotated.select("tokens", "techniques", "is_train").persist(
-        StorageLevel.MEMORY_AND_DISK)
+    # They are kept as their text, a quarter of the list, and on disk: in memory the bytes
+    # of a cache may take twice what Spark counts, as the collector gives large arrays whole
+    # regions.
+    kept = annotated.select("processed_content", "techniques", "is_train").persist(
+        StorageLevel.DISK_ONLY)
+    listed = kept.withColumn("tokens", features.split_tokens("processed_content"))
     try:
         vectorizer = topic_features(listed, max_features)
         clusters = topics.fit_topics(vectorizer.transform(listed), features="topic_features",
                                      topics=n_topics, smallest=smallest_topic)
-        model = classify.train_prepared(listed.filter("is_train"), listed, size=max_features,
+        model = classify.train_prepared(listed.filter("is_train"), kept, size=max_features,
                                         max_iter=svm_iterations)
     finally:
-        listed.unpersist()
+        kept.unpersist()
     predicted = classify.predict_techniques(annotated, model)
     vectors = vectorizer.transform(predicted).drop("topic_features_tf", "topic_features_raw")
     placed = topics.assign_topics(vectors, clusters, "topic_features")

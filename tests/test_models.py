@@ -124,3 +124,56 @@ def test_annotation_makes_tokens_once_for_both_models(spark, monkeypatch):
     assert done.model.classes == ["Bandwagon", "Transfer"] and read.value == 40
     # Only the features are kept while the solver runs.
     assert min(seen) == 1 and cached() == before
+
+
+def test_annotation_keeps_nothing_in_memory_but_what_the_solver_copies(spark, monkeypatch):
+    """Caches are on disk, and labels whose copies have no room train one at a time."""
+    words = ["Bandwagon", "Transfer", "Exaggeration", "Scapegoating"]
+    rows = [(str(i), f"Number {i} met the {words[i % 4]} in Paris today.") for i in range(60)]
+    articles = spark.createDataFrame(rows, "article_id string, content string")
+    before = {item.getKey() for item in spark.sparkContext._jsc.getPersistentRDDs().entrySet()}
+    in_memory, busy, most = [], [], []
+
+    def levels():
+        held = spark.sparkContext._jsc.getPersistentRDDs()
+        return [held[key].getStorageLevel().useMemory() for key in held if key not in before]
+
+    class Machine:
+        def __init__(self, run=classify.LinearSVC, **settings):
+            self.machine = run(**settings)
+
+        def fit(self, data):
+            busy.append(1)
+            most.append(len(busy))
+            in_memory.extend(levels())
+            try:
+                return self.machine.fit(data)
+            finally:
+                busy.pop()
+
+    def clusters(run=topics.KMeans, **settings):
+        in_memory.extend(levels())
+        return run(**settings)
+    monkeypatch.setattr(classify, "LinearSVC", Machine)
+    monkeypatch.setattr(topics, "KMeans", clusters)
+    monkeypatch.setattr(classify, "cache_bytes", lambda session: 1)
+    done = annotate_corpus(articles, gazetteer={}, stop_words=["the"], n_topics=2,
+                           svm_iterations=5)
+    assert sorted(done.model.machines) == sorted(words)
+    assert in_memory and not any(in_memory) and max(most) == 1
+    assert classify.predict_techniques(
+        articles.selectExpr("split(lower(content), '[ .]') AS tokens"), done.model).count() == 60
+
+
+def test_cache_bytes(spark):
+    assert 1 << 20 < classify.cache_bytes(spark) < 1 << 40
+
+
+def test_tokens_again_from_their_text(spark):
+    from broadsheet.operators import features
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["The cats! of Ärger_1 ties", "", None, "the", "x  y\tz 12"])],
+        "article_id int, content string")
+    made = features.with_normalized_tokens(rows, ["the"]).withColumn(
+        "again", features.split_tokens("processed_content"))
+    assert all(r.tokens == r.again for r in made.collect())
