@@ -18,6 +18,10 @@ from broadsheet import constants as C
 from broadsheet.operators import features as feats
 
 
+# Of a pass of the solver.
+TASKS_PER_CORE = 3
+
+
 @dataclass(frozen=True)
 class TechniqueModel:
     """Features and, per class, a trained SVM or the constant it would give."""
@@ -53,18 +57,21 @@ def train_techniques(labelled: DataFrame, *, tokens: str = "tokens",
 def train_prepared(labelled: DataFrame, cached: DataFrame, *, tokens: str = "tokens",
                    labels: str = "techniques", size: int = C.MAX_FEATURES,
                    max_iter: int = C.SVM_ITERATIONS, tolerance: float = 1e-4,
-                   parallelism: int = 4, classes=None) -> TechniqueModel:
+                   parallelism: int = 4, classes=None,
+                   model: PipelineModel | None = None) -> TechniqueModel:
     """``train_techniques`` on rows of ``cached``, which is released once features are made.
 
     The solver passes over the features alone, many times. It caches a copy of them for each
     label, so as many labels train at a time as have room in half the executors' memory for
-    caches; what does not fit would be read from disk in each pass.
+    caches; what does not fit would be read from disk in each pass. A pass is short, so it has
+    a few tasks a core, however many parts the rows have. ``model`` is that of the features,
+    where it is known.
     """
     if classes is None:
         classes = feats.label_names(labelled, labels)
     if not classes:
         return TechniqueModel(None, [])
-    model = feats.fit_tfidf(labelled, tokens=tokens, size=size)
+    model = model or feats.fit_tfidf(labelled, tokens=tokens, size=size)
     if model is None:
         return TechniqueModel(None, [])
     flags = feats.binarize(F.col(labels), classes)
@@ -84,7 +91,8 @@ def train_prepared(labelled: DataFrame, cached: DataFrame, *, tokens: str = "tok
             return LinearSVC(
                 maxIter=max_iter, tol=tolerance, regParam=1.0 / counts["n"],
                 standardization=False,
-            ).fit(rows.select("features", flag.cast("double").alias("label")))
+            ).fit(rows.select("features", flag.cast("double").alias("label")).coalesce(
+                TASKS_PER_CORE * labelled.sparkSession.sparkContext.defaultParallelism))
 
         varied = [name for name in classes if name not in constants]
         # an index and a value for each entry, and what a row has besides

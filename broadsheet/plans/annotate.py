@@ -36,7 +36,10 @@ def annotate_text(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
 
 def topic_features(articles: DataFrame, size: int = C.MAX_FEATURES) -> PipelineModel:
     """Maps tokens to vectors for clustering: TF-IDF of the terms, length one, sparse."""
-    model = features.fit_tfidf(articles, output="topic_features", size=size)
+    return _or_empty(features.fit_tfidf(articles, output="topic_features", size=size))
+
+
+def _or_empty(model: PipelineModel | None) -> PipelineModel:
     return model or PipelineModel([CountVectorizerModel.from_vocabulary(
         [""], inputCol="tokens", outputCol="topic_features")])
 
@@ -71,11 +74,13 @@ def annotate_corpus(articles: DataFrame, *, techniques=C.DEFAULT_TECHNIQUES,
         StorageLevel.DISK_ONLY)
     listed = kept.withColumn("tokens", features.split_tokens("processed_content"))
     try:
-        vectorizer = topic_features(listed, max_features)
+        fitted, weights = features.fit_tfidf_twice(
+            listed, "is_train", "topic_features", "features", size=max_features)
+        vectorizer = _or_empty(fitted)
         clusters = topics.fit_topics(vectorizer.transform(listed), features="topic_features",
                                      topics=n_topics, smallest=smallest_topic)
         model = classify.train_prepared(listed.filter("is_train"), kept, size=max_features,
-                                        max_iter=svm_iterations)
+                                        max_iter=svm_iterations, model=weights)
     finally:
         kept.unpersist()
     predicted = classify.predict_techniques(annotated, model)
