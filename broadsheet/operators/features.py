@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -175,7 +176,8 @@ def fit_tfidf_twice(articles: DataFrame, part: str, first: str, second: str,
                     ) -> tuple[PipelineModel | None, PipelineModel | None]:
     """``fit_tfidf`` of all rows, to ``first``, and of those with ``part``, to ``second``.
 
-    Terms are counted for both in one pass with one shuffle.
+    Terms are counted for both in one pass with one shuffle; the counts, a row for each
+    term, are on disk until both are read.
     """
     terms = F.filter(F.col(tokens), lambda token: F.length(token) >= 2)
     inside = F.col(part)
@@ -183,18 +185,16 @@ def fit_tfidf_twice(articles: DataFrame, part: str, first: str, second: str,
     stats = counted_terms(articles, terms, part).groupBy("term").agg(
         F.sum("n").alias("n0"), F.count("*").alias("d0"),
         F.sum(F.when(inside, F.col("n"))).alias("n1"), F.count_if(inside).alias("d1"))
-    # both sides read all counts, so their shuffle is made once
-    ranked = [stats.select(
-        F.lit(i).alias("side"), "term", "n0", "n1",
-        smooth_idf(F.lit(documents), F.col(f"d{i}")).alias("idf"), "d0", "d1")
-        .orderBy(F.col(f"n{i}").desc_nulls_last(), "term").limit(size)
-        for i, documents in enumerate((total, some))]
-    rows = ranked[0].unionByName(ranked[1].where("d1 > 0")).collect()
-    models = []
-    for i, output in enumerate((first, second)):
-        own = sorted((r for r in rows if r.side == i), key=lambda r: (-r[f"n{i}"], r.term))
-        models.append(_weighting(own, tokens, output))
-    return models[0], models[1]
+    stats = stats.persist(StorageLevel.DISK_ONLY)
+    try:
+        return tuple(
+            _weighting(vocabulary(stats.where(f"d{i} > 0").select(
+                "term", F.col(f"n{i}").alias("term_frequency"),
+                smooth_idf(F.lit(documents), F.col(f"d{i}")).alias("idf")), size).collect(),
+                tokens, output)
+            for i, (documents, output) in enumerate(((total, first), (some, second))))
+    finally:
+        stats.unpersist()
 
 
 # --- Labels ------------------------------------------------------------------

@@ -184,28 +184,24 @@ def test_both_vocabularies_in_one_pass(spark):
     texts = [["bb", "bb", "cc", "a"], ["cc", "dd", "aa"], ["dd", "dd", None], [], ["ee", "aa"]]
     rows = spark.createDataFrame([(t, i % 2 == 1) for i, t in enumerate(texts)],
                                  "tokens array<string>, is_train boolean")
-    groups = spark.sparkContext.statusTracker()
-
-    def jobs(make):
-        name = f"group-{make.__name__}"
-        spark.sparkContext.setJobGroup(name, name)
-        try:
-            return make(), sum(len(groups.getJobInfo(job).stageIds)
-                               for job in groups.getJobIdsForGroup(name))
-        finally:
-            spark.sparkContext._jsc.clearJobGroup()
-
-    def one():
-        return [features.fit_tfidf(rows, output="x", size=3),
-                features.fit_tfidf(rows.where("is_train"), output="y", size=3)]
-
-    def both():
-        return list(features.fit_tfidf_twice(rows, "is_train", "x", "y", size=3))
-    (want, slow), (got, quick) = jobs(one), jobs(both)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def seen(tokens):
+        read.add(1)
+        return tokens
+    counted = rows.select(seen.asNondeterministic()("tokens").alias("tokens"), "is_train")
+    got = features.fit_tfidf_twice(counted, "is_train", "x", "y", size=3)
+    # once to count terms; documents are counted without their tokens
+    assert read.value == len(texts)
+    want = [features.fit_tfidf(rows, output="x", size=3),
+            features.fit_tfidf(rows.where("is_train"), output="y", size=3)]
     for a, b in zip(want, got):
         assert a.stages[0].vocabulary == b.stages[0].vocabulary
         assert a.stages[1].getScalingVec() == b.stages[1].getScalingVec()
         assert a.transform(rows).collect() == b.transform(rows).collect()
-    assert quick < slow
     none = features.fit_tfidf_twice(rows.where("NOT is_train"), "is_train", "x", "y", size=3)
     assert none[0] is not None and none[1] is None
+    held = {rdd.getKey() for rdd in spark.sparkContext._jsc.getPersistentRDDs().entrySet()}
+    features.fit_tfidf_twice(rows, "is_train", "x", "y")
+    assert held == {r.getKey() for r in spark.sparkContext._jsc.getPersistentRDDs().entrySet()}
